@@ -17,13 +17,14 @@ import base64
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, small_batches
 
 #: States: after which kind of code point the scan stands.
 END, LETTER, NUMBER, OTHER, SPACES, LEAD, TAKE1, TAKE2 = range(8)
@@ -143,25 +144,32 @@ def boundaries(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
 
 
 class Codec:
-    """Encoder and decoder for one file of ranks.  Its cache is emptied when it holds ``cache`` pieces."""
+    """Encoder and decoder for one file of ranks.  Pieces of up to 64 bytes are cached with their ids in one
+    flat array; the cache is emptied when it holds ``cache`` pieces."""
 
-    def __init__(self, path: str, cache: int = 400_000) -> None:
+    def __init__(self, path: str, cache: int = 250_000) -> None:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pieces = {i: b for b, i in ranks.items()}
         self.merge = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.widths = np.zeros(max(self.pieces) + 1, np.int64)
+        self.widths[list(self.pieces)] = list(map(len, self.pieces.values()))
         self.cache = cache
-
-    def ids_of(self, piece: bytes) -> tuple[int, ...]:
-        found = self.known.get(piece)
-        if found is None:
-            found = tuple(self.merge(piece))
-            if len(piece) <= 64:
-                if len(self.known) >= self.cache:
-                    self.known.clear()
-                self.known[piece] = found
-        return found
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def _add(self, pieces: list[bytes]) -> None:
+        ids = list(map(self.merge, pieces))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known.update(zip(pieces, range(len(self.at), len(self.at) + len(ids)), strict=True))
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), "<u4", int(size.sum()))])
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -169,24 +177,34 @@ class Codec:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(lengths)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        if not len(points):
+            return [np.zeros(0, "<u4") for _ in texts]
         at = boundaries(points, (ends - lengths)[lengths > 0])
         data = joined.encode()
         width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
         place = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
         cuts = [*place[at].tolist(), len(data)]
-        first = np.searchsorted(at, np.append(ends - lengths, len(points))).tolist()
-        known, ids_of, out = self.known, self.ids_of, []
-        for lo, hi in zip(first, first[1:], strict=False):
-            ids: list[int] = []
-            for a, b in zip(cuts[lo:hi], cuts[lo + 1 : hi + 1], strict=True):
-                piece = data[a:b]
-                ids.extend(known.get(piece) or ids_of(piece))
-            out.append(np.array(ids, "<u4"))
-        return out
+        pieces = list(map(data.__getitem__, map(slice, cuts[:-1], cuts[1:])))
+        if len(self.known) >= self.cache:
+            self._empty()
+        slots = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(slots < 0).tolist()
+        if missing:
+            new = {pieces[i] for i in missing}
+            self._add(list(new))
+            slots[missing] = [self.known[pieces[i]] for i in missing]
+            for p in new:  # found again only by chance
+                if len(p) > 64:
+                    del self.known[p]
+        size = self.size[slots]
+        stop = np.cumsum(size)
+        ids = self.flat[np.repeat(self.at[slots] - (stop - size), size) + np.arange(stop[-1])]
+        first = np.searchsorted(at, np.append(ends - lengths, len(points)))
+        return np.split(ids, np.append(0, stop)[first[1:-1]])
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """The byte at which each token starts."""
-        sizes = np.fromiter((len(self.pieces[i]) for i in ids.tolist()), np.int64, len(ids))
+        sizes = self.widths[ids]
         return (np.cumsum(sizes) - sizes).astype("<u4")
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray | None = None) -> bytes:
@@ -214,9 +232,10 @@ def groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", *, with_offsets: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", *, decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens long, ids binary, offsets binary): little-endian unsigned 32-bit ids, and the byte
-    of the UTF-8 text at which each token starts (null without ``with_offsets``).  One row for each input row."""
+    of the UTF-8 text at which each token starts.  One row for each input row.  With ``decoded``, a column more:
+    the bytes that the ids give back, in the same pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks)
@@ -224,12 +243,15 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
             names, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in groups(texts):
                 ids = c.encode_batch(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays(
-                    [names[lo:hi], pa.array(map(len, ids), pa.int64()), pa.array((x.tobytes() for x in ids), pa.binary()), pa.array(((c.offsets(x).tobytes() if with_offsets else None) for x in ids), pa.binary())],
-                    names=["doc_id", "n_tokens", "ids", "offsets"],
-                )
+                offsets = [c.offsets(x) for x in ids]
+                columns = [names[lo:hi], pa.array(map(len, ids), pa.int64()), pa.array((x.tobytes() for x in ids), pa.binary()), pa.array((x.tobytes() for x in offsets), pa.binary())]
+                if decoded:
+                    columns.append(pa.array(map(c.decode, ids, offsets), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names_out)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, offsets binary")
+    names_out = ["doc_id", "n_tokens", "ids", "offsets", *["decoded"] * decoded]
+    small_batches(docs)
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, offsets binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
@@ -242,4 +264,5 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
             data = [c.decode(np.frombuffer(i, "<u4"), None if o is None else np.frombuffer(o, "<u4")) for i, o in zip(ids, offsets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(data, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
+    small_batches(encoded)
     return encoded.select("doc_id", "n_tokens", "ids", "offsets").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -60,3 +60,9 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(df: DataFrame, rows: int = 500) -> None:
+    """Whole texts go to Python in batches of a few hundred: a worker holds one batch at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, small_batches
 
 UNIT = 192
 LEAST, MOST, BITS = 4096, 65536, 13  # bytes of a chunk; it is cut where BITS of the hash are zero
@@ -121,6 +121,7 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
             if out:
                 yield _batch(out)
 
+    small_batches(docs)
     rows = id_text(docs, id_col, text_col).select(_media_digest("text").alias("media"), "text")
     return rows.mapInArrow(run, "media binary, seq int, n int, digest binary, data binary")
 
@@ -149,6 +150,7 @@ def read(lists: DataFrame, chunks: DataFrame) -> DataFrame:
                 out.append({"media": media, "media_bytes": len(form), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "feature": feature_of(payload)})
             yield pa.RecordBatch.from_pylist(out, schema=_READ)
 
+    small_batches(lists)
     rebuilt = lists.join(chunks, "digest").groupBy("media").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("parts"))
     return rebuilt.mapInArrow(run, "media binary, media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
 

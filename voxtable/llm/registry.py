@@ -13,7 +13,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), RANKS), RANKS)
+    done = bpe.encode(table(spark, sf_dir, "documents"), RANKS, decoded=True)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
