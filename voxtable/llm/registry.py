@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media
-from .common import table
+from . import bpe, langid, media, packing, toxicity
+from .common import settle, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -25,9 +25,32 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media")).alias("media_sha256"), "feature")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = settle(packing.pieces(table(spark, sf_dir, "documents"), RANKS))
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+#: The labels that the corpus has, as the chain's categories: toxicity is told last.
+CATEGORIES = [("low_quality", "1 - quality"), ("toxic", "toxic")]
+
+
+def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), CATEGORIES)
+    return toxicity.predict(docs, chain).withColumn("is_toxic", F.col("p_toxic") >= 0.5)
+
+
+def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_toxicity_chain": op5_toxicity_chain,
     "op7_media_columns": op7_media_columns,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_language_crf": op10_language_crf,
 }
 
 ORACLE_SQL: dict[str, str] = {}
