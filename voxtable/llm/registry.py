@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, packing, toxicity
+from . import bpe, langid, media, packing, pii, toxicity
 from .common import settle, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -40,6 +40,10 @@ def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, chain).withColumn("is_toxic", F.col("p_toxic") >= 0.5)
 
 
+def op9_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -50,6 +54,7 @@ QUERIES = {
     "op5_toxicity_chain": op5_toxicity_chain,
     "op7_media_columns": op7_media_columns,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_pii_bootstrap": op9_pii_bootstrap,
     "op10_language_crf": op10_language_crf,
 }
 
