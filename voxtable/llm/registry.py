@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, packing, pii, topk, toxicity
+from . import bpe, langid, licenses, media, packing, pii, topk, toxicity
 from .common import settle, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +17,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lists, chunks = media.store(docs)
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_topk": op4_exact_topk,
     "op5_toxicity_chain": op5_toxicity_chain,
+    "op6_license_dice": op6_license_dice,
     "op7_media_columns": op7_media_columns,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_pii_bootstrap": op9_pii_bootstrap,
@@ -64,6 +69,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_license_dice": licenses.oracle_sql(),
     "op4_exact_topk": """
 with v as (
   select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
