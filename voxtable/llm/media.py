@@ -151,8 +151,12 @@ def read(lists: DataFrame, chunks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=_READ)
 
     small_batches(lists)
-    rebuilt = lists.join(chunks, "digest").groupBy("media").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("parts"))
-    return rebuilt.mapInArrow(run, "media binary, media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    schema = "media binary, media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+    met = lists.join(chunks, "digest")
+    # A form of one chunk is whole where the chunk is; only the others' chunks move together.
+    single = met.where(F.col("n") == 1).select("media", "n", F.array(F.struct("seq", "data")).alias("parts"))
+    several = met.where(F.col("n") > 1).groupBy("media").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("parts"))
+    return single.mapInArrow(run, schema).unionByName(several.mapInArrow(run, schema))
 
 
 _READ = pa.schema([("media", pa.binary()), ("media_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
