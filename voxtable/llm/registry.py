@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, media, neardup, packing, pii, topk, toxicity
+from . import bpe, langid, licenses, lm, media, neardup, packing, pii, topk, toxicity
 from .common import settle, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op2_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -62,6 +66,7 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_backoff": op1_lm_backoff,
     "op2_minmax_neardup": op2_minmax_neardup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_topk": op4_exact_topk,
@@ -74,6 +79,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_lm_backoff": lm.oracle_sql(),
     "op6_license_dice": licenses.oracle_sql(),
     "op4_exact_topk": """
 with v as (
