@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,3 +66,8 @@ def small_batches(df: DataFrame, rows: int = 500) -> None:
     """Whole texts go to Python in batches of a few hundred: a worker holds one batch at a time."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+
+
+def within_share(key: Column, share: Column) -> Column:
+    """Whether the hash of ``key`` falls in the first ``share`` of its range: a sample that any task can draw alone."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share * (1 << 30)

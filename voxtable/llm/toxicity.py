@@ -5,8 +5,8 @@ the presence of selected words and word beginnings; a later category's model als
 probabilities.  For training those are out of fold (each row's comes from a model that did not see it), so a later
 model learns how far to trust them; for prediction they come from the model fitted to all training rows.
 
-Training takes a bounded sample of labelled rows (``per_class`` of each value of the last
-category, by the least hash of their id); prediction takes every row and its whole text.  Null and empty texts
+Training takes a bounded sample of labelled rows (about ``per_class`` of each value of the last
+category, by the hash of their id; of repeated ids the greatest labels count); prediction takes every row and its whole text.  Null and empty texts
 have no features and get the chain's base probabilities, far below the threshold.  Rows without labels, or with a null label,
 do not train; without both values of a category its probability is the share seen (0 without rows).  Row ids may repeat.
 """
@@ -19,10 +19,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, small_batches
+from .common import id_text, small_batches, within_share
 from .words import Spelling, tokens
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -148,8 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str]],
     """categories: (name, SQL expression over ``labels`` giving 0 or 1), in the chain's order."""
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), *[F.expr(e).cast("int").alias(f"_y{i}") for i, (_, e) in enumerate(categories)]).dropna()
     last = f"_y{len(categories) - 1}"
-    nth = F.row_number().over(Window.partitionBy(last).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = marked.withColumn("_n", nth).where(F.col("_n") <= per_class).drop("_n")  # at most per_class rows of each value
+    ys = [f"_y{i}" for i in range(len(categories))]
+    marked = marked.groupBy("doc_id").agg(*[F.max(y).alias(y) for y in ys])
+    seen = {r[last]: r["n"] for r in marked.groupBy(last).agg(F.count("*").alias("n")).collect()}  # two rows
+    share = F.when(F.col(last) == 1, per_class / max(1, seen.get(1, 0))).otherwise(per_class / max(1, seen.get(0, 0)))
+    sample = marked.where(within_share(F.col("doc_id"), share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +161,6 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str]],
             parts = np.split(feature, np.searchsorted(owner, np.arange(1, len(texts))))
             yield pa.RecordBatch.from_arrays([pa.array((x.tobytes() for x in parts), pa.binary()), *batch.columns[1:]], names=["f", *ys])
 
-    ys = [f"_y{i}" for i in range(len(categories))]
     small_batches(docs)
     texts = id_text(docs, id_col, text_col).where(F.length("text") <= most_chars)
     found = texts.join(F.broadcast(sample), "doc_id").select("text", *ys).mapInArrow(run, "f binary, " + ", ".join(f"{y} int" for y in ys)).collect()
