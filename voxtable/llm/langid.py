@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, within_share
 from .words import Spelling, tokens
 
 BUCKETS = 1 << 17
@@ -174,15 +174,17 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, most_chars: int = 20_000) -> Model:
-    """Fit on a bounded sample: of each language the ``per_lang`` rows with the least hash of their id, among those
-    of at most ``most_chars`` code points that are not held out."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, most_chars: int = 20_000, most_langs: int = 200) -> Model:
+    """Fit on a bounded sample: of each of the ``most_langs`` commonest languages about ``per_lang`` rows, by the hash of
+    their id, among those of at most ``most_chars`` code points that are not held out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= most_chars))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
-    keys = rows.select("doc_id", "lang", "text").withColumn("_n", first).where(F.col("_n") <= per_lang)
-    found = [(r["text"], r["lang"]) for r in keys.select("text", "lang", "doc_id").collect()]
-    return fit(sorted(found))
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    if not seen:
+        return fit([])
+    share = F.create_map(*[x for r in seen for x in (F.lit(r["lang"]), F.lit(per_lang / r["n"]))])[F.col("lang")]
+    found = rows.where(within_share(F.col("doc_id"), share)).select("text", "lang").collect()
+    return fit(sorted((r["text"], r["lang"]) for r in found))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
