@@ -187,8 +187,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(sorted((r["text"], r["lang"]) for r in found))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, n_words)."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, keep: bool = False) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, n_words); with ``keep`` also ``row``, a struct of the input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,9 +196,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             sizes, codes, words = tokens(texts, _WORD)
             letters = np.fromiter((any(map(str.isalpha, w)) for w in words), bool, len(words))
             if not letters.all():  # numerals that count as word characters
-                keep = letters[codes]
-                sizes = np.bincount(np.repeat(np.arange(len(texts)), sizes)[keep], minlength=len(texts))
-                codes = codes[keep]
+                lettered = letters[codes]
+                sizes = np.bincount(np.repeat(np.arange(len(texts)), sizes)[lettered], minlength=len(texts))
+                codes = codes[lettered]
             best, score = ["und"] * len(texts), np.zeros(len(texts))
             full = np.flatnonzero(sizes)
             if len(full) and model.langs:
@@ -207,8 +207,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 for i, j in zip(full.tolist(), mean.argmax(axis=1).tolist(), strict=True):
                     best[i] = model.langs[j]
                 score[full] = np.clip(mean.max(axis=1), 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score), pa.array(sizes, pa.int64())], names=["doc_id", "held_out", "lang_pred", "score", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score), pa.array(sizes, pa.int64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", "n_words", *["row"] * keep])
 
     small_batches(docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), *[F.struct(*docs.columns).alias("row")] * keep)
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long" + f", row {docs.schema.simpleString()}" * keep)

@@ -144,17 +144,19 @@ def patterns(found: DataFrame, rounds: int = 3, confidence: float = 0.8, support
     return scored.where((F.col("sure") >= confidence) & (F.col("n") >= support)).select("pattern")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rounds: int = 3, confidence: float = 0.8, support: int = 5) -> DataFrame:
-    """(doc_id, text, base, found): base spans of each row, and array<struct<start,kind,end>> of what the contexts add."""
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rounds: int = 3, confidence: float = 0.8, support: int = 5, keep: bool = False) -> DataFrame:
+    """(doc_id, text, base, found): base spans of each row, and array<struct<start,kind,end>> of what the contexts add; with
+    ``keep`` also ``row``, a struct of the input row."""
     rows = id_text(docs, id_col, text_col)
     seen = settle(occurrences(rows))
     good = patterns(seen, rounds, confidence, support)
     hits = seen.select("doc_id", "_key", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
     hits = hits.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(KINDS.index("identifier")).alias("kind"), "end"))).alias("hits"))
-    based = base(rows).withColumn("_key", F.xxhash64("text"))
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *[F.struct(*docs.columns).alias("row")] * keep)
+    based = base(kept).withColumn("_key", F.xxhash64("text"))
     joined = based.join(hits, based["doc_id"].eqNullSafe(hits["doc_id"]) & (based["_key"] == hits["_key"]), "left").drop(hits["doc_id"], hits["_key"])
     clear = F.filter(F.coalesce("hits", F.array().cast("array<struct<start:int,kind:int,end:int>>")), lambda h: ~F.exists("base", lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
-    return joined.select("doc_id", "text", "base", clear.alias("found"))
+    return joined.select("doc_id", "text", "base", clear.alias("found"), *["row"] * keep)
 
 
 def _of_kind(i: int):
@@ -168,7 +170,7 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def redact(found: DataFrame) -> DataFrame:
-    """(doc_id, text) with each span replaced by its kind in brackets; of overlapping spans the first covers the others."""
+    """(doc_id, text[, row]) with each span replaced by its kind in brackets; of overlapping spans the first covers the others."""
     names = F.array(*map(F.lit, KINDS))
     spans = F.array_sort(F.concat("base", "found"))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -180,4 +182,4 @@ def redact(found: DataFrame) -> DataFrame:
         ),
         lambda a: F.concat(F.array_join(a["out"], ""), F.col("text").substr(a["at"] + 1, F.length("text"))),
     )
-    return found.select("doc_id", F.when(F.size(spans) > 0, done).otherwise(F.col("text")).alias("text"))
+    return found.select("doc_id", F.when(F.size(spans) > 0, done).otherwise(F.col("text")).alias("text"), *[c for c in found.columns if c == "row"])

@@ -169,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str]],
     return fit([np.frombuffer(r["f"], np.uint64) for r in found], y, [name for name, _ in categories])
 
 
-def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, p_<category> double for each category)."""
+def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", *, keep: bool = False) -> DataFrame:
+    """(doc_id, p_<category> double for each category); with ``keep`` also ``row``, a struct of the input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,8 +178,9 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
             x = np.zeros((len(texts), len(chain.features)))
             owner, feature = doc_features(texts, chain.features)
             x[owner, feature.astype(np.int64)] = 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, chain.predict(x))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, chain.predict(x)), *batch.columns[2:]], names=["doc_id", *names, *["row"] * keep])
 
     names = [f"p_{link.name}" for link in chain.links]
     small_batches(docs)
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *[F.struct(*docs.columns).alias("row")] * keep)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", *[f"{n} double" for n in names], *[f"row {docs.schema.simpleString()}"] * keep]))
