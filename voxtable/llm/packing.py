@@ -171,7 +171,7 @@ def pack(cut: DataFrame, capacity: int = 1024, salts: int | None = None) -> Data
     before = counted.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
     local = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    ranked = salted.withColumn("_local", local).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_local") - 1)
+    ranked = salted.withColumn("_local", local).join(before.hint("merge"), ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_local") - 1)
     slots = spark.createDataFrame(ranges or [(0, 0, 0, 0, 0)], "length long, lo long, hi long, base long, offset long")
     placed = ranked.join(F.broadcast(slots), (ranked["length"] == slots["length"]) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
     return placed.select(*[ranked[c] for c in cut.columns], (F.col("base") + F.col("_rank") - F.col("lo")).alias("sequence_id"), "offset")
