@@ -66,7 +66,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     each = known.select("template", "license", "n_template", F.explode("grams").alias("gram"))
     met = sized.select("doc_id", "line", "n_line", F.explode("grams").alias("gram")).join(F.broadcast(each), "gram")
     met = met.where(F.col("n_line").between(F.col("n_template") * threshold / (2 - threshold), F.col("n_template") * (2 - threshold) / threshold))
-    scored = met.groupBy("doc_id", "line", "n_line", "template", "license", "n_template").agg(F.count("*").alias("common"))
+    scored = met.groupBy("doc_id", "line", "n_line", "template", "license", "n_template").agg(F.size(F.collect_set("gram")).cast("long").alias("common"))
     scored = scored.withColumn("dice", 2 * F.col("common") / (F.col("n_line") + F.col("n_template"))).where(F.col("dice") >= threshold)
     best = scored.groupBy("doc_id", "line").agg(F.min(F.struct((-F.col("dice")).alias("_d"), "license", "template", "common", "n_line", "n_template", "dice")).alias("b"))
     return best.select("doc_id", "b.license", "line", "b.common", F.col("b.n_line").cast("long").alias("n_line"), F.col("b.n_template").cast("long").alias("n_template"), "b.dice")
