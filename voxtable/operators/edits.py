@@ -1,4 +1,5 @@
-"""Label edits.  A list of edits compiles to one expression over ``label`` (and one coverage join for all path edits), however many there are."""
+"""Label edits.  A list of edits compiles to projections in one stage (runs of edits that depend on the label alone to a single table of labels), and
+path edits to one coverage join."""
 
 from __future__ import annotations
 
@@ -9,8 +10,6 @@ from pyspark.sql import functions as F
 
 from ..schema import LABELS, PRESETS
 
-LABEL = F.col
-
 
 def _check(*labels: int) -> None:
     for x in labels:
@@ -61,12 +60,33 @@ def _on(z: int | None) -> Column:
     return F.lit(True) if z is None else F.col("z") == z
 
 
-def apply(voxels: DataFrame, edits: list) -> DataFrame:
-    """The voxels after the edits, in their order."""
-    label: Column = F.col("label")
+def _composed(edits: list) -> list[int] | None:
+    """What each label 0 to 20 becomes, if the edits depend on the label alone."""
+    if any(not isinstance(e, (Convert, Delete)) or e.z is not None for e in edits):
+        return None
+    to = list(range(LABELS + 1))
     for e in edits:
-        label = e.apply(label)
-    return voxels.withColumn("label", label.cast(dict(voxels.dtypes)["label"]))
+        src, dst = (e.src, e.dst) if isinstance(e, Convert) else (e.label, 0)
+        _check(*(x for x in (src, dst) if isinstance(e, Convert) or x == src))
+        to = [dst if x == src else x for x in to]
+    return to
+
+
+def apply(voxels: DataFrame, edits: list) -> DataFrame:
+    """The voxels after the edits, in their order.  Each edit reads the label twice, so edits are steps, not one nested expression, which would double
+    with each; runs of plain conversions and deletions are composed beforehand."""
+    kind, out, i = dict(voxels.dtypes)["label"], voxels, 0
+    while i < len(edits):
+        j = i
+        while j < len(edits) and _composed(edits[j : j + 1]):
+            j += 1
+        if j > i:
+            to = F.array(*map(F.lit, _composed(edits[i:j])))
+            label = F.coalesce(F.get(to, F.col("label")), F.col("label"))
+        else:
+            label, j = edits[i].apply(F.col("label")), i + 1
+        out, i = out.withColumn("label", label.cast(kind)), j
+    return out
 
 
 def changed(before: DataFrame, edits: list) -> DataFrame:

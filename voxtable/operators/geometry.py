@@ -31,7 +31,8 @@ def rasterise(paths: DataFrame, height: int, width: int) -> DataFrame:
 def parse_points(text: Column) -> Column:
     """Points of a ``points`` attribute; an odd number at the end is left out."""
     n = F.transform(F.regexp_extract_all(text, F.lit(_NUMBER), F.lit(0)), lambda v: v.cast("double"))
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.expr("0"), F.floor(F.size(n) / 2).cast("int")) - 1), lambda i: F.struct(F.get(n, i * 2).alias("x"), F.get(n, i * 2 + 1).alias("y")))
+    firsts = F.filter(F.sequence(F.lit(0), F.size(n)), lambda i: (i % 2 == 0) & (i + 1 < F.size(n)))
+    return F.transform(firsts, lambda i: F.struct(F.get(n, i).alias("x"), F.get(n, i + 1).alias("y")))
 
 
 def parse_subpaths(d: Column) -> Column:

@@ -59,7 +59,7 @@ def nifti(voxels: DataFrame, volume: str, height: int, width: int, depth: int, a
         return pd.DataFrame({"name": [f"{volume}.nii.gz"], "content": [codecs.encode_nifti(out.transpose(2, 1, 0), affine)]})
 
     slabs = voxels.where("label > 0").select("z", "y", "x", "label").groupBy("z").applyInPandas(strip, "z int, data binary")
-    return slabs.groupBy(F.lit(1)).applyInPandas(run, FILES)
+    return slabs.withColumn("volume", F.lit(volume)).groupBy("volume").applyInPandas(run, FILES)
 
 
 def stl(triangles: DataFrame) -> DataFrame:
