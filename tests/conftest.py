@@ -16,5 +16,8 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from voxtable.runtime import ship
+
+    ship(s)
     yield s
     s.stop()
