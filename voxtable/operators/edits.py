@@ -104,6 +104,13 @@ def in_preset(name: str) -> Column:
     return in_threshold(*PRESETS[name])
 
 
+def preset_counts(voxels: DataFrame) -> DataFrame:
+    """(preset, n): how many voxels each intensity range holds, in one pass."""
+    counted = voxels.agg(*[F.count(F.when(in_preset(name), 1)).alias(name) for name in PRESETS])
+    rows = F.array(*[F.struct(F.lit(name).alias("preset"), F.col(f"`{name}`").alias("n")) for name in PRESETS])
+    return counted.select(F.explode(rows).alias("r")).select("r.preset", "r.n")
+
+
 def near_color(r: int, g: int, b: int, tolerance: int = 30) -> Column:
     """Each channel within the tolerance, ends clipped to 0 and 255."""
     clip = lambda c, t: F.col(c).between(max(0, t - tolerance), min(255, t + tolerance))

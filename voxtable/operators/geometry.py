@@ -121,3 +121,28 @@ def bring(paths: DataFrame, label: int, front: bool = True) -> DataFrame:
     """One label's paths after (or before) all others, otherwise in their order; ``seq`` is numbered anew within a slice."""
     first = F.when(F.col("label") == label, F.lit(1 if front else -1)).otherwise(0)
     return paths.withColumn("seq", F.row_number().over(Window.partitionBy("z").orderBy(first, "seq")))
+
+
+def keep_large(paths: DataFrame, threshold: float) -> DataFrame:
+    """Subpaths of at least that area (the polygon's own, not its pixels)."""
+    return paths.where(shoelace(F.col("pts")) >= threshold)
+
+
+def intersections(cover: DataFrame) -> DataFrame:
+    """(z, a, b, pixels) of paths that share pixels.  A pixel's paths are paired where they meet, so no slice is joined with itself."""
+    sets = cover.groupBy("z", "y", "x").agg(F.array_sort(F.collect_set("path_id")).alias("ids")).where(F.size("ids") > 1)
+    pairs = sets.select("z", F.posexplode("ids").alias("i", "a"), "ids").select("z", "a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
+    return pairs.groupBy("z", "a", "b").agg(F.count("*").alias("pixels"))
+
+
+def recolored(first: DataFrame, second: DataFrame, labels: int = 20) -> DataFrame:
+    """(label, new_label) for the second of two path sets to be laid together: labels that the first uses too move to free ones in order;
+    when none is free, the last is used again.  Both inputs shrink to at most 20 labels before anything meets."""
+    a, b = first.select("label").distinct(), second.select("label").distinct()
+    order = Window.orderBy("label")
+    taken = a.unionByName(b).distinct()
+    free = first.sparkSession.range(1, labels + 1).select(F.col("id").cast("int").alias("label")).join(taken, "label", "left_anti")
+    slots = free.select(F.row_number().over(order).alias("n"), F.col("label").alias("slot"))
+    clash = b.join(a, "label", "left_semi").withColumn("n", F.row_number().over(order))
+    moved = clash.join(slots, "n", "left").select("label", F.coalesce("slot", F.lit(labels)).alias("new_label"))
+    return b.join(moved, "label", "left").select("label", F.coalesce("new_label", "label").alias("new_label"))

@@ -79,6 +79,11 @@ def dilate(voxels: DataFrame, r: int, height: int, width: int) -> DataFrame:
     return grown.select("label", "z", F.explode(F.sequence(F.greatest(F.col("y") - r, F.lit(0)), F.least(F.col("y") + r, F.lit(height - 1)))).alias("y"), "x").distinct()
 
 
+def max_canvas(sizes: DataFrame) -> DataFrame:
+    """One row (height, width): the largest of each over the stack."""
+    return sizes.agg(F.max("height").alias("height"), F.max("width").alias("width"))
+
+
 def pad_to(voxels: DataFrame, sizes: DataFrame) -> DataFrame:
     """Slices centred on the largest canvas; an odd pixel goes right and below.  sizes: (z, height, width), one row a slice."""
     most = sizes.agg(F.max("height").alias("_h"), F.max("width").alias("_w"))

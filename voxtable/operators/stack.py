@@ -24,6 +24,11 @@ def last_number(name: Column) -> Column:
     return F.try_element_at(found, F.lit(-1)).cast("long")
 
 
+def stem_key(name: Column) -> Column:
+    """The last four characters of a name without its suffix: the key of web uploads and of folders read by stem."""
+    return F.right(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(4))
+
+
 def slice_key(z1: Column) -> Column:
     """Four-digit key of a 1-based place."""
     return F.when(z1 < 10000, F.lpad(z1.cast("string"), 4, "0")).otherwise(z1.cast("string"))

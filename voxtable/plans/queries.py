@@ -130,6 +130,11 @@ def extract_preset_ct_bone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.phantom(spark, sf_dir).where(edits.in_preset("CT Bone")).groupBy("z").agg(F.count("*").alias("n"))
 
 
+@query(f"{P} " + " union all ".join(f"select '{n}' preset, count(*) n from v where gray between {lo} and {hi}" for n, (lo, hi) in PRESETS.items()))
+def preset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.preset_counts(fx.phantom(spark, sf_dir))
+
+
 @query(f"{P} select z, count(*) n from (select z, gray r, (gray * 3) % 256 g, 255 - gray b from v) where r between 70 and 130 and g between 20 and 80 and b between 125 and 185 group by z")
 def extract_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     colored = fx.phantom(spark, sf_dir).selectExpr("z", "gray as r", "(gray * 3) % 256 as g", "255 - gray as b")
@@ -219,6 +224,25 @@ def polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.polygons(spark, sf_dir).select("path_id", geometry.shoelace(F.col("pts")).alias("area"))
 
 
+@query(f"with {fx.POLYGON_SQL} select path_id, cast(abs(sum(ax * by_ - bx * ay)) as double) / 2 area from edges group by path_id having abs(sum(ax * by_ - bx * ay)) >= 400")
+def remove_small_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.keep_large(fx.polygons(spark, sf_dir), 200).select("path_id", geometry.shoelace(F.col("pts")).alias("area"))
+
+
+@query(f"with {fx.POLYGON_SQL} select a.z, a.path_id a, b.path_id b, count(*) pixels from cover a join cover b using (z, y, x) where a.path_id < b.path_id group by 1, 2, 3")
+def path_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.intersections(_cover(spark, sf_dir))
+
+
+@query(f"""with {fx.POLYGON_SQL}, {LABELS_SQL}, a as (select distinct label from cover where path_id <= 8), b as (select distinct label from cover where path_id between 5 and 30 and label < 15),
+f as (select label slot, row_number() over (order by label) n from labels20 where label not in (select label from a) and label not in (select label from b)),
+c as (select label, row_number() over (order by label) n from b where label in (select label from a))
+select b.label, cast(case when c.label is null then b.label else coalesce(slot, 20) end as int) new_label from b left join c on c.label = b.label left join f on f.n = c.n""")
+def recolor_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = fx.polygons(spark, sf_dir)
+    return geometry.recolored(paths.where("path_id <= 8"), paths.where("path_id between 5 and 30 and label < 15"))
+
+
 @query("""with l as (select c_custkey id, cast(c_custkey % 48 as int) x1, cast(c_custkey * 7 % 48 as int) y1, cast(c_custkey * 3 % 48 as int) x2, cast(c_custkey * 5 % 48 as int) y2 from customer)
 select id, x1, y1, x2, y2, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) px, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) * cast(0.5 as double) mm from l""")
 def line_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,6 +273,13 @@ def mask_file_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.mask_keys(names).select("id", "key")
 
 
+@query("select n_nationkey id, right('scan_' || lpad(cast(n_nationkey * 37 as varchar), 6, '0'), 4) key from nation")
+def stem_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    names = fx.table(spark, sf_dir, "nation").select(k.alias("id"), F.concat(F.lit("scan_"), F.lpad((k * 37).cast("string"), 6, "0"), F.lit(".png")).alias("name"))
+    return names.select("id", stack.stem_key(F.col("name")).alias("key"))
+
+
 @query(f"{P}, t as (select distinct z from v), k as (select z, row_number() over (order by z) - 1 i from t) select k.i // 3 new_z, label, count(*) n from v join k using (z) where k.i % 3 = 0 group by 1, 2".replace("k.i // 3 new_z", "cast(k.i // 3 as int) new_z"))
 def thin_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = fx.phantom(spark, sf_dir)
@@ -323,6 +354,11 @@ def dilate_square(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.dilate(fx.phantom(spark, sf_dir), 2, H, W)
 
 
+@query(f"{P} select {H} - min(z) height, {W} - 2 * min(z) width from v")
+def max_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.max_canvas(report.slice_table(fx.phantom(spark, sf_dir)).selectExpr(f"{H} - z as height", f"{W} - 2 * z as width"))
+
+
 @query(f"{P}, s as (select z, {H} - z h, {W} - 2 * z w from (select distinct z from v)) select v.z, v.y + z // 2 y, v.x + (2 * z) // 2 x, label from v where label > 0 and y < {H} - z and x < {W} - 2 * z")
 def pad_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = fx.phantom(spark, sf_dir)
@@ -410,7 +446,15 @@ def undo_redo_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.active(_log(spark, sf_dir, 2))
 
 
-@query()
+_FOLD = "list_reduce(list(struct_pack(seq := seq, action := action, done := []::bigint[], undone := []::bigint[]) order by seq), lambda a, e: case {} else a end, struct_pack(seq := cast(-1 as bigint), action := '', done := []::bigint[], undone := []::bigint[]))".format(
+    "when e.action = 'edit' then struct_pack(seq := e.seq, action := e.action, done := list_append(a.done, e.seq), undone := []::bigint[]) "
+    "when e.action = 'undo' and len(a.done) > 0 then struct_pack(seq := e.seq, action := e.action, done := a.done[:-2], undone := list_append(a.undone, a.done[-1])) "
+    "when e.action = 'redo' and len(a.undone) > 0 then struct_pack(seq := e.seq, action := e.action, done := list_append(a.done, a.undone[-1]), undone := a.undone[:-2])"
+)
+
+
+@query(f"""with l as (select event_id seq, case when event_id % 5 = 3 then 'undo' when event_id % 7 = 4 then 'redo' else 'edit' end as action, event_id % 12 z from events where event_id < 600),
+d as (select unnest(({_FOLD}).done) seq from l) select l.seq, action, z from l join d on d.seq = l.seq""")
 def undo_redo_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.active(_log(spark, sf_dir, 600))
 
