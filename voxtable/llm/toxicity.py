@@ -100,14 +100,26 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12)
     return w
 
 
+def _places(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places in ``known`` (sorted) of the values that are in it."""
+    if not len(known):
+        return np.zeros(0, np.int32)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return at[known[at] == values].astype(np.int32)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, names: list[str], most: int = 256, folds: int = 5, seed: int = 5) -> Chain:
     """rows: each training text's feature hashes; labels: (texts, categories) of 0 and 1."""
     n = len(rows)
-    sizes = np.fromiter(map(len, rows), np.int64, n)
-    flat = np.concatenate(rows) if n else np.zeros(0, np.uint64)
-    feature, slot = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
-    total = np.bincount(slot, minlength=len(feature))
+    feature = np.concatenate(rows) if n else np.zeros(0, np.uint64)
+    feature.sort()
+    first = np.flatnonzero(np.append(True, feature[1:] != feature[:-1])) if len(feature) else np.zeros(0, np.int64)
+    total = np.diff(np.append(first, len(feature)))
+    feature, total = feature[first[total >= 4]], total[total >= 4]  # rarer ones are never chosen
+    slots = [_places(feature, r) for r in rows]
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in slots])
+    slot = np.concatenate(slots) if n else np.zeros(0, np.int32)
+    del slots
     chosen: list[np.ndarray] = []
     for c in range(len(names)):
         y = labels[:, c].astype(float)
@@ -116,7 +128,6 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, names: list[str], most: int
         a, b = (pos + 0.1) / (p1 + 1), (total - pos + 0.1) / (p0 + 1)
         share = total / max(n, 1)
         z = (a - b) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / (p1 + 1) + 1 / (p0 + 1)))
-        z[total < 4] = 0
         best = np.argsort(-np.abs(z), kind="stable")[:most]
         chosen.append(best[np.abs(z[best]) > 4])
     union = np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
