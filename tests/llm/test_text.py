@@ -164,7 +164,7 @@ def test_contexts_find_unseen_identifiers(spark):
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32))
     rows = [(i, f"words before secret_key={key()} and after") for i in range(30)]
     rows += [(100, "the secret_key=hunter22 is short"), (101, "about 100000 people and 2024-10-11 dates"), (102, "my secret_key=ops@corp.example.com here")]
-    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), keep=True)
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"])
     got = {r["doc_id"]: r for r in pii.report(found).collect()}
     assert got[100]["spans"] == "identifier:15:23" and got[101]["spans"] == ""
     assert got[102]["n_email"] == 0 or got[102]["n_identifier"] == 0  # never two over each other

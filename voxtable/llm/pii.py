@@ -144,19 +144,20 @@ def patterns(found: DataFrame, rounds: int = 3, confidence: float = 0.8, support
     return scored.where((F.col("sure") >= confidence) & (F.col("n") >= support)).select("pattern")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rounds: int = 3, confidence: float = 0.8, support: int = 5, keep: bool = False) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rounds: int = 3, confidence: float = 0.8, support: int = 5, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, text, base, found): base spans of each row, and array<struct<start,kind,end>> of what the contexts add; with
-    ``keep`` also ``row``, a struct of the input row."""
+    ``keep`` also ``row``, a struct of the input columns named there."""
     rows = id_text(docs, id_col, text_col)
     seen = settle(occurrences(rows))
     good = patterns(seen, rounds, confidence, support)
     hits = seen.select("doc_id", "_key", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
     hits = hits.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(KINDS.index("identifier")).alias("kind"), "end"))).alias("hits"))
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *[F.struct(*docs.columns).alias("row")] * keep)
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
     based = base(kept).withColumn("_key", F.xxhash64("text"))
-    joined = based.join(hits, based["doc_id"].eqNullSafe(hits["doc_id"]) & (based["_key"] == hits["_key"]), "left").drop(hits["doc_id"], hits["_key"])
+    # The same plan at every size: hits grow with the corpus, so they are never sent to all executors.
+    joined = based.join(hits.hint("merge"), based["doc_id"].eqNullSafe(hits["doc_id"]) & (based["_key"] == hits["_key"]), "left").drop(hits["doc_id"], hits["_key"])
     clear = F.filter(F.coalesce("hits", F.array().cast("array<struct<start:int,kind:int,end:int>>")), lambda h: ~F.exists("base", lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
-    return joined.select("doc_id", "text", "base", clear.alias("found"), *["row"] * keep)
+    return joined.select("doc_id", "text", "base", clear.alias("found"), *(["row"] if keep else []))
 
 
 def _of_kind(i: int):
