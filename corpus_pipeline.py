@@ -12,35 +12,42 @@ from pyspark.sql import functions as F
 from voxtable.llm import langid, neardup, packing, pii, toxicity
 from voxtable.llm.common import settle, table
 from voxtable.llm.registry import CATEGORIES, RANKS
+from voxtable.runtime import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter (or without text) go."""
+    ship(spark)
     marked = langid.predict(docs, langid.train(docs), keep=True)
     return marked.where(F.col("lang_pred") != "und").select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxic probability of a half or more go."""
+    ship(spark)
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), CATEGORIES)
     return toxicity.predict(docs, chain, keep=True).where(F.col("p_toxic") < 0.5).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at 0.8 over five-word shingles, the one with the smallest id stays (with all rows of that id)."""
+    ship(spark)
     gone = neardup.groups(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data become their kind in brackets; no document goes."""
-    done = pii.redact(pii.find(docs, keep=True))
-    fields = {"text": F.when(F.col("row.text").isNotNull(), F.col("text")), "n_chars": F.length("text").cast("long")}
+    ship(spark)
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    done = pii.redact(pii.find(docs.withColumn("_no_text", F.col("text").isNull()), keep=[*others, "_no_text"]))
+    fields = {"text": F.when(~F.col("row._no_text"), F.col("text")), "n_chars": F.length("text").cast("long")}
     return done.select(*[fields.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every token of every document, in sequences of at most 1024."""
+    ship(spark)
     return packing.pack(settle(packing.pieces(docs, RANKS)))
 
 
