@@ -29,6 +29,16 @@ def test_ids_are_the_librarys(library):
         assert ids.tolist() == library.encode_ordinary(t), repr(t)
 
 
+def test_ids_are_those_of_the_other_library(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["<|endoftext|> x", "\0\0", "abcdefgh" * 3, "abcdefg\0"]
+    for want, got in zip(t.encode_batch(texts, add_special_tokens=False), bpe.codec(RANKS).encode_batch(texts), strict=True):
+        assert want.ids == got.tolist()
+
+
 def test_scan_is_associative():
     _, table, _, _ = bpe._monoid()
     rng = np.random.default_rng(0)

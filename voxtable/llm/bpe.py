@@ -20,6 +20,7 @@ from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -143,6 +144,10 @@ def boundaries(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[before, symbol] | begins[:n])
 
 
+#: Of a little-endian number, the first n bytes.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 class Codec:
     """Encoder and decoder for one file of ranks.  Pieces of up to 64 bytes are cached with their ids in one
     flat array; the cache is emptied when it holds ``cache`` pieces."""
@@ -171,6 +176,53 @@ class Codec:
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), "<u4", int(size.sum()))])
 
+    def _slots(self, data: bytes, cuts: np.ndarray) -> np.ndarray:
+        """Cache places of the pieces between cuts.  Pieces of up to 15 bytes are told apart as one or two numbers (with their
+        length in the last byte), so only distinct ones are looked up by their bytes."""
+        if len(self.known) >= self.cache:
+            self._empty()
+        starts, lengths = cuts[:-1], np.diff(cuts)
+        padded = data + bytes(16)
+        words = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+        first: list[np.ndarray] = []  # for each distinct piece, one of its places
+        code = np.empty(len(starts), np.int64)
+        count = 0
+
+        def add(rows: np.ndarray, codes: np.ndarray, n: int) -> None:
+            nonlocal count
+            place = np.empty(n, np.int64)
+            place[codes] = rows
+            first.append(place)
+            code[rows] = count + codes
+            count += n
+
+        def tagged(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+            return words[at] & _MASKS[size] | size.astype(np.uint64) << np.uint64(56)
+
+        rows = np.flatnonzero(lengths < 8)
+        codes, distinct = pd.factorize(tagged(starts[rows], lengths[rows]))
+        add(rows, codes, len(distinct))
+        rows = np.flatnonzero((lengths >= 8) & (lengths < 16))
+        head, _ = pd.factorize(words[starts[rows]])
+        tail, tails = pd.factorize(tagged(starts[rows] + 8, lengths[rows] - 8))
+        codes, distinct = pd.factorize(head * max(1, len(tails)) + tail)
+        add(rows, codes, len(distinct))
+        rows = np.flatnonzero(lengths >= 16)
+        add(rows, np.arange(len(rows)), len(rows))
+
+        where = np.concatenate(first)
+        pieces = list(map(data.__getitem__, map(slice, starts[where].tolist(), cuts[1:][where].tolist())))
+        slots = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(slots < 0).tolist()
+        if missing:
+            new = {pieces[i] for i in missing}
+            self._add(list(new))
+            slots[missing] = [self.known[pieces[i]] for i in missing]
+            for p in new:  # found again only by chance
+                if len(p) > 64:
+                    del self.known[p]
+        return slots[code]
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         joined = "".join(texts)
@@ -183,19 +235,7 @@ class Codec:
         data = joined.encode()
         width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
         place = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
-        cuts = [*place[at].tolist(), len(data)]
-        pieces = list(map(data.__getitem__, map(slice, cuts[:-1], cuts[1:])))
-        if len(self.known) >= self.cache:
-            self._empty()
-        slots = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(slots < 0).tolist()
-        if missing:
-            new = {pieces[i] for i in missing}
-            self._add(list(new))
-            slots[missing] = [self.known[pieces[i]] for i in missing]
-            for p in new:  # found again only by chance
-                if len(p) > 64:
-                    del self.known[p]
+        slots = self._slots(data, np.append(place[at], len(data)))
         size = self.size[slots]
         stop = np.cumsum(size)
         ids = self.flat[np.repeat(self.at[slots] - (stop - size), size) + np.arange(stop[-1])]
