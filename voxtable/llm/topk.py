@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
+_BOUND = pa.schema([("qb", pa.int32()), ("qi", pa.int32()), ("total", pa.int64())])
+_FOUND = pa.schema([("qb", pa.int32()), ("qi", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 SLICE = 256  # queries at a time, so that a task's score matrices stay small
 
 
@@ -81,60 +83,62 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = 2, id
     cells = blocks(rows, n_c, dim)
     left = queries.select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("data").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
     right = cells.select(F.col("block").alias("cb"), "ids", "data", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # one pair of blocks at a time
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, c = _matrix(r["q"], dim), _matrix(r["data"], dim)
-                for lo in range(0, len(q_ids), SLICE):
-                    lists = _partials(q[lo : lo + SLICE], c, parts)
-                    m = min(k + 1, len(ids))
-                    near = np.concatenate([np.argpartition(x, len(ids) - m, axis=1)[:, len(ids) - m :] for x in lists], axis=1)
-                    near.sort(axis=1)
-                    qi = np.repeat(np.arange(len(near)), near.shape[1])
-                    keep = np.concatenate([np.ones((len(near), 1), bool), np.diff(near, axis=1) != 0], axis=1).ravel()
-                    ci = near.ravel()
-                    keep &= ids[ci] != q_ids[lo + qi]
-                    qi, ci = qi[keep], ci[keep]
-                    total = sum(x[qi, ci] for x in lists).astype(np.int64)
-                    best = _local_best(qi, total, ids[ci], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), r["qb"], np.int32)), pa.array((lo + qi[best]).astype(np.int32)), pa.array(total[best])], names=["qb", "qi", "total"])
+
+    def bound(pair: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(_bound(pair.to_pylist())), _BOUND)
+
+    def _bound(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
+            q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
+            q, c = _matrix(r["q"], dim), _matrix(r["data"], dim)
+            for lo in range(0, len(q_ids), SLICE):
+                lists = _partials(q[lo : lo + SLICE], c, parts)
+                m = min(k + 1, len(ids))
+                near = np.concatenate([np.argpartition(x, len(ids) - m, axis=1)[:, len(ids) - m :] for x in lists], axis=1)
+                near.sort(axis=1)
+                qi = np.repeat(np.arange(len(near)), near.shape[1])
+                keep = np.concatenate([np.ones((len(near), 1), bool), np.diff(near, axis=1) != 0], axis=1).ravel()
+                ci = near.ravel()
+                keep &= ids[ci] != q_ids[lo + qi]
+                qi, ci = qi[keep], ci[keep]
+                total = sum(x[qi, ci] for x in lists).astype(np.int64)
+                best = _local_best(qi, total, ids[ci], k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), r["qb"], np.int32)), pa.array((lo + qi[best]).astype(np.int32)), pa.array(total[best])], names=["qb", "qi", "total"])
 
     pairs = left.join(right, ["qb", "cb"])
-    totals = pairs.mapInArrow(bound, "qb int, qi int, total long")
+    totals = pairs.groupBy("qb", "cb").applyInArrow(bound, "qb int, qi int, total long")
     nth = F.row_number().over(Window.partitionBy("qb", "qi").orderBy(F.desc("total")))
     cutoffs = totals.withColumn("n", nth).where(F.col("n") <= k).groupBy("qb", "qi").agg(F.min("total").alias("cut"), F.count("*").alias("n"))
     # At most query_block rows for each query block.
-    cutoffs = cutoffs.where(F.col("n") == k).groupBy("qb").agg(F.collect_list("qi").alias("qi"), F.collect_list("cut").alias("cut"))
+    cutoffs = cutoffs.where(F.col("n") == k).groupBy("qb").agg(F.collect_list(F.struct("qi", "cut")).alias("cuts"))
     cutoffs = settle(cutoffs)
 
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, c = _matrix(r["q"], dim), _matrix(r["data"], dim)
-                cut = np.full(len(q_ids), -(2**62), np.int64)
-                if r["qi"]:
-                    cut[r["qi"]] = r["cut"]
-                for lo in range(0, len(q_ids), SLICE):
-                    lists = _partials(q[lo : lo + SLICE], c, parts)
-                    least = cut[lo : lo + SLICE, None] / parts
-                    enough = np.zeros(lists[0].shape, bool)
-                    for x in lists:
-                        enough |= x >= least
-                    qi, ci = np.nonzero(enough)
-                    total = sum(x[qi, ci] for x in lists).astype(np.int64)
-                    keep = (total >= cut[lo + qi]) & (ids[ci] != q_ids[lo + qi])
-                    qi, ci, total = qi[keep], ci[keep], total[keep]
-                    best = _local_best(qi, total, ids[ci], k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(best), r["qb"], np.int32)), pa.array((lo + qi[best]).astype(np.int32)), pa.array(q_ids[lo + qi[best]]), pa.array(ids[ci[best]]), pa.array(total[best])],
-                        names=["qb", "qi", "query_id", "vec_id", "score"],
-                    )
-
-    found = left.join(right, ["qb", "cb"]).join(cutoffs, "qb", "left").mapInArrow(resolve, "qb int, qi int, query_id long, vec_id long, score long")
+    def resolve(pair: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(_resolve(pair.to_pylist())), _FOUND)
+
+    def _resolve(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
+            q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
+            q, c = _matrix(r["q"], dim), _matrix(r["data"], dim)
+            cut = np.full(len(q_ids), -(2**62), np.int64)
+            for e in r["cuts"] or []:
+                cut[e["qi"]] = e["cut"]
+            for lo in range(0, len(q_ids), SLICE):
+                lists = _partials(q[lo : lo + SLICE], c, parts)
+                least = cut[lo : lo + SLICE, None]
+                enough = np.zeros(lists[0].shape, bool)
+                for x in lists:
+                    enough |= x * parts >= least
+                qi, ci = np.nonzero(enough)
+                total = sum(x[qi, ci] for x in lists).astype(np.int64)
+                keep = (total >= cut[lo + qi]) & (ids[ci] != q_ids[lo + qi])
+                qi, ci, total = qi[keep], ci[keep], total[keep]
+                best = _local_best(qi, total, ids[ci], k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(best), r["qb"], np.int32)), pa.array((lo + qi[best]).astype(np.int32)), pa.array(q_ids[lo + qi[best]]), pa.array(ids[ci[best]]), pa.array(total[best])],
+                    names=["qb", "qi", "query_id", "vec_id", "score"],
+                )
+
+    found = left.join(cutoffs, "qb", "left").join(right, ["qb", "cb"]).groupBy("qb", "cb").applyInArrow(resolve, "qb int, qi int, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("qb", "qi").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
