@@ -260,3 +260,12 @@ def test_slice_interpolation_keeps_slices():
 
 def test_fixed_tables(spark):
     assert palette(spark).count() == len(COLORS) == 20 and presets(spark).count() == 6
+
+
+def test_outlines_of_rings_and_corners():
+    ring = [(y, x) for y in range(5) for x in range(5) if not (1 <= y <= 3 and 1 <= x <= 3)]
+    loops = geometry.outline(*map(np.array, zip(*ring, strict=True)))
+    assert sorted(len(p) for p in loops) == [4, 4]
+    corners = geometry.outline(np.array([0, 1]), np.array([0, 1]))
+    assert sum(len(p) for p in corners) == 8
+    assert geometry.outline(np.zeros(0, int), np.zeros(0, int)) == []

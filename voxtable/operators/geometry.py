@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,3 +148,39 @@ def recolored(first: DataFrame, second: DataFrame, labels: int = 20) -> DataFram
     clash = b.join(a, "label", "left_semi").withColumn("n", F.row_number().over(order))
     moved = clash.join(slots, "n", "left").select("label", F.coalesce("slot", F.lit(labels)).alias("new_label"))
     return b.join(moved, "label", "left").select("label", F.coalesce("new_label", "label").alias("new_label"))
+
+
+def outline(y: np.ndarray, x: np.ndarray) -> list[list[tuple[float, float]]]:
+    """Closed outlines along pixel sides, holes included; only corners are kept.  Rasterising them gives back exactly the pixels."""
+    here = set(zip(y.tolist(), x.tolist(), strict=True))
+    sides: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r, c in sorted(here):  # directed, the pixel on the right
+        for other, a, b in (((r - 1, c), (c, r), (c + 1, r)), ((r, c + 1), (c + 1, r), (c + 1, r + 1)), ((r + 1, c), (c + 1, r + 1), (c, r + 1)), ((r, c - 1), (c, r + 1), (c, r))):
+            if other not in here:
+                sides.setdefault(a, []).append(b)
+    loops = []
+    while sides:
+        start = next(iter(sides))
+        loop, at = [start], start
+        while True:
+            at, used = sides[at].pop(), at
+            if not sides[used]:
+                del sides[used]
+            if at == start:
+                break
+            loop.append(at)
+        turns = [p for q, p, n in zip([loop[-1], *loop[:-1]], loop, [*loop[1:], loop[0]], strict=True) if (p[0] - q[0]) * (n[1] - p[1]) != (p[1] - q[1]) * (n[0] - p[0])]
+        loops.append([(float(a), float(b)) for a, b in turns])
+    return loops
+
+
+def contours(voxels: DataFrame) -> DataFrame:
+    """(path_id, z, label, subpath, pts): the outlines of each label on each slice; path_id is z * 32 + label.  A slice's label is one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        z, label = int(pdf["z"].iloc[0]), int(pdf["label"].iloc[0])
+        loops = outline(pdf["y"].to_numpy(), pdf["x"].to_numpy())
+        return pd.DataFrame({"path_id": z * 32 + label, "z": z, "label": label, "subpath": range(len(loops)), "pts": [[{"x": a, "y": b} for a, b in p] for p in loops]})
+
+    fore = voxels.where("label > 0").select("z", "label", "y", "x")
+    return fore.groupBy("z", "label").applyInPandas(run, f"path_id long, z int, label int, subpath int, pts {POINTS}")

@@ -224,6 +224,19 @@ def polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.polygons(spark, sf_dir).select("path_id", geometry.shoelace(F.col("pts")).alias("area"))
 
 
+@query(f"{P} select z, y, x, label from v where label > 0")
+def contour_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.rasterise(geometry.contours(fx.phantom(spark, sf_dir)), H, W).select("z", "y", "x", "label")
+
+
+@query(f"{P}, e as (select z, label, unnest([{{'a': 0, 'y': y, 'x': x}}, {{'a': 0, 'y': y + 1, 'x': x}}, {{'a': 1, 'y': y, 'x': x}}, {{'a': 1, 'y': y, 'x': x + 1}}]) e from v where label > 0), o as (select z, label, e from e group by z, label, e having count(*) = 1) select z, label, count(*) sides from o group by z, label")
+def contour_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed = F.concat("pts", F.slice("pts", 1, 1))
+    steps = F.zip_with(F.slice(closed, 1, F.size("pts")), F.slice(closed, 2, F.size("pts")), lambda a, b: F.abs(b["x"] - a["x"]) + F.abs(b["y"] - a["y"]))
+    around = F.aggregate(steps, F.lit(0.0), lambda t, d: t + d)
+    return geometry.contours(fx.phantom(spark, sf_dir)).groupBy("z", "label").agg(F.sum(around).cast("long").alias("sides"))
+
+
 @query(f"with {fx.POLYGON_SQL} select path_id, cast(abs(sum(ax * by_ - bx * ay)) as double) / 2 area from edges group by path_id having abs(sum(ax * by_ - bx * ay)) >= 400")
 def remove_small_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.keep_large(fx.polygons(spark, sf_dir), 200).select("path_id", geometry.shoelace(F.col("pts")).alias("area"))
