@@ -105,7 +105,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = 2, id
                 best = _local_best(qi, total, ids[ci], k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), r["qb"], np.int32)), pa.array((lo + qi[best]).astype(np.int32)), pa.array(total[best])], names=["qb", "qi", "total"])
 
-    pairs = left.join(right, ["qb", "cb"])
+    # Blocks grow in number with the corpus: they meet by merge, whatever Spark's estimate of their size.
+    pairs = left.join(right.hint("merge"), ["qb", "cb"])
     totals = pairs.groupBy("qb", "cb").applyInArrow(bound, "qb int, qi int, total long")
     nth = F.row_number().over(Window.partitionBy("qb", "qi").orderBy(F.desc("total")))
     cutoffs = totals.withColumn("n", nth).where(F.col("n") <= k).groupBy("qb", "qi").agg(F.min("total").alias("cut"), F.count("*").alias("n"))
@@ -139,6 +140,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = 2, id
                     names=["qb", "qi", "query_id", "vec_id", "score"],
                 )
 
-    found = left.join(cutoffs, "qb", "left").join(right, ["qb", "cb"]).groupBy("qb", "cb").applyInArrow(resolve, "qb int, qi int, query_id long, vec_id long, score long")
+    found = left.join(cutoffs.hint("merge"), "qb", "left").join(right.hint("merge"), ["qb", "cb"]).groupBy("qb", "cb").applyInArrow(resolve, "qb int, qi int, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("qb", "qi").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
