@@ -121,6 +121,18 @@ def test_groups_of_odd_rows(spark, odd, none):
     assert neardup.groups(none).count() == 0
 
 
+def test_groups_of_one_id_on_different_texts(spark):
+    word = lambda k, i: f"w{k}x{i}"
+    text = lambda k: [word(k, i) for i in range(80)]
+    near = lambda k: " ".join([*text(k)[:-1], "changed"])
+    rows = [(1, " ".join(text(k))) for k in range(12)] + [(7 + k, near(k)) for k in range(12)]  # a hot id of twelve texts, and a near copy of each
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=3, percent=85).collect()
+    assert len(got) == 24 and all(r["component_id"] == 1 for r in got)
+    assert {r["doc_id"] for r in got if r["kept"]} == {1} and sum(r["kept"] for r in got) == 12
+    again = neardup.groups(spark.createDataFrame([*rows, (1, rows[0][1])], "doc_id long, text string"), words=3, percent=85).collect()
+    assert len(again) == 25 and sum(r["kept"] for r in again) == 12  # a repeated row is no second one of its group
+
+
 def test_banding_misses_little():
     for percent in (80, 85, 90):
         bands, perms = neardup.banding(percent)

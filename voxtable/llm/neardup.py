@@ -13,7 +13,9 @@ is emitted is a forest of links, never all pairs.
 
 Words are runs of anything but blanks and U+0009 to U+000D, with A-Z lower-cased.  Texts with fewer words than a shingle
 are one shingle; null, empty and blank texts have none and link with nothing.  Rows with a null id link with nothing either
-(component null, kept).  Rows with equal ids and different texts are linked each by its own text.
+(component null, kept).  Rows with equal ids and different texts are linked each by its own text: a class is named by the 64-bit
+hash of its set's digest, and ids come back only when the components are known.  One row of a component is kept, the first by
+id, hash of the text, and place in the input.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, settle, small_batches
+from .common import settle, small_batches
 from .graph import components
 from .words import mix
 
@@ -82,11 +84,13 @@ def band_keys(hashes: np.ndarray, bands: int, perms: int) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, words: int, bands: int, perms: int) -> DataFrame:
-    """(doc_id, n, set binary, bands array<long>): size and 128-bit digest of each row's shingle set; bands are null for an empty set."""
+    """(doc_id, key, n, set binary, bands array<long>[, row]) of (doc_id, key, text[, row]): size and 128-bit digest of each row's
+    shingle set; bands are null for an empty set."""
+    more = rows.columns[3:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
+            sets = shingle_sets(batch.column(2).to_pylist(), words)
             done: dict[bytes, np.ndarray] = {}
             keys = []
             for s in sets:
@@ -94,10 +98,14 @@ def sketches(rows: DataFrame, words: int, bands: int, perms: int) -> DataFrame:
                 if len(s) and d not in done:
                     done[d] = band_keys(s, bands, perms)
                 keys.append((d, done.get(d)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array((d for d, _ in keys), pa.binary()), pa.array((k for _, k in keys), pa.list_(pa.int64()))], names=["doc_id", "n", "set", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(map(len, sets), pa.int64()), pa.array((d for d, _ in keys), pa.binary()), pa.array((k for _, k in keys), pa.list_(pa.int64())), *batch.columns[3:]],
+                names=["doc_id", "key", "n", "set", "bands", *more],
+            )
 
     small_batches(rows)
-    return rows.mapInArrow(run, "doc_id long, n long, set binary, bands array<long>")
+    carried = "".join(f", row {f.dataType.simpleString()}" for f in rows.schema.fields[3:])
+    return rows.mapInArrow(run, "doc_id long, key long, n long, set binary, bands array<long>" + carried)
 
 
 def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -134,46 +142,61 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             big = int(counts.argmax())
 
 
-def groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each input row."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(doc_id, key, text): ``key`` tells rows of one id apart by their text."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"), text.alias("text"), *more)
+
+
+def _decide(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, *, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, each with a number ``at`` of its own, and (at, doc_id, n_shingles, component_id, kept) of each."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     bands, perms = banding(percent)
-    rows = id_text(docs, id_col, text_col)
-    sketched = settle(sketches(rows, words, bands, perms))
+    rows = _keyed(docs, id_col, text_col)
+    carried = _keyed(docs, id_col, text_col, F.struct(*docs.columns).alias("row")) if keep else rows
+    sketched = settle(sketches(carried, words, bands, perms).withColumn("at", F.monotonically_increasing_id()))
     linkable = sketched.where("n > 0 and doc_id is not null")
-    classes = settle(linkable.groupBy("set").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    classes = linkable.groupBy("set").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = settle(classes.select(F.xxhash64("set").alias("node"), "set", "first", "n", "bands"))
     spread = classes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     pivots = settle(spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot <> _last").select("bucket", "pivot"))
     stars = spread.join(pivots, "bucket").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     coarse = settle(components(stars))
     # Chunks of each group by the shingles they hold.
     weights = classes.join(coarse, "node").groupBy("root").agg(F.sum("n").alias("w")).select("root", F.ceil(F.col("w") / CHUNK).cast("int").alias("chunks"))
-    members = coarse.join(classes.select("node", "set"), "node").join(weights, "root")
-    members = members.select(F.col("node").alias("doc_id"), "set", "root", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    texts = rows.join(members, "doc_id").select("root", "chunks", "chunk", F.col("doc_id").alias("node"), "set", "text")
+    members = coarse.join(classes.select("node", "set", "first"), "node").join(weights, "root")
+    members = members.select(F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"), "node", "set", "root", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+    texts = rows.join(members, ["doc_id", "key"]).select("root", "chunks", "chunk", "node", "set", "text")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(5).to_pylist(), words)
             mine = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, batch.column(4).to_pylist(), strict=True)])
-            out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array((s.tobytes() for s in sets), pa.binary())], names=["root", "chunks", "chunk", "node", "data"])
-            yield out.filter(mine)  # another text may have the same id
+            out = pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array((s.tobytes() for s in sets), pa.binary())], names=["root", "chunks", "chunk", "node", "set", "data"])
+            yield out.filter(mine)  # another text may have the same key
 
-    full = texts.mapInArrow(sets_of, "root long, chunks int, chunk int, node long, data binary")
+    full = texts.mapInArrow(sets_of, "root long, chunks int, chunk int, node long, set binary, data binary")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    sided = full.select("root", "chunk", "node", "data", other).select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "data")
+    sided = full.select("root", "chunk", "node", "set", "data", other).select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "set", "data")
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node").sort_values("node")
+        pdf = pdf.drop_duplicates("set").sort_values(["node", "set"])
         node = pdf["node"].to_numpy()
         pairs = forest([np.frombuffer(d, np.uint64) for d in pdf["data"]], percent)
         return pd.DataFrame({"a": [node[i] for i, _ in pairs], "b": [node[j] for _, j in pairs]}, dtype=np.int64)
 
     links = sided.groupBy("root", "i", "j").applyInPandas(confirm, "a long, b long")
     joined = settle(components(links))
-    reached = classes.select("set", "node").join(joined, "node", "left").select("set", F.coalesce("root", "node").alias("component_id"))
-    mine = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = sketched.select("doc_id", "n", "set").join(reached, "set", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), mine).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    reached = classes.select("set", "node", "first").join(joined, "node", "left").select("set", "first", F.coalesce("root", "node").alias("root"))
+    heads = reached.groupBy("root").agg(F.min("first").alias("head"))
+    reached = reached.join(heads, "root").select("set", "head")
+    out = sketched.select("at", "doc_id", "n", "set").join(reached, "set", "left")
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("head.doc_id")).otherwise(F.col("doc_id")))
+    return sketched, out.select("at", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(linked, F.col("at") == F.col("head.at")).otherwise(True).alias("kept"))
+
+
+def groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each input row."""
+    return _decide(docs, words, percent, id_col, text_col)[1].drop("at")
