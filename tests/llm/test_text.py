@@ -244,3 +244,15 @@ def test_pipeline_stages(spark):
     packed = c.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == kept[-1] == kept[-2]
     assert packed.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 1024").count() == 0
+
+
+def test_pipeline_keeps_rows_not_ids(spark):
+    import corpus_pipeline as c
+
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (5, a + " end"), (5, b), (6, a), (6, a), (7, None), (None, b), (None, b), (8, "alone here"), (8, "alone here")]
+    got = c.drop_near_duplicates(spark, spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], schema), SF)
+    assert got.schema.names == schema.names
+    # Id 5 loses its copy of 1's text and keeps its own; repeated rows leave one; rows without a text or an id link with nothing.
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == collections.Counter([(1, a), (5, b), (7, None), (None, b), (None, b), (8, "alone here")])

@@ -200,3 +200,9 @@ def _decide(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
 def groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each input row."""
     return _decide(docs, words, percent, id_col, text_col)[1].drop("at")
+
+
+def first_rows(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``groups`` keeps.  The decision is each row's own, by its number, so ids may repeat."""
+    sketched, decided = _decide(docs, words, percent, id_col, text_col, keep=True)
+    return sketched.select("at", "row").join(decided.where(~F.col("kept")).select("at"), "at", "left_anti").select("row.*")
