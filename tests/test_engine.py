@@ -269,3 +269,23 @@ def test_outlines_of_rings_and_corners():
     corners = geometry.outline(np.array([0, 1]), np.array([0, 1]))
     assert sum(len(p) for p in corners) == 8
     assert geometry.outline(np.zeros(0, int), np.zeros(0, int)) == []
+
+
+def test_whole_queries_read_every_row(spark):
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    assert parts > 72 and plans.QUERIES["polygon_area_whole"](spark, SF).count() == parts
+    assert plans.QUERIES["rasterize_polygons_whole"](spark, SF).select("path_id").distinct().count() == parts
+    done, undone = [], []
+    for (i,) in sorted(spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect()):
+        if i % 5 == 3:
+            if done:
+                undone.append(done.pop())
+        elif i % 7 == 4:
+            if undone:
+                done.append(undone.pop())
+        else:
+            done.append(i)
+            undone.clear()
+    assert sorted(r["seq"] for r in plans.QUERIES["undo_redo_replay_whole"](spark, SF).collect()) == done and max(done) >= 600
+    used = plans.QUERIES["used_labels"](spark, SF).count()
+    assert plans.QUERIES["smooth_mesh"](spark, SF).select("label").distinct().count() == used > 2

@@ -50,7 +50,7 @@ def merge_directions(masks: DataFrame, winner: str = "forward") -> DataFrame:
 
 
 def write_labels(voxels: DataFrame, masks: DataFrame, order: DataFrame) -> DataFrame:
-    """The volume with each object's mask in its label; of several the later in ``seq`` wins.  order: (obj_id, seq, label), at most 20 objects."""
-    last = masks.join(F.broadcast(order), "obj_id").groupBy("z", "y", "x").agg(F.max(F.struct("seq", "label")).alias("w"))
+    """The volume with each object's mask in its label; of several the later in ``seq`` wins.  order: (obj_id, seq, label)."""
+    last = masks.join(order, "obj_id").groupBy("z", "y", "x").agg(F.max(F.struct("seq", "label")).alias("w"))
     kind = dict(voxels.dtypes)["label"]
     return voxels.join(last, ["z", "y", "x"], "left").withColumn("label", F.coalesce("w.label", "label").cast(kind)).drop("w")
