@@ -184,6 +184,15 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[100] == "the secret_key=[IDENTIFIER] is short" and clean[101] == rows[31][1]
 
 
+def test_base_spans_of_each_kind_are_seeds(spark):
+    spoken = [f"words tel: +1499555{6500 + i} and after" if i % 2 else f"words tel: +1 (499) 555-{6500 + i} and after" for i in range(30)]
+    cards = [c for c in (f"4111 1111 1111 {i}" for i in range(1000, 2000)) if fits("card", c)][:30]
+    texts = [*spoken, *(f"words card= {c} and after" for c in cards), "words tel: 5551234 and after", "words card= AB1234567 and after", "words size: 5551234 and after"]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert len(cards) == 30 and all(got[i].startswith("phone:11:") for i in range(30)) and all(got[i].startswith("card:12:") for i in range(30, 60))
+    assert (got[60], got[61], got[62]) == ("identifier:11:18", "identifier:12:21", "")
+
+
 def test_pii_of_odd_rows(spark, odd, none):
     assert pii.report(pii.find(odd)).count() == odd.count()
     assert {r["base_sha256"] for r in pii.report(pii.find(odd.where("doc_id in (2, 3)"))).collect()} == {hashlib.sha256(b"").hexdigest()}

@@ -5,7 +5,7 @@ phone) are leftmost, non-overlapping matches of a pattern each, of which those t
 Their positions follow from ``split``: the gaps between matches and the matches themselves add up.
 
 Bootstrapping: identifier-like tokens and their left contexts form a graph of instances and patterns.
-Seeds (base entities, and long mixed strings of letters and digits as keys and digests have) score 1.  In each round a
+Seeds (base spans where they stand, and long mixed strings of letters and digits as keys and digests have) score 1.  In each round a
 pattern scores the share of its distinct instances that are believed, damped by its support, and an instance
 the chance that any of its patterns is right.  Patterns above a confidence and support then mark every
 instance they meet, seeds or not, as ``identifier`` spans, where no base span lies.
@@ -108,18 +108,36 @@ def occurrences(rows: DataFrame) -> DataFrame:
     at = at.withColumn("_token", token).withColumn("value", value).where(F.length("value") >= 6)
     glue = F.lower(F.expr("substring(_token, 1, instr(_token, value) - 1)"))
     before = F.lower(F.expr("substring(o.text, 1, char_length(o.text) - char_length(_token))"))
+    start = F.col("o.start") + F.length("o.text") - F.length("_token") + F.length("_glue")
     at = at.withColumn("_glue", glue).withColumn("_words", F.split(F.trim(before), r"\s+"))
+    return at.select("doc_id", "_key", start.cast("int").alias("start"), (start + F.length("value")).cast("int").alias("end"), "value", _contexts().alias("patterns"))
+
+
+def _contexts() -> Column:
+    """The patterns of a left context, which is the words ``_words`` and what is glued to the value, ``_glue``."""
     one = F.concat(F.element_at("_words", -1), F.lit(" "), F.col("_glue"))
     two = F.concat_ws(" ", F.col("_words"), F.col("_glue"))
     cue = r"[=:#<>(\[{|\"'/]"  # a pattern needs such a sign: words alone stand before anything
-    patterns = F.array_distinct(
+    return F.array_distinct(
         F.filter(
             F.array(F.concat(F.lit("0 "), F.when(F.col("_glue").rlike(r"\w"), F.col("_glue"))), F.concat(F.lit("1 "), F.when(one.rlike(r"\w"), one)), F.concat(F.lit("2 "), F.when(F.size("_words") > 1, two))),
             lambda p: p.isNotNull() & p.rlike(cue),
         )
     )
-    start = F.col("o.start") + F.length("o.text") - F.length("_token") + F.length("_glue")
-    return at.select("doc_id", "_key", start.cast("int").alias("start"), (start + F.length("value")).cast("int").alias("end"), "value", patterns.alias("patterns"))
+
+
+_REACH = 128  # code points before a span; two words and what is glued to it take at most 126
+
+
+def base_contexts(rows: DataFrame) -> DataFrame:
+    """(value, patterns, seed): the base spans of all kinds, blanks or not, with their left contexts."""
+    at = base(rows).select("text", F.explode("base").alias("b"))
+    start = F.col("b.start")
+    reach = F.greatest(start - _REACH, F.lit(0))
+    at = at.select(F.col("text").substr(start + 1, F.col("b.end") - start).alias("value"), F.col("text").substr(reach + 1, start - reach).alias("_before"))
+    at = at.withColumn("_glue", F.lower(F.regexp_extract("_before", r"(\S*)$", 1))).where(F.length("_glue") <= 40)
+    words = F.lower(F.regexp_extract("_before", r"((?<!\S)(?:[^\s0-9@]{1,40}\s{1,3}){0,2})\S*$", 1))
+    return at.withColumn("_words", F.split(F.trim(words), r"\s+")).select("value", _contexts().alias("patterns"), F.lit(True).alias("seed"))
 
 
 def _is_seed(v: Column) -> Column:
@@ -130,9 +148,10 @@ def _is_seed(v: Column) -> Column:
     return fits | key
 
 
-def patterns(found: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 5) -> DataFrame:
-    """(pattern) that the seeds lead to.  Instances and patterns meet once each (distinct edges), so common ones weigh no more."""
-    edges = settle(found.select(F.xxhash64("value").alias("instance"), F.col("value"), F.explode("patterns").alias("pattern")).groupBy("instance", "pattern").agg(F.max(_is_seed(F.col("value"))).alias("seed")))
+def patterns(found: DataFrame, spans: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 5) -> DataFrame:
+    """(pattern) that the seeds among ``occurrences`` and ``base_contexts`` lead to.  Instances and patterns meet once each (distinct edges), so common ones weigh no more."""
+    met = found.select("value", "patterns", _is_seed(F.col("value")).alias("seed")).unionByName(spans)
+    edges = settle(met.select(F.xxhash64("value").alias("instance"), F.explode("patterns").alias("pattern"), "seed").groupBy("instance", "pattern").agg(F.max("seed").alias("seed")))
     believed = edges.select("instance", "pattern", F.col("seed").cast("double").alias("score"), "seed")
     for i in range(rounds):
         scored = believed.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("sure"), F.count("*").alias("n"))
@@ -149,7 +168,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rou
     ``keep`` also ``row``, a struct of the input columns named there."""
     rows = id_text(docs, id_col, text_col)
     seen = settle(occurrences(rows))
-    good = patterns(seen, rounds, confidence, support)
+    good = patterns(seen, base_contexts(rows), rounds, confidence, support)
     hits = seen.select("doc_id", "_key", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
     hits = hits.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(KINDS.index("identifier")).alias("kind"), "end"))).alias("hits"))
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
