@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxtable.llm import langid, neardup, packing, pii, toxicity
 from voxtable.llm.common import settle, table
-from voxtable.llm.registry import CATEGORIES, RANKS
+from voxtable.llm.registry import ADDED, CATEGORIES, RANKS
 from voxtable.runtime import ship
 
 
@@ -47,7 +47,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every token of every document, in sequences of at most 1024."""
     ship(spark)
-    return packing.pack(settle(packing.pieces(docs, RANKS)))
+    return packing.pack(settle(packing.pieces(docs, RANKS, added=ADDED)))
 
 
 STAGES = [

@@ -39,6 +39,31 @@ def test_ids_are_those_of_the_other_library(spark):
         assert want.ids == got.tolist()
 
 
+def test_pieces_hold_the_ids_of_the_plain_call(spark):
+    from tokenizers import Tokenizer
+
+    from voxtable.llm import registry
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    random.seed(4)
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", "a", " b", " ", "\n", "1", "é", "'s"]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 12))) for _ in range(3000)] + ["a <|endoftext|> b", "<|endoftext|>" * 1500, None]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, with_ids=True, added=registry.ADDED).collect()
+    found = defaultdict(list)
+    for r in rows:
+        found[r["doc_id"]].append((r["piece"], bytes(r["ids"])))
+    want = [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert registry.ADDED == {"<|endoftext|>": 50256} and len(found) == len(texts)
+    for i, ids in enumerate(want):
+        assert b"".join(d for _, d in sorted(found[i])) == np.array([*ids, 2], "<u4").tobytes(), texts[i]
+
+
+def test_longest_added_token_wins():
+    got = bpe.encode_around(bpe.codec(RANKS), ["x<a><a>b<a>", "", "<a>"], {"<a>": 60_000, "<a>b": 60_001})
+    assert [g[-1] for g in got if len(g)] == [60_000, 60_000] and 60_001 in got[0].tolist() and not len(got[1])
+
+
 def test_scan_is_associative():
     _, table, _, _ = bpe._monoid()
     rng = np.random.default_rng(0)

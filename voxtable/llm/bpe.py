@@ -14,6 +14,8 @@ encoded by itself.  Long texts are encoded whole.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -260,6 +262,25 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file, which are cut out of a text before anything else."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t[k] for t in found for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("only added tokens that take nothing beside them are supported")
+    return {t["content"]: t["id"] for t in found}
+
+
+def encode_around(c: Codec, texts: list[str], added: dict[str, int]) -> list[np.ndarray]:
+    """The ids of each text, in which an added token (leftmost, the longest of several) is one id and parts the text."""
+    if not added:
+        return c.encode_batch(texts)
+    mark = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    parts = [mark.split(t) if any(a in t for a in added) else [t] for t in texts]  # every second part is an added token
+    done = iter(c.encode_batch([p for x in parts for p in x[::2]]))
+    return [next(done) if len(x) == 1 else np.concatenate([np.array([added[p]], "<u4") if i % 2 else next(done) for i, p in enumerate(x)]) for x in parts]
+
+
 def groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``most`` code points each, so that the scan's arrays stay small."""
     lo = size = 0

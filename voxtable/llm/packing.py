@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import codec, groups
+from .bpe import codec, encode_around, groups
 from .common import id_text, settle, shuffle_parts, small_batches
 
 
-def pieces(docs: DataFrame, ranks: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", *, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, ranks: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", *, with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and the end id; longer ones than the
-    capacity are cut into full pieces, of which the first may be shorter."""
+    capacity are cut into full pieces, of which the first may be shorter.  ``added``: strings that are one id each wherever a
+    text holds them (a tokenizer's added tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, end = codec(ranks), np.array([end_id], "<u4")
@@ -38,7 +39,7 @@ def pieces(docs: DataFrame, ranks: str, capacity: int = 1024, end_id: int = 2, i
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in groups(texts):
                 rows: list[tuple] = []
-                for name, ids in zip(names[lo:hi], c.encode_batch(texts[lo:hi]), strict=True):
+                for name, ids in zip(names[lo:hi], encode_around(c, texts[lo:hi], added or {}), strict=True):
                     ids = np.append(ids, end)
                     at = 0
                     for k, stop in enumerate(range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)):

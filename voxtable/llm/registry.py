@@ -10,6 +10,7 @@ from . import bpe, langid, licenses, lm, media, neardup, packing, pii, topk, tox
 from .common import settle, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+ADDED = bpe.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = settle(packing.pieces(table(spark, sf_dir, "documents"), RANKS))
+    cut = settle(packing.pieces(table(spark, sf_dir, "documents"), RANKS, added=ADDED))
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
