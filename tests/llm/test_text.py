@@ -193,6 +193,47 @@ def test_base_spans_of_each_kind_are_seeds(spark):
     assert (got[60], got[61], got[62]) == ("identifier:11:18", "identifier:12:21", "")
 
 
+def test_contexts_of_words_alone(spark):
+    rng = random.Random(2)
+    number = lambda: "".join(rng.choice("0123456789") for _ in range(9))
+    rows = [f"my mail address joe{i}@example.com is old" for i in range(40)] + [f"they had about {number()} of them" for _ in range(40)] + ["my mail address joe_at_example7 is new", "they had about 2000000 of them"]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).collect()}
+    assert got[80] == "identifier:16:31" and not any(got[i] for i in [*range(40, 80), 81])
+
+
+def test_very_many_spans_in_one_text(spark):
+    import time
+
+    n = 50_000
+    text = " ".join(f"id{i}00000 x@y{i}.com" for i in range(n))
+    began = time.perf_counter()
+    found = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    row = pii.redact(found).first()
+    assert row["text"] == re.sub(BASE["email"], "[EMAIL]", text)
+    assert pii.report(found).first()["n_email"] == n
+    assert time.perf_counter() - began < 120
+
+
+def test_spans_that_overlap(spark):
+    spans = "array<struct<start:int,kind:int,end:int>>"
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        cut = lambda n: sorted({(a, k, a + rng.randint(1, 9)) for a in (rng.randrange(300) for _ in range(n)) for k in (rng.randrange(4),)})
+        rows.append((i, "".join(rng.choice("ab é\U0001f600") for _ in range(320)), cut(rng.randint(0, 90)), [(a, 4, b) for a, _, b in cut(rng.randint(0, 90))]))
+    df = spark.createDataFrame(rows, f"doc_id long, text string, base {spans}, hits {spans}")
+    clear = {r["doc_id"]: [tuple(x) for x in r["c"]] for r in df.select("doc_id", pii._clear(F.col("base"), F.col("hits")).alias("c")).collect()}
+    done = {r["doc_id"]: r["text"] for r in pii.redact(df.select("doc_id", "text", "base", F.col("hits").alias("found"))).collect()}
+    for i, text, b, h in rows:
+        assert clear[i] == sorted(x for x in h if not any(y[0] < x[2] and x[0] < y[2] for y in b))
+        out, at = [], 0
+        for a, k, e in sorted(b + h):
+            if a >= at:
+                out += [text[at:a], f"[{pii.KINDS[k].upper()}]"]
+            at = max(at, e)
+        assert done[i] == "".join(out) + text[at:]
+
+
 def test_pii_of_odd_rows(spark, odd, none):
     assert pii.report(pii.find(odd)).count() == odd.count()
     assert {r["base_sha256"] for r in pii.report(pii.find(odd.where("doc_id in (2, 3)"))).collect()} == {hashlib.sha256(b"").hexdigest()}
