@@ -87,9 +87,10 @@ def brute_groups(rows, n, percent):
     return {d: (len(sets[d]), r.get(d, d)) for d in ids}
 
 
-@pytest.mark.parametrize("n,percent,chunk", [(3, 85, 1_500_000), (5, 80, 2_000)])
-def test_groups_against_all_pairs(spark, monkeypatch, n, percent, chunk):
+@pytest.mark.parametrize("n,percent,chunk,most", [(3, 85, 1_500_000, 64), (5, 80, 2_000, 64), (3, 85, 1_500_000, 5)])
+def test_groups_against_all_pairs(spark, monkeypatch, n, percent, chunk, most):
     monkeypatch.setattr(neardup, "CHUNK", chunk)
+    monkeypatch.setattr(neardup, "ROWS", most)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     texts = []

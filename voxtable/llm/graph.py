@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_settled, settle
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of ``edges`` (a long, b long) with the smallest node it can reach.
 
     In each round every node points to the neighbour (or itself) that comes first in an order which changes with the
@@ -17,7 +19,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     live = settle(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
     steps: list[DataFrame] = []
-    for i in range(most_rounds):
+    for i in count():  # each round joins at least two nodes of every part that is left
         if live.isEmpty():
             break
         seed = F.lit((0x5851F42D4C957F2D * (i + 1)) % 2**62)
@@ -28,8 +30,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         after = settle(live.join(left, "a").join(right, "b").where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct())
         drop_settled(live)
         live = after
-    else:
-        raise RuntimeError("components: too many rounds")
     if not steps:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     at = steps[0]

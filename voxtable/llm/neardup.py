@@ -2,14 +2,17 @@
 
 Each permutation of the shingle hashes is evaluated once and gives two signature values, the least and the greatest; a band
 is a few permutations' pairs.  Bands and rows follow from the threshold so that a pair at it is missed with
-a probability of at most ``MISS``.
+a probability of about ``MISS`` (for large sets; in sets of a few shingles minimum and maximum depend on each other, which makes
+it 1.7 times that for 6 shingles in common of 7).
 
 Texts with equal shingle sets are one class from the start, so copies cost a row each and never meet again.  In each
 band bucket every class is tied to one pivot only (a star, not all pairs); the stars' components are the
-groups within which links can be.  Each group is confirmed on full shingle sets, in chunks of bounded size (pairs of chunks for
-large groups): a class's row of common counts against its chunk comes from an inverted index, and rows are
-needed only for classes outside the largest component so far, since links within it change nothing.  What
-is emitted is a forest of links, never all pairs.
+groups within which links can be.  Each group is confirmed on full shingle sets, in chunks of a bounded number of classes and
+shingles, in two passes.  The first finds the links within each chunk and with a few hubs that every chunk of the group gets.
+What they connect has a largest component in each group, and links within it change nothing more: only the
+classes outside it are compared, chunk by chunk, with all others of their group.  A class's common counts come from an inverted
+index, and what is emitted is a forest of links, never all pairs.  A group of near copies costs as much as its members; only
+classes that stay outside, though they share a band with it, cost a comparison with each chunk.
 
 Words are runs of anything but blanks and U+0009 to U+000D, with A-Z lower-cased.  Texts with fewer words than a shingle
 are one shingle; null, empty and blank texts have none and link with nothing.  Rows with a null id link with nothing either
@@ -35,7 +38,9 @@ from .graph import components
 from .words import mix
 
 MISS = 1e-6
-CHUNK = 1_500_000  # shingles that one side of a confirming task holds
+CHUNK = 1_500_000  # shingles of a chunk, on average at most
+ROWS = 64  # classes of a chunk, on average at most
+_HUBS = [0, 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51]  # the hubs come first in the orders that these give
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -108,8 +113,9 @@ def sketches(rows: DataFrame, words: int, bands: int, perms: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, key long, n long, set binary, bands array<long>" + carried)
 
 
-def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets: i and j are linked if 100 * common >= percent * union."""
+def forest(sets: list[np.ndarray], percent: int, compared: int | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets: i and j are linked if 100 * common >= percent * union.  With ``compared``, of the
+    links that the first so many sets have."""
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
     hashes, slot = np.unique(np.concatenate(sets), return_inverse=True)
@@ -118,28 +124,34 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     order = np.argsort(slot, kind="stable")
     posting = owner[order]
     first = np.searchsorted(slot[order], np.arange(len(hashes) + 1))
-    label, done, out = np.arange(n), np.zeros(n, bool), []
-    big = 0
+    label, out = np.arange(n), []
+
+    def compare(i: int) -> None:
+        mine = slot[at[i] : at[i] + size[i]]
+        lo, hi = first[mine], first[mine + 1]
+        length = hi - lo
+        ends = np.cumsum(length)
+        common = np.bincount(posting[np.repeat(lo - (ends - length), length) + np.arange(ends[-1])], minlength=n)
+        linked = np.flatnonzero(100 * common >= percent * (size + size[i] - common))
+        for x in np.unique(label[linked]):
+            if x != label[i]:
+                out.append((i, int(linked[label[linked] == x][0])))
+                label[label == x] = label[i]
+
+    if compared is not None:
+        for i in range(compared):
+            compare(i)
+        return out
+    compare(0)
+    todo = np.ones(n, bool)
+    todo[0] = False
     while True:
-        outside = np.flatnonzero(~done & (label != big)) if done.any() else np.arange(1)
+        big = int(np.bincount(label, minlength=n).argmax())
+        outside = np.flatnonzero(todo & (label != big))
         if not len(outside):
             return out
-        for i in outside.tolist():
-            if done.any() and label[i] == big:
-                continue
-            done[i] = True
-            mine = slot[at[i] : at[i] + size[i]]
-            lo, hi = first[mine], first[mine + 1]
-            length = hi - lo
-            ends = np.cumsum(length)
-            common = np.bincount(posting[np.repeat(lo - (ends - length), length) + np.arange(ends[-1])], minlength=n)
-            linked = np.flatnonzero(100 * common >= percent * (size + size[i] - common))
-            for x in np.unique(label[linked]):
-                if x != label[i]:
-                    out.append((i, int(linked[label[linked] == x][0])))
-                    label[label == x] = label[i]
-            counts = np.bincount(label, minlength=n)
-            big = int(counts.argmax())
+        todo[outside[0]] = False
+        compare(int(outside[0]))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -148,6 +160,47 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFr
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"), text.alias("text"), *more)
 
 
+def _confirmed(rows: DataFrame, classes: DataFrame, coarse: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, root) of the components of true links within the groups of ``coarse``."""
+    size = F.greatest(F.ceil(F.sum("n") / CHUNK), F.ceil(F.count("*") / ROWS)).cast("int")
+    hubs = [F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in _HUBS]
+    weights = classes.join(coarse, "node").groupBy("root").agg(size.alias("chunks"), F.array(*hubs).alias("hubs"))
+    members = coarse.join(classes.select("node", "set", "first", "n"), "node").join(weights, "root")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")
+    members = members.select(F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"), "node", "set", "root", "chunks", chunk, F.array_contains("hubs", F.col("node")).alias("hub"))
+    texts = rows.join(members, ["doc_id", "key"]).select("root", "chunks", "chunk", "node", "set", "hub", "text")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(6).to_pylist(), words)
+            mine = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, batch.column(4).to_pylist(), strict=True)])
+            out = pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array((s.tobytes() for s in sets), pa.binary())], names=[*batch.schema.names[:6], "data"])
+            yield out.filter(mine)  # another text may have the same key
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "node", "set"]).drop_duplicates("set")
+        node = pdf["node"].to_numpy()
+        pairs = forest([np.frombuffer(d, np.uint64) for d in pdf["data"]], percent, int((pdf["side"] == 0).sum()) if (pdf["side"] == 0).any() else None)
+        return pd.DataFrame({"a": [node[i] for i, _ in pairs], "b": [node[j] for _, j in pairs]}, dtype=np.int64)
+
+    full = settle(texts.mapInArrow(sets_of, "root long, chunks int, chunk int, node long, set binary, hub boolean, data binary"))
+    everywhere = F.sequence(F.lit(0), F.col("chunks") - 1)
+    first = full.select("root", F.explode(F.when(F.col("hub"), everywhere).otherwise(F.array("chunk"))).alias("part"), F.lit(1).alias("side"), "node", "set", "data")
+    links = settle(first.groupBy("root", "part").applyInPandas(confirm, "a long, b long"))
+    # Of groups in several chunks: the classes that are not in the largest component, in chunks of their own.
+    several = coarse.join(weights.where("chunks > 1").select("root"), "root").join(classes.select("node", "n"), "node")
+    several = settle(several.join(components(links).withColumnRenamed("root", "found"), "node", "left").select("root", "node", "n", F.coalesce("found", "node").alias("found")))
+    largest = several.groupBy("root", "found").agg(F.count("*").alias("m")).groupBy("root").agg(F.max(F.struct("m", "found"))["found"].alias("largest"))
+    outside = several.join(largest, "root").where("found <> largest")
+    sides = settle(outside.groupBy("root").agg(size.alias("sides")))
+    side = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("sides")).cast("int").alias("other")
+    large = full.where("chunks > 1").join(sides, "root")
+    left = large.join(outside.select("node"), "node").select("root", F.explode(everywhere).alias("part"), side, F.lit(0).alias("side"), "node", "set", "data")
+    right = large.select("root", F.col("chunk").alias("part"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"), F.lit(1).alias("side"), "node", "set", "data")
+    more = left.unionByName(right).groupBy("root", "part", "other").applyInPandas(confirm, "a long, b long")
+    return settle(components(links.unionByName(more)))
+
+
 def _decide(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, *, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """The sketched rows, each with a number ``at`` of its own, and (at, doc_id, n_shingles, component_id, kept) of each."""
     if not 50 <= percent <= 100:
@@ -163,31 +216,7 @@ def _decide(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     pivots = settle(spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot <> _last").select("bucket", "pivot"))
     stars = spread.join(pivots, "bucket").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     coarse = settle(components(stars))
-    # Chunks of each group by the shingles they hold.
-    weights = classes.join(coarse, "node").groupBy("root").agg(F.sum("n").alias("w")).select("root", F.ceil(F.col("w") / CHUNK).cast("int").alias("chunks"))
-    members = coarse.join(classes.select("node", "set", "first"), "node").join(weights, "root")
-    members = members.select(F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"), "node", "set", "root", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    texts = rows.join(members, ["doc_id", "key"]).select("root", "chunks", "chunk", "node", "set", "text")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(5).to_pylist(), words)
-            mine = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, batch.column(4).to_pylist(), strict=True)])
-            out = pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array((s.tobytes() for s in sets), pa.binary())], names=["root", "chunks", "chunk", "node", "set", "data"])
-            yield out.filter(mine)  # another text may have the same key
-
-    full = texts.mapInArrow(sets_of, "root long, chunks int, chunk int, node long, set binary, data binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    sided = full.select("root", "chunk", "node", "set", "data", other).select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "set", "data")
-
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("set").sort_values(["node", "set"])
-        node = pdf["node"].to_numpy()
-        pairs = forest([np.frombuffer(d, np.uint64) for d in pdf["data"]], percent)
-        return pd.DataFrame({"a": [node[i] for i, _ in pairs], "b": [node[j] for _, j in pairs]}, dtype=np.int64)
-
-    links = sided.groupBy("root", "i", "j").applyInPandas(confirm, "a long, b long")
-    joined = settle(components(links))
+    joined = _confirmed(rows, classes, coarse, words, percent)
     reached = classes.select("set", "node", "first").join(joined, "node", "left").select("set", "first", F.coalesce("root", "node").alias("root"))
     heads = reached.groupBy("root").agg(F.min("first").alias("head"))
     reached = reached.join(heads, "root").select("set", "head")
