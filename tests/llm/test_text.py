@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 
 import duckdb
 import pytest
@@ -244,10 +245,56 @@ def test_pii_of_odd_rows(spark, odd, none):
 # Licences.
 
 
+def brute_licences(text, templates, threshold):
+    """By trying every window of the text, whatever it begins and ends with."""
+    from itertools import pairwise
+
+    words = re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    grams = list(pairwise(words))
+    found = []
+    for t, (name, body) in enumerate(templates):
+        have = set(pairwise(re.findall("[a-z0-9]+", body.lower())))
+        for lo in range(len(grams)):
+            for hi in range(lo, min(len(grams), lo + int(len(have) * (2 - threshold) / threshold + 1e-9))):
+                w = set(grams[lo : hi + 1])
+                if grams[lo] in have and grams[hi] in have and (d := 2 * len(w & have) / (len(w) + len(have))) >= threshold:
+                    found.append((-d, lo - hi, name, t, lo, hi))
+    kept = []
+    for w in sorted(found):
+        if all(w[4] > k[5] + 1 or k[4] > w[5] + 1 for k in kept):
+            kept.append(w)
+    return sorted((w[3], w[4], w[5] - w[4] + 2, round(-w[0], 9)) for w in kept)
+
+
+def test_licences_against_all_windows(spark):
+    rng = random.Random(12)
+    templates = [t for t in licenses.TEMPLATES if len(t[1].split()) < 45]
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            words = rng.choice(templates)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randrange(len(words))
+                words[i : i + rng.randint(0, 1)] = rng.choice([[], ["the"], ["License,", "the"]])
+            parts += words + [rng.choice(["of the", "x y z", "the License", ""])]
+        texts.append("".join(w + rng.choice([" ", " ", "\n", " -- "]) for w in parts))
+    got = collections.defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect():
+        got[r["doc_id"]].append((r["template"], r["word"], r["n_words"], round(r["dice"], 9)))
+    for i, t in enumerate(texts):
+        assert sorted(got[i]) == brute_licences(t, templates, 0.8), t
+
+
 def test_licences(spark, odd, none):
-    lines = [(1, "x\nReleased under the MIT licence.\n"), (2, "RELEASED under the -- mit License!"), (3, "released under the"), (4, None), (5, "Licensed under the Apache License, Version 2.0.\n" * 3), (5, "Licensed under the Apache License, Version 2.0.")]
+    body = next(t for n, t in licenses.TEMPLATES if n == "MIT" and t.startswith("Permission"))
+    wrapped = "\n".join(" * " + line for line in textwrap.wrap(body, 50))
+    lines = [
+        (1, "x\nReleased under the MIT licence.\n"), (2, "RELEASED under the -- mit License!"), (3, "released under the"), (4, None), (5, "Licensed under the Apache License, Version 2.0.\n" * 3),
+        (6, "Copyright 2020 Foo. Released under the MIT License."), (7, "This work is licensed under the\nGNU General Public License, version 3."), (8, "intro words\n" + wrapped + "\nmore words"), (9, "one line of prose " * 40 + "Licensed under CC BY 4.0. " + "and more prose " * 40),
+    ]
     got = collections.Counter((r["doc_id"], r["license"], round(r["dice"], 3)) for r in licenses.scan(spark.createDataFrame(lines, "doc_id long, text string")).collect())
-    assert got == {(2, "MIT", 1.0): 1, (5, "Apache-2.0", 1.0): 1}
+    assert got == {(1, "MIT", 0.857): 1, (2, "MIT", 1.0): 1, (5, "Apache-2.0", 1.0): 3, (6, "MIT", 1.0): 1, (7, "GPL-3.0", 1.0): 1, (8, "MIT", 1.0): 1, (9, "CC-BY-4.0", 1.0): 1}
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0 and licenses.scan(odd, []).count() == 0
     with pytest.raises(ValueError):
         licenses.scan(odd, [("x", "y z")] * 6000)
