@@ -303,13 +303,14 @@ def test_licences(spark, odd, none):
 # Exact search.
 
 
-def test_search_with_ties_and_repeats(spark):
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_search_with_ties_and_repeats(spark, parts):
     import math
 
     rng = random.Random(8)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(6)]) for i in range(400)] + [(20, [1.0] * 6), (20, [1.0] * 6), (900, None), (901, [1.0, None]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (None, [1.0] * 6), (904, [2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("vec_id", "embedding", "1 as qb", "2 as rank", "vec_id as ids")
-    got = topk.search(df, F.col("vec_id") % 20 == 0, k=5, query_block=7, block=50).collect()
+    got = topk.search(df, F.col("vec_id") % 20 == 0, k=5, parts=parts, query_block=7, block=50).collect()
     fine = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = collections.Counter()
     for q, v in fine:
@@ -322,6 +323,18 @@ def test_search_with_ties_and_repeats(spark):
     assert topk.search(few, F.col("vec_id") % 20 == 0).count() == 3 * 1 + 1 * 3
 
 
+def test_search_moves_fewer_entries_than_there_are(spark):
+    rng = random.Random(18)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(3000)] + [(5000 + i, [0.5] * 16) for i in range(1500)]  # a third of all rows is one vector
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    counts: dict[str, int] = {}
+    got = topk.search(df, F.col("vec_id") % 50 == 0, k=10, block=500, counts=counts).collect()
+    assert len(got) == 10 * counts["queries"] and counts["queries"] == 90
+    assert counts["candidates"] == 3000 + 20  # of equal vectors, those that can be among the best
+    everything = counts["queries"] * counts["candidates"] * 2
+    assert counts["gathered"] <= 2 * 10 * 90 and counts["collected"] < 0.2 * everything
+
+
 # Pipeline.
 
 

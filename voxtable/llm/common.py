@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,12 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none."""
+    """The folder that driver and executors share.  Where the session names none, a temporary one will do if all run in one process
+    (as in tests); on a cluster it must be named."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="voxtable-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="voxtable-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        found = "file://" + _local[0]
     return found.rstrip("/")
 
 
@@ -31,6 +41,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A place in the shared folder for a table, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/voxtable-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def add_to(df: DataFrame, path: str) -> None:
+    """Append rows to the table at a path."""
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+
+
 def settle(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -38,9 +60,8 @@ def settle(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     never computed twice.  The table goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxtable-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.option("compression", codec).parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_path = path
     return out

@@ -1,14 +1,18 @@
-"""Exact top-k by inner product: the three-phase uniform threshold algorithm over blocks.
+"""Exact top-k by inner product: the three-phase uniform threshold algorithm.
 
-Vectors are scaled to whole numbers.  A node's score list is the partial inner product over one of ``parts``
-slices of the dimensions.  Queries and candidates are packed into blocks of bounded size; every pair
-of blocks meets once a phase, by an equi-join on the two block numbers.
+Vectors are scaled to whole numbers.  A node holds one of ``parts`` slices of the dimensions for every candidate, in blocks that stay
+where they are; a node's score list for a query is the partial inner products over its slice.  Queries go through in
+rounds of a bounded number, whose vectors are broadcast (at most ``QUERY_BYTES``).  In each round
 
-1. Each node gives, for each query, its local best k of a block; their exact totals give a lower bound of the
-   query's k-th best total, the cutoff.
-2. The cutoff goes back with the queries: an entry below cutoff / parts in every slice cannot reach the cutoff, so each
-   node collects those at or above it.
-3. Collected entries are resolved to exact totals; those at or above the cutoff are ranked, ties to the smaller id.
+1. every node gives, for each query, its k greatest entries; the exact totals of these entries (what a node did not give is
+   fetched from it) have a k-th best, which is a safe cutoff;
+2. the cutoffs are broadcast, one number a query: a vector whose entries are all below cutoff / parts cannot reach the cutoff, so
+   each node gives its entries at or above that and nothing else;
+3. of vectors that came from some nodes only, the missing entries are fetched from the others; totals at or above the
+   cutoff are ranked, ties to the smaller id.
+
+What moves are entries, never vectors but for those of which entries are fetched, block by block.  Of equal vectors only the first few ids can be
+among the best, so only those become candidates (2k rows of a vector at most, whoever asks), however often a vector is repeated.
 
 Vectors that are null or hold null or non-finite components, and rows without an id, take no part.  Shorter vectors count as
 padded with zeros.  Repeated rows are candidates each; a repeated query row is answered each time; a
@@ -22,14 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import add_to, fresh_path, settle, shuffle_parts, small_batches
 
-_BOUND = pa.schema([("qb", pa.int32()), ("qi", pa.int32()), ("total", pa.int64())])
-_FOUND = pa.schema([("qb", pa.int32()), ("qi", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+QUERY_BYTES = 32 << 20  # of vectors that a round broadcasts
 SLICE = 256  # queries at a time, so that a task's score matrices stay small
+_ENTRY = "node int, qi int, block int, ci int, vec_id long, partial long"
+_KINDS = {"node": pa.int32(), "qi": pa.int32(), "block": pa.int32(), "ci": pa.int32(), "vec_id": pa.int64(), "partial": pa.int64()}
 
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", factor: int = 64) -> DataFrame:
@@ -40,106 +46,167 @@ def scaled(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return vectors.where(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
 
 
-def blocks(rows: DataFrame, n: int, dim: int) -> DataFrame:
-    """(block, ids binary, data binary): about equal blocks, rows dealt by a hash of id and place."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = np.zeros((len(pdf), dim), np.int64)
-        for i, x in enumerate(pdf["v"]):
-            data[i, : len(x)] = x
-        return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "data": [data.tobytes()]})
+def candidates(rows: DataFrame, k: int) -> DataFrame:
+    """The rows that can be among the k best of some query: of each vector, k rows of an id and 2k in all, those with the smallest ids.
+    (Without the rows of its own id, a query meets the first k of any vector's others among these.)"""
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))
+    return rows.withColumn("_n", nth("v", "vec_id")).where(F.col("_n") <= k).withColumn("_n", nth("v")).where(F.col("_n") <= 2 * k).drop("_n")
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
-    return settle(dealt.groupBy("block").applyInPandas(pack, "block int, ids binary, data binary"))
 
+def _matrix(vectors: pd.Series, dim: int, kind: str) -> np.ndarray:
+    out = np.zeros((len(vectors), dim), kind)
+    for i, x in enumerate(vectors):
+        out[i, : len(x)] = x
+    return out
 
-def _matrix(data: bytes, dim: int) -> np.ndarray:
-    """As doubles, in which products and sums of these sizes are exact; else as 64-bit integers."""
-    x = np.frombuffer(data, np.int64).reshape(-1, dim)
-    return x.astype(np.float64) if not x.size or int(np.abs(x).max()) ** 2 * dim < 2**51 else x
 
+def _slices(dim: int, parts: int) -> list[slice]:
+    at = np.linspace(0, dim, parts + 1).astype(int)
+    return [slice(int(a), int(b)) for a, b in zip(at, at[1:], strict=False)]
 
-def _partials(q: np.ndarray, c: np.ndarray, parts: int) -> list[np.ndarray]:
-    if q.dtype != c.dtype:
-        q, c = q.astype(np.int64), c.astype(np.int64)
-    at = np.linspace(0, q.shape[1], parts + 1).astype(int)
-    return [q[:, a:b] @ c[:, a:b].T for a, b in zip(at, at[1:], strict=False)]
 
+def cells(rows: DataFrame, n: int, dim: int, parts: int, kind: str) -> DataFrame:
+    """(node, block, ids binary, data binary): every node's slice of every block; rows are dealt by a hash of id and place."""
+    cuts = _slices(dim, parts)
 
-def _local_best(qi: np.ndarray, total: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of each query's best k entries, ties to the smaller id."""
-    order = np.lexsort((ids, -total, qi))
-    first = np.r_[True, np.diff(qi[order]) != 0] if len(order) else np.zeros(0, bool)
-    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    return order[rank < k]
-
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        data, ids = _matrix(pdf["v"], dim, kind), pdf["vec_id"].to_numpy(np.int64).tobytes()
+        return pd.DataFrame([(i, pdf["block"].iloc[0], ids, np.ascontiguousarray(data[:, c]).tobytes()) for i, c in enumerate(cuts)], columns=["node", "block", "ids", "data"])
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, parts: int = 2, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 2048, block: int = 8192) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query row's best k rows among all with another id.  ``is_query``: over vec_id."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
+    spread = dealt.repartition(min(n, shuffle_parts(rows.sparkSession)), "block")
+    return settle(spread.groupBy("block").applyInPandas(pack, "node int, block int, ids binary, data binary"))
+
+
+class Round:
+    """The queries of a round, as workers use them: (ids, vectors) and, from the second phase on, the cutoffs."""
+
+    def __init__(self, queries: Broadcast, dim: int, parts: int, kind: str, exact: str) -> None:
+        self.queries, self.cuts, self.kind, self.exact = queries, _slices(dim, parts), kind, exact
+
+    def node(self, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query ids, the queries' slices, ids, the block's slices) for a row of ``cells``."""
+        q_ids, q = self.queries.value
+        cut = self.cuts[row["node"]]
+        ids = np.frombuffer(row["ids"], np.int64)
+        data = np.frombuffer(row["data"], self.kind).reshape(len(ids), cut.stop - cut.start)
+        return q_ids, q[:, cut].astype(self.exact), ids, data.astype(self.exact)
+
+
+def _entries(**columns: np.ndarray) -> pa.RecordBatch:
+    n = len(columns["qi"])
+    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(columns[c], n).astype(t.to_pandas_dtype())) for c, t in _KINDS.items()], names=list(_KINDS))
+
+
+def _local_lists(at: Round, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node's k greatest entries for every query, of the blocks of this task."""
+    lists: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            q_ids, q, ids, c = at.node(row)
+            if row["node"] not in lists:
+                lists[row["node"]] = [np.full((len(q), k), -np.inf if c.dtype.kind == "f" else -(2**62), c.dtype), *(np.full((len(q), k), -1, t) for t in (np.int32, np.int32, np.int64))]
+            best = lists[row["node"]]
+            for lo in range(0, len(q), SLICE):
+                part = slice(lo, lo + SLICE)
+                score = q[part] @ c.T
+                score[q_ids[part, None] == ids[None, :]] = best[0].dtype.type(-np.inf if c.dtype.kind == "f" else -(2**62))
+                m = min(k, len(ids))
+                near = np.argpartition(score, len(ids) - m, axis=1)[:, len(ids) - m :]
+                found = [np.take_along_axis(score, near, axis=1), np.full(near.shape, row["block"], np.int32), near.astype(np.int32), ids[near]]
+                both = [np.concatenate([b[part], f], axis=1) for b, f in zip(best, found, strict=True)]
+                keep = np.argpartition(both[0], m, axis=1)[:, m:]
+                for b, x in zip(best, both, strict=True):
+                    b[part] = np.take_along_axis(x, keep, axis=1)
+    for node, (score, block, ci, ids) in lists.items():
+        qi, place = np.nonzero((block >= 0) & (score > (-np.inf if score.dtype.kind == "f" else -(2**62))))
+        yield _entries(node=np.int32(node), qi=qi, block=block[qi, place], ci=ci[qi, place], vec_id=ids[qi, place], partial=score[qi, place])
+
+
+def _sufficient(at: Round, cutoffs: Broadcast, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node's entries at or above cutoff / parts."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            q_ids, q, ids, c = at.node(row)
+            for lo in range(0, len(q), SLICE):
+                part = slice(lo, lo + SLICE)
+                score = q[part] @ c.T
+                qi, ci = np.nonzero((score * parts >= cutoffs.value[part, None]) & (q_ids[part, None] != ids[None, :]))
+                if len(qi):
+                    yield _entries(node=np.int32(row["node"]), qi=lo + qi, block=np.int32(row["block"]), ci=ci, vec_id=ids[ci], partial=score[qi, ci])
+
+
+def _fetched(at: Round, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries that are asked for, as lists of (query, place in the block)."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            _, q, ids, c = at.node(row)
+            qi, ci = np.array(row["qi"], np.int64), np.array(row["ci"], np.int64)
+            partial = np.concatenate([np.einsum("ij,ij->i", q[qi[i : i + 65536]], c[ci[i : i + 65536]]) for i in range(0, len(qi), 65536)])
+            yield _entries(node=np.int32(row["node"]), qi=qi, block=np.int32(row["block"]), ci=ci, vec_id=ids[ci], partial=partial)
+
+
+def _totals(known: DataFrame, held: DataFrame, at: Round, parts: int) -> DataFrame:
+    """(qi, block, ci, vec_id, total) of every vector with a known entry; the entries that are not known are fetched from their nodes."""
+    nodes = F.sequence(F.lit(0), F.lit(parts - 1))
+    asked = known.groupBy("qi", "block", "ci").agg(F.collect_set("node").alias("_have")).select("qi", "block", "ci", F.explode(F.array_except(nodes, "_have")).alias("node"))
+    # A list holds at most SLICE queries times a block's vectors.
+    lists = asked.groupBy("node", "block", F.floor(F.col("qi") / SLICE).alias("_q")).agg(F.collect_list(F.struct("qi", "ci")).alias("l")).select("node", "block", F.col("l.qi").alias("qi"), F.col("l.ci").alias("ci"))
+    fetched = held.join(lists, ["node", "block"]).select("node", "block", "ids", "data", "qi", "ci").mapInArrow(lambda b: _fetched(at, b), _ENTRY)
+    return known.unionByName(fetched).groupBy("qi", "block", "ci").agg(F.first("vec_id").alias("vec_id"), F.sum("partial").alias("total"))
+
+
+def search(
+    vectors: DataFrame, is_query: Column, k: int = 20, parts: int = 2, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 16384, block: int = 4096, counts: dict[str, int] | None = None
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query row's best k rows among all with another id.  ``is_query``: over vec_id.  With ``counts``,
+    how many entries the phases moved is added to it."""
+    spark = vectors.sparkSession
     rows = settle(scaled(vectors, id_col, vec_col))
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dim"), F.count(F.when(is_query, 1)).alias("q")).first()
-    dim, n_q, n_c = max(1, size["dim"]), -(-max(1, size["q"]) // query_block), -(-max(1, size["n"]) // block)
-    queries = blocks(rows.where(is_query), n_q, dim)
-    cells = blocks(rows, n_c, dim)
-    left = queries.select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("data").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
-    right = cells.select(F.col("block").alias("cb"), "ids", "data", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
-
-    def bound(pair: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(_bound(pair.to_pylist())), _BOUND)
-
-    def _bound(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        for r in rows:
-            q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-            q, c = _matrix(r["q"], dim), _matrix(r["data"], dim)
-            for lo in range(0, len(q_ids), SLICE):
-                lists = _partials(q[lo : lo + SLICE], c, parts)
-                m = min(k + 1, len(ids))
-                near = np.concatenate([np.argpartition(x, len(ids) - m, axis=1)[:, len(ids) - m :] for x in lists], axis=1)
-                near.sort(axis=1)
-                qi = np.repeat(np.arange(len(near)), near.shape[1])
-                keep = np.concatenate([np.ones((len(near), 1), bool), np.diff(near, axis=1) != 0], axis=1).ravel()
-                ci = near.ravel()
-                keep &= ids[ci] != q_ids[lo + qi]
-                qi, ci = qi[keep], ci[keep]
-                total = sum(x[qi, ci] for x in lists).astype(np.int64)
-                best = _local_best(qi, total, ids[ci], k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), r["qb"], np.int32)), pa.array((lo + qi[best]).astype(np.int32)), pa.array(total[best])], names=["qb", "qi", "total"])
-
-    # Blocks grow in number with the corpus: they meet by merge, whatever Spark's estimate of their size.
-    pairs = left.join(right.hint("merge"), ["qb", "cb"])
-    totals = pairs.groupBy("qb", "cb").applyInArrow(bound, "qb int, qi int, total long")
-    nth = F.row_number().over(Window.partitionBy("qb", "qi").orderBy(F.desc("total")))
-    cutoffs = totals.withColumn("n", nth).where(F.col("n") <= k).groupBy("qb", "qi").agg(F.min("total").alias("cut"), F.count("*").alias("n"))
-    # At most query_block rows for each query block.
-    cutoffs = cutoffs.where(F.col("n") == k).groupBy("qb").agg(F.collect_list(F.struct("qi", "cut")).alias("cuts"))
-    cutoffs = settle(cutoffs)
-
-    def resolve(pair: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(_resolve(pair.to_pylist())), _FOUND)
-
-    def _resolve(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        for r in rows:
-            q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-            q, c = _matrix(r["q"], dim), _matrix(r["data"], dim)
-            cut = np.full(len(q_ids), -(2**62), np.int64)
-            for e in r["cuts"] or []:
-                cut[e["qi"]] = e["cut"]
-            for lo in range(0, len(q_ids), SLICE):
-                lists = _partials(q[lo : lo + SLICE], c, parts)
-                least = cut[lo : lo + SLICE, None]
-                enough = np.zeros(lists[0].shape, bool)
-                for x in lists:
-                    enough |= x * parts >= least
-                qi, ci = np.nonzero(enough)
-                total = sum(x[qi, ci] for x in lists).astype(np.int64)
-                keep = (total >= cut[lo + qi]) & (ids[ci] != q_ids[lo + qi])
-                qi, ci, total = qi[keep], ci[keep], total[keep]
-                best = _local_best(qi, total, ids[ci], k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(best), r["qb"], np.int32)), pa.array((lo + qi[best]).astype(np.int32)), pa.array(q_ids[lo + qi[best]]), pa.array(ids[ci[best]]), pa.array(total[best])],
-                    names=["qb", "qi", "query_id", "vec_id", "score"],
-                )
-
-    found = left.join(cutoffs.hint("merge"), "qb", "left").join(right.hint("merge"), ["qb", "cb"]).groupBy("qb", "cb").applyInArrow(resolve, "qb int, qi int, query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("qb", "qi").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))
+    size = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dim"), F.count(F.when(is_query, 1)).alias("q"), F.coalesce(largest, F.lit(0)).alias("most")).first()
+    dim = max(1, size["dim"])
+    kind = "<i2" if size["most"] < 2**15 else "<i4" if size["most"] < 2**31 else "<i8"
+    # Sums of products that are exact in the floating type are computed in it.
+    exact = next((t for t, bits in (("f4", 23), ("f8", 51)) if size["most"] ** 2 * dim * parts < 2**bits), "i8")
+    few = settle(candidates(rows, k))
+    held = cells(few, max(1, -(-few.count() // block)), dim, parts, kind)
+    query_block = max(1, min(query_block, QUERY_BYTES // (dim * np.dtype(kind).itemsize)))
+    rounds = max(1, -(-size["q"] // query_block) * 2) if size["q"] > query_block else 1  # about half full, so that none is too large
+    asking = rows.where(is_query).withColumn("_r", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(rounds)).cast("int"))
+    asking = settle(asking) if rounds > 1 else asking
+    small_batches(vectors)
+    path = fresh_path(spark)
+    for r in range(rounds):
+        own = asking.where(F.col("_r") == r).select("vec_id", "v").toPandas()  # about query_block rows at most
+        queries = spark.sparkContext.broadcast((own["vec_id"].to_numpy(np.int64), _matrix(own["v"], dim, kind)))
+        at = Round(queries, dim, parts, kind, exact)
+
+        def lists(batches: Iterator[pa.RecordBatch], at: Round = at) -> Iterator[pa.RecordBatch]:
+            return _local_lists(at, k, batches)
+
+        # Phase 1.
+        nth = F.row_number().over(Window.partitionBy("node", "qi").orderBy(F.desc("partial"), "vec_id"))
+        gathered = settle(held.mapInArrow(lists, _ENTRY).withColumn("_n", nth).where(F.col("_n") <= k).drop("_n"))
+        nth = F.row_number().over(Window.partitionBy("qi").orderBy(F.desc("total")))
+        kth = _totals(gathered, held, at, parts).withColumn("_n", nth).where(F.col("_n") == k).select("qi", "total").toPandas()  # a row for each query of the round
+        cut = np.full(len(own), -(2**60), np.int64)
+        cut[kth["qi"].to_numpy(np.int64)] = kth["total"].to_numpy(np.int64)
+        cutoffs = spark.sparkContext.broadcast(cut)
+
+        def sufficient(batches: Iterator[pa.RecordBatch], at: Round = at, cutoffs: Broadcast = cutoffs) -> Iterator[pa.RecordBatch]:
+            return _sufficient(at, cutoffs, parts, batches)
+
+        # Phases 2 and 3.
+        collected = settle(held.mapInArrow(sufficient, _ENTRY))
+        reached = _totals(collected, held, at, parts)
+        best = reached.withColumn("rank", F.row_number().over(Window.partitionBy("qi").orderBy(F.desc("total"), "vec_id"))).where(F.col("rank") <= k)
+        names = np.asarray(queries.value[0])
+        ids = spark.createDataFrame(pd.DataFrame({"qi": np.arange(len(names), dtype=np.int32), "query_id": names}), "qi int, query_id long")  # the round's queries
+        add_to(best.join(F.broadcast(ids), "qi").select("query_id", "rank", "vec_id", F.col("total").alias("score")), path)
+        if counts is not None:
+            for name, n in (("gathered", gathered.count()), ("collected", collected.count()), ("resolved", reached.count()), ("queries", len(own)), ("candidates", few.count() * (r == 0))):
+                counts[name] = counts.get(name, 0) + n
+        queries.unpersist()
+        cutoffs.unpersist()
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)
