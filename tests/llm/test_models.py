@@ -89,6 +89,62 @@ def test_chain_learns_and_later_models_see_earlier_ones():
     assert len(chain.links[1].weights) == len(chain.links[1].chosen) + 2  # base and one earlier category
 
 
+def test_out_of_fold_by_brute_force():
+    rng = np.random.default_rng(3)
+    n, vocabulary = 240, 40
+    rows = [np.unique(rng.choice(vocabulary, 8)).astype(np.uint64) * np.uint64(77) for _ in range(n)]
+    dense = np.array([[w * 77 in r.tolist() for w in range(vocabulary)] for r in rows], float)
+    y = (dense[:, 3] + dense[:, 5] + rng.random(n) > 1.2).astype(float)
+    earlier, fold = [rng.random(n)], rng.integers(0, 4, n)
+    got = toxicity.out_of_fold(toxicity.Sample(rows), y, earlier, fold, 6)
+    often = np.flatnonzero(dense.sum(axis=0) >= 4)
+    for k in range(4):
+        train = fold != k
+        z = []
+        for w in often:
+            a, b = (dense[train, w] @ y[train] + 0.1) / (y[train].sum() + 1), (dense[train, w] @ (1 - y[train]) + 0.1) / ((1 - y[train]).sum() + 1)
+            p = dense[train, w].mean()
+            z.append(abs(a - b) / np.sqrt(p * (1 - p) * (1 / (y[train].sum() + 1) + 1 / ((1 - y[train]).sum() + 1))))
+        best = sorted(w for _, w in sorted((-v, w) for v, w in zip(z, often, strict=True))[:6] if z[list(often).index(w)] > 4)
+        odds = np.log(np.clip(earlier[0], 1e-3, 1 - 1e-3) / np.clip(1 - earlier[0], 1e-3, 1))
+        x = np.column_stack([np.ones(n), dense[:, best], odds])
+        w, ridge = np.zeros(x.shape[1]), np.array([1e-6] + [1.0] * (x.shape[1] - 1))
+        for _ in range(20_000):  # plain ascent
+            w = w + 0.01 * (x[train].T @ (y[train] - 1 / (1 + np.exp(-x[train] @ w))) - ridge * w)
+        assert len(best) and np.allclose(got[~train], 1 / (1 + np.exp(-x[~train] @ w)), atol=1e-3)
+
+
+def test_held_out_toxicity(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    chain = toxicity.train(docs, labels.where("doc_id % 2 = 0"), registry.CATEGORIES)
+    rows = toxicity.predict(docs.join(labels.where("doc_id % 2 = 1").select("doc_id", "toxic"), "doc_id"), chain, keep=True).select("p_toxic", "row.toxic").collect()
+    toxic = [r["p_toxic"] >= 0.5 for r in rows if r["toxic"]]
+    clean = [r["p_toxic"] >= 0.5 for r in rows if not r["toxic"]]
+    assert len(toxic) > 30 and np.mean(toxic) > 0.6 and np.mean(clean) < 0.01
+
+
+def test_one_id_repeated_does_not_flood_training(spark):
+    docs = spark.createDataFrame([(1, f"text number {i} of one id", "en") for i in range(500)] + [(i, f"other {i}", "en") for i in range(2, 30)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 30)] + [(40, 1, 2), (41, 1, -1)], "doc_id long, quality int, toxic int")
+    seen = []
+    keep = toxicity.fit
+    try:
+        toxicity.fit = lambda rows, y, names: seen.append((len(rows), sorted(set(y[:, -1].tolist())))) or keep(rows, y, names)
+        toxicity.train(docs, labels, registry.CATEGORIES)
+    finally:
+        toxicity.fit = keep
+    assert seen == [(29, [0, 1])]
+
+
+def test_every_language_and_long_texts_train(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda rows: seen.extend(rows))
+    rows = [(i, f"text {i} of language {i % 230}", f"l{i % 230}") for i in range(2, 2000)] + [(5000 + i, "long words only here " * 3000, "long") for i in range(30)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {lang for _, lang in seen} == {f"l{i}" for i in range(230)} | {"long"}
+    assert [len(t) for t, lang in seen if lang == "long"] == [20_000]  # equal texts once
+
+
 def test_toxicity_of_labelled_rows(spark):
     rows = {r["doc_id"]: r for r in registry.op5_toxicity_chain(spark, "/root/testdata/sf0.1").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()

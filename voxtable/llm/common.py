@@ -92,3 +92,9 @@ def small_batches(df: DataFrame, rows: int = 500) -> None:
 def within_share(key: Column, share: Column) -> Column:
     """Whether the hash of ``key`` falls in the first ``share`` of its range: a sample that any task can draw alone."""
     return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share * (1 << 30)
+
+
+def stretch(text: Column, most: int) -> Column:
+    """The text, or of a longer one ``most`` code points from a place that its hash says: for training, never for results."""
+    at = F.pmod(F.xxhash64(text), F.length(text) - most + 1).cast("int")
+    return F.when(F.length(text) <= most, text).otherwise(text.substr(at + 1, F.lit(most)))

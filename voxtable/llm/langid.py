@@ -9,7 +9,7 @@ segment is run from its true start and end.  A text's distribution is the mean o
 its words, so code-switched texts weigh each language by its words.
 
 A null text, or one without letters, is ``und`` with score 0; so is every text if no labelled
-rows exist.  Row ids may repeat or be null (a null id is not held out).  Equal scores go to the language first in
+rows exist.  Row ids may repeat or be null (a null id is not held out); equal texts of a language train once.  Equal scores go to the language first in
 alphabetical order.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, within_share
+from .common import small_batches, stretch, within_share
 from .words import Spelling, tokens
 
 BUCKETS = 1 << 17
@@ -174,17 +174,17 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, most_chars: int = 20_000, most_langs: int = 200) -> Model:
-    """Fit on a bounded sample: of each of the ``most_langs`` commonest languages about ``per_lang`` rows, by the hash of
-    their id, among those of at most ``most_chars`` code points that are not held out."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, most_chars: int = 20_000) -> Model:
+    """Fit on a bounded sample: of every language about ``per_lang`` different texts, by the hash of id and text, among those that are not held
+    out; of a longer text, a stretch of ``most_chars`` code points that begins where the hash says."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= most_chars))
-    seen = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    rows = rows.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     if not seen:
         return fit([])
     share = F.create_map(*[x for r in seen for x in (F.lit(r["lang"]), F.lit(per_lang / r["n"]))])[F.col("lang")]
-    found = rows.where(within_share(F.col("doc_id"), share)).select("text", "lang").collect()
-    return fit(sorted((r["text"], r["lang"]) for r in found))
+    drawn = rows.where(within_share(F.struct("doc_id", "text"), share)).select(stretch(F.col("text"), most_chars).alias("text"), "lang").distinct()
+    return fit(sorted((r["text"], r["lang"]) for r in drawn.collect()))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, keep: bool = False) -> DataFrame:

@@ -2,12 +2,12 @@
 
 The categories are columns of 0/1 labels, in an order.  Each has a logistic model over
 the presence of selected words and word beginnings; a later category's model also sees the earlier categories'
-probabilities.  For training those are out of fold (each row's comes from a model that did not see it), so a later
-model learns how far to trust them; for prediction they come from the model fitted to all training rows.
+probabilities.  For training those are out of fold (each row's comes from a model that did not see it, neither for its weights nor
+for its choice of features), so a later model learns how far to trust them; for prediction they come from the model fitted to all training rows.
 
 Training takes a bounded sample of labelled rows (about ``per_class`` of each value of the last
 category, by the hash of their id; of repeated ids the greatest labels count); prediction takes every row and its whole text.  Null and empty texts
-have no features and get the chain's base probabilities, far below the threshold.  Rows without labels, or with a null label,
+have no features and get the chain's base probabilities, far below the threshold.  Rows without labels, or with a label that is null or neither 0 nor 1,
 do not train; without both values of a category its probability is the share seen (0 without rows).  Row ids may repeat.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, small_batches, within_share
+from .common import id_text, small_batches, stretch, within_share
 from .words import Spelling, tokens
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -108,58 +108,85 @@ def _places(known: np.ndarray, values: np.ndarray) -> np.ndarray:
     return at[known[at] == values].astype(np.int32)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, names: list[str], most: int = 256, folds: int = 5, seed: int = 5) -> Chain:
-    """rows: each training text's feature hashes; labels: (texts, categories) of 0 and 1."""
-    n = len(rows)
-    feature = np.concatenate(rows) if n else np.zeros(0, np.uint64)
-    feature.sort()
-    first = np.flatnonzero(np.append(True, feature[1:] != feature[:-1])) if len(feature) else np.zeros(0, np.int64)
-    total = np.diff(np.append(first, len(feature)))
-    feature, total = feature[first[total >= 4]], total[total >= 4]  # rarer ones are never chosen
-    slots = [_places(feature, r) for r in rows]
-    owner = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in slots])
-    slot = np.concatenate(slots) if n else np.zeros(0, np.int32)
-    del slots
-    chosen: list[np.ndarray] = []
-    for c in range(len(names)):
-        y = labels[:, c].astype(float)
-        pos = np.bincount(slot, weights=y[owner], minlength=len(feature))
-        p1, p0 = y.sum(), n - y.sum()
+class Sample:
+    """Training texts as (text, feature) pairs, sorted by text; features that fewer than ``least`` texts have are never chosen."""
+
+    def __init__(self, rows: list[np.ndarray], least: int = 4) -> None:
+        self.n = len(rows)
+        feature = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+        feature.sort()
+        first = np.flatnonzero(np.append(True, feature[1:] != feature[:-1])) if len(feature) else np.zeros(0, np.int64)
+        total = np.diff(np.append(first, len(feature)))
+        self.features = feature[first[total >= least]]
+        slots = [_places(self.features, r) for r in rows]
+        self.owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(s) for s in slots])
+        self.slot = np.concatenate(slots) if rows else np.zeros(0, np.int32)
+
+    def chosen(self, y: np.ndarray, among: np.ndarray, most: int) -> np.ndarray:
+        """The features that tell the labels of the texts in ``among`` apart best: of the ``most`` with the greatest difference, in
+        standard errors, between their shares in both classes, those beyond 4."""
+        inside = among[self.owner]
+        own, slot = self.owner[inside], self.slot[inside]
+        total = np.bincount(slot, minlength=len(self.features))
+        pos = np.bincount(slot, weights=y[own], minlength=len(self.features))
+        n, p1 = among.sum(), y[among].sum()
+        p0 = n - p1
         a, b = (pos + 0.1) / (p1 + 1), (total - pos + 0.1) / (p0 + 1)
         share = total / max(n, 1)
         z = (a - b) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / (p1 + 1) + 1 / (p0 + 1)))
         best = np.argsort(-np.abs(z), kind="stable")[:most]
-        chosen.append(best[np.abs(z[best]) > 4])
+        return np.sort(best[np.abs(z[best]) > 4])
+
+    def presence(self, chosen: np.ndarray) -> np.ndarray:
+        """(texts, chosen features) of 0 and 1."""
+        place = np.full(len(self.features), -1)
+        place[chosen] = np.arange(len(chosen))
+        x = np.zeros((self.n, len(chosen)))
+        used = place[self.slot] >= 0
+        x[self.owner[used], place[self.slot[used]]] = 1
+        return x
+
+
+def out_of_fold(sample: Sample, y: np.ndarray, earlier: list[np.ndarray], fold: np.ndarray, most: int) -> np.ndarray:
+    """Each text's probability from a model, features and weights, of the other folds' texts."""
+    out = np.zeros(sample.n)
+    for k in np.unique(fold):
+        train = fold != k
+        if not train.any() or y[train].min() == y[train].max():
+            out[~train] = y[train].mean() if train.any() else 0.0
+            continue
+        design = _design(sample.presence(sample.chosen(y, train, most)), earlier)
+        out[~train] = _sigmoid(design[~train] @ _newton(design[train], y[train]))
+    return out
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, names: list[str], most: int = 256, folds: int = 5, seed: int = 5) -> Chain:
+    """rows: each training text's feature hashes; labels: (texts, categories) of 0 and 1."""
+    sample, everyone = Sample(rows), np.ones(len(rows), bool)
+    ys = [labels[:, c].astype(float) for c in range(len(names))]
+    chosen = [sample.chosen(y, everyone, most) for y in ys]
     union = np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
-    place = np.full(len(feature), -1)
-    place[union] = np.arange(len(union))
-    x = np.zeros((n, len(union)), np.float64)
-    used = place[slot] >= 0
-    x[owner[used], place[slot[used]]] = 1
-    chain, earlier = Chain(feature[union]), []
-    fold = np.random.default_rng(seed).integers(0, folds, n)
-    for c, name in enumerate(names):
-        y = labels[:, c].astype(float)
-        if n == 0 or y.min() == y.max():
-            chain.links.append(Link(name, np.zeros(0, np.int64), np.zeros(0), float(y.mean()) if n else 0.0))
-            earlier.append(chain.links[-1].probability(x, []))
+    chain, earlier = Chain(sample.features[union]), []
+    fold = np.random.default_rng(seed).integers(0, folds, sample.n)
+    for c, (name, y) in enumerate(zip(names, ys, strict=True)):
+        if not sample.n or y.min() == y.max():
+            chain.links.append(Link(name, np.zeros(0, np.int64), np.zeros(0), float(y.mean()) if sample.n else 0.0))
+            earlier.append(np.full(sample.n, chain.links[-1].base))
             continue
-        own = place[chosen[c]]
-        design = _design(x[:, own], earlier)
-        out = np.zeros(n)
-        for k in range(folds if c + 1 < len(names) else 0):
-            train = fold != k
-            out[~train] = _sigmoid(design[~train] @ _newton(design[train], y[train]))
-        chain.links.append(Link(name, own, _newton(design, y)))
-        earlier.append(out)
+        chain.links.append(Link(name, np.searchsorted(union, chosen[c]), _newton(_design(sample.presence(chosen[c]), earlier), y)))
+        if c + 1 < len(names):
+            earlier.append(out_of_fold(sample, y, earlier, fold, most))
     return chain
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", per_class: int = 3000, most_chars: int = 20_000) -> Chain:
-    """categories: (name, SQL expression over ``labels`` giving 0 or 1), in the chain's order."""
-    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), *[F.expr(e).cast("int").alias(f"_y{i}") for i, (_, e) in enumerate(categories)]).dropna()
-    last = f"_y{len(categories) - 1}"
+    """categories: (name, SQL expression over ``labels`` giving 0 or 1), in the chain's order.  A sampled id trains with one text, the first by
+    hash; of a text of more than ``most_chars`` code points a stretch of that length trains, which begins where its hash says."""
     ys = [f"_y{i}" for i in range(len(categories))]
+    marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), *[F.expr(e).cast("int").alias(y) for y, (_, e) in zip(ys, categories, strict=True)]).dropna()
+    for y in ys:
+        marked = marked.where(F.col(y).isin(0, 1))
+    last = ys[-1]
     marked = marked.groupBy("doc_id").agg(*[F.max(y).alias(y) for y in ys])
     seen = {r[last]: r["n"] for r in marked.groupBy(last).agg(F.count("*").alias("n")).collect()}  # two rows
     share = F.when(F.col(last) == 1, per_class / max(1, seen.get(1, 0))).otherwise(per_class / max(1, seen.get(0, 0)))
@@ -173,8 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, str]],
             yield pa.RecordBatch.from_arrays([pa.array((x.tobytes() for x in parts), pa.binary()), *batch.columns[1:]], names=["f", *ys])
 
     small_batches(docs)
-    texts = id_text(docs, id_col, text_col).where(F.length("text") <= most_chars)
-    found = texts.join(F.broadcast(sample), "doc_id").select("text", *ys).mapInArrow(run, "f binary, " + ", ".join(f"{y} int" for y in ys)).collect()
+    drawn = id_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", stretch(F.col("text"), most_chars).alias("text"), *ys)  # about 2 * per_class ids
+    one = drawn.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"), *[F.first(y).alias(y) for y in ys])
+    found = one.select("text", *ys).mapInArrow(run, "f binary, " + ", ".join(f"{y} int" for y in ys)).collect()
     found = sorted(found, key=lambda r: (r["f"], *[r[y] for y in ys]))
     y = np.array([[r[y] for y in ys] for r in found]).reshape(len(found), len(ys))
     return fit([np.frombuffer(r["f"], np.uint64) for r in found], y, [name for name, _ in categories])
