@@ -2,6 +2,10 @@
 
 Language identification drops documents in no language, the toxicity chain drops toxic ones, near-deduplication keeps one
 document of each group, personal data is replaced by its kind, and what is left is packed into sequences.
+
+Every stage decides row by row: repeated rows and repeated or null ids are rows like others (near-deduplication keeps one of equal rows
+with an id), null and empty texts have no language and go in the first stage, texts of any length are read whole, and further columns, whatever
+their names, stay as they are.  Empty tables go through all stages as empty tables.
 """
 
 from __future__ import annotations
@@ -15,11 +19,17 @@ from voxtable.llm.registry import ADDED, CATEGORIES, RANKS
 from voxtable.runtime import ship
 
 
+#: A document is in no language if none gets this share of its words, by their mean probability in the random field.
+LEAST_SHARE = 1 / 3
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (or without text) go."""
+    """Documents without a letter (or without text) go, and those whose best language has a score below ``LEAST_SHARE``.  Where no row is
+    labelled nothing is known of any language, and all documents with a letter stay."""
     ship(spark)
-    marked = langid.predict(docs, langid.train(docs), keep=True)
-    return marked.where(F.col("lang_pred") != "und").select("row.*")
+    model = langid.train(docs)
+    marked = langid.predict(docs, model, keep=True).where(F.col("n_words") > 0)
+    return (marked.where(F.col("score") >= LEAST_SHARE) if model.langs else marked).select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -367,3 +367,42 @@ def test_pipeline_keeps_rows_not_ids(spark):
     assert got.schema.names == schema.names
     # Id 5 loses its copy of 1's text and keeps its own; repeated rows leave one; rows without a text or an id link with nothing.
     assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == collections.Counter([(1, a), (5, b), (7, None), (None, b), (None, b), (8, "alone here")])
+
+
+def test_language_stage_goes_by_the_models_score(spark, monkeypatch):
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    model = c.langid.fit([("the dog and the fox", "en"), ("der hund und das haus", "de"), ("le chien et la maison", "fr"), ("el perro y la casa", "es")] * 20)
+    monkeypatch.setattr(c.langid, "train", lambda docs: model)
+    rows = [(1, "the dog and the house"), (2, "ꙮꙗꙋ"), (3, "la maison et le chien")]
+    known = spark.createDataFrame([(d, t, None, "s", 1) for d, t in rows], docs.schema)
+    score = {r["doc_id"]: r["score"] for r in c.langid.predict(known, model).collect()}
+    assert score[2] < c.LEAST_SHARE < min(score[1], score[3])
+    assert {r["doc_id"] for r in c.identify_language(spark, known, SF).collect()} == {1, 3}
+
+
+def test_language_stage_without_labels(spark):
+    import corpus_pipeline as c
+
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(1, "some words"), (2, "12 !!"), (3, None), (1, "some words"), (None, "no id")]
+    got = c.identify_language(spark, spark.createDataFrame([(d, t, None, "s", 1) for d, t in rows], schema), SF)
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == collections.Counter([(1, "some words"), (1, "some words"), (None, "no id")])
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_of_odd_rows(spark, odd, empty):
+    import corpus_pipeline as c
+
+    docs = odd.limit(0) if empty else odd
+    columns = docs.columns
+    for _, stage in c.STAGES[:-1]:
+        docs = c.settle(stage(spark, docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" not in docs.columns else docs, SF))
+        assert docs.columns == [*columns, "n_chars"]
+    ids = [r["doc_id"] for r in docs.collect()]
+    packed = c.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in packed} == set(ids)
+    assert not empty or not ids
+    if not empty:
+        assert sorted(i for i in ids if i) == [1, 6, 7, 8, 9] and None in ids  # one of the equal rows of 8, and 1 for its copy 10
