@@ -1,45 +1,34 @@
 """Stupid-backoff language-model scores of documents, by joining n-grams with their counts.
 
-The tables are relational, packed for size: documents fall into blocks by a hash; a block's exploded
-n-grams are its distinct 64-bit hashes with their numbers, cut by hash range into buckets.  A bucket's rows from all blocks make
-its part of the count tables (one part holds every occurrence of its n-grams); the join gives each block back the counts of
-the n-grams it has; the block sums its documents' scores.  A block sends an n-gram once, however often it holds it, so the
-commonest words weigh no more in a bucket than the number of blocks.
+Documents fall into blocks by a hash.  A block's exploded n-grams are rows (bucket, block, n, place, key, count): each distinct
+n-gram once, by a 64-bit hash, with its number in the block.  They travel in lists, one for a bucket of the hashes' range, which are rows again
+where they arrive.  A bucket's part of the count tables is the sum over its rows of each key; joined to the same rows it answers
+the blocks that hold the key, by place.  Each block sums its documents' scores.  So an n-gram, however common, costs its bucket one row a
+block, and all work is in proportion to the distinct n-grams of the blocks.
 
     S(w | v...) = count(v... w) / count(v...)     if count(v... w) >= min_count
                 = alpha * S(w | shorter context)  else;   S(w) = count(w) / N
 
-Scores are natural logarithms in whole millionths, so sums do not depend on their order.  Counts are those of all
-documents.  Words are runs of anything but blanks and U+0009 to U+000D, with A-Z lower-cased.  Null, empty and blank
-texts have no words and score 0.  Every row, repeated or not, counts and is scored; ids may repeat or be null.
+Counts are those of all documents, the scored one included; each of its n-grams is there at least once, so that ``min_count`` 1 would
+never back off, and 2 asks for a second occurrence anywhere.
+Scores are natural logarithms in whole millionths, so sums do not depend on their order.
+Words are runs of anything but blanks and U+0009 to U+000D, with A-Z lower-cased.  Null, empty and blank
+texts have no words and score 0 (no mean).  Every row, repeated or not, counts and is scored; ids may repeat or be null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, small_batches
 from .words import mix
 
-BLOCK_BYTES = 8 << 20  # of text in a block
-BUCKET_GRAMS = 2_000_000  # n-grams, counted once a block, in a bucket
-
-
-def squeeze(x: np.ndarray) -> bytes:
-    """Whole numbers by byte planes, so that their leading zeros vanish."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
-
-
-def unsqueeze(data: bytes, kind: type = np.uint64) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
+BLOCK_BYTES = 12 << 20  # of text in a block
+BUCKET_GRAMS = 1_000_000  # n-grams, counted once a block, in a bucket
 
 
 def grams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -62,68 +51,59 @@ def grams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray], l
     return sizes, hashes, real
 
 
-def _bucket_ends(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of hashes ends among sorted keys."""
-    edges = np.array([(i + 1) * 2**64 // buckets - 1 for i in range(buckets)], np.uint64)
-    return np.searchsorted(keys, edges, side="right")
+def _runs(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the buckets of sorted keys that are not empty, where each begins)."""
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    return of[first].astype(np.int64), first
+
+
+_LISTS = "bucket long, block int, n int, keys array<long>, counts array<int>"
 
 
 def scores(docs: DataFrame, order: int = 2, min_count: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
-    """(doc_id, n_words long, log_score long): natural logarithm of the text's score in millionths."""
+    """(doc_id, n_words long, log_score long, mean_score double): natural logarithm of the text's score in millionths, and its mean over the words."""
     small_batches(docs)
     rows = id_text(docs, id_col, text_col)
-    size = rows.mapInArrow(_sizes, "bytes long, words long").agg(F.sum("bytes").alias("bytes"), F.sum("words").alias("words")).first()
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.sum(words.cast("long")).alias("words")).first()
     in_all = max(1, size["words"] or 0)
     blocks = max(1, -(-(size["bytes"] or 0) // block_bytes))
-    buckets = max(1, -(-in_all * order // bucket_grams))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    buckets = min(2**31, max(1, -(-in_all * order // bucket_grams)))
+    # Equal rows fall into different blocks by their place.
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
 
     def explode(table: pa.Table) -> pa.Table:
         _, hashes, real = grams(table.column("text").to_pylist(), order)
-        block, out = table.column("block")[0].as_py(), []
+        out = []
         for n, (h, ok) in enumerate(zip(hashes, real, strict=True)):
             keys, counts = np.unique(h[ok], return_counts=True)
-            lo = 0
-            for b, hi in enumerate(_bucket_ends(keys, buckets).tolist()):
-                if hi > lo:
-                    out.append((b, block, n, squeeze(np.diff(keys[lo:hi], prepend=np.uint64(0))), squeeze(counts[lo:hi].astype(np.uint32))))
-                lo = hi
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "block", "n", "keys", "counts"])
-
-    def total(table: pa.Table) -> pa.Table:
-        out = []
-        bucket, all_n = table.column("bucket")[0].as_py(), np.array(table.column("n").to_pylist())
-        for n in range(order):
-            part = table.filter(pa.array(all_n == n)).sort_by("block")
-            keys = [np.cumsum(unsqueeze(x), dtype=np.uint64) for x in part.column("keys").to_pylist()]
-            if not keys:
-                continue
-            counts = np.concatenate([unsqueeze(x, np.uint32) for x in part.column("counts").to_pylist()])
-            _, slot = np.unique(np.concatenate(keys), return_inverse=True)
-            summed = np.bincount(slot, weights=counts).astype(np.uint64)
-            if n:
-                summed[summed < min_count] = 0
-            answers = np.split(summed[slot], np.cumsum([len(k) for k in keys])[:-1])
-            out += [(b, bucket, n, squeeze(a)) for b, a in zip(part.column("block").to_pylist(), answers, strict=True)]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32(), pa.int32(), pa.binary()], strict=True)], names=["block", "bucket", "n", "totals"])
+            of, first = _runs(keys, buckets)
+            ends = pa.array(np.append(first, len(keys)).astype(np.int32))
+            same = lambda x, t: pa.array(np.full(len(of), x), t)  # noqa: B023, E731
+            columns = [pa.array(of), same(table.column("block")[0].as_py(), pa.int32()), same(n, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))]
+            out.append(pa.table(columns, names=["bucket", "block", "n", "keys", "counts"]))
+        return pa.concat_tables(out)
 
     def score(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return table.select(["doc_id"]).append_column("n_words", pa.array([], pa.int64())).append_column("log_score", pa.array([], pa.int64()))
         sizes, hashes, real = grams(table.column("text").to_pylist(), order)
-        replies = replies.sort_by("bucket") if replies.num_rows else replies
-        which = np.array(replies.column("n").to_pylist())
+        answers = {(a, b): (p, t) for a, b, p, t in zip(*(replies.column(c).to_pylist() for c in ("n", "bucket")), replies.column("place"), replies.column("total"), strict=True)}
         count = []
         for n, (h, ok) in enumerate(zip(hashes, real, strict=True)):
+            keys, slot = np.unique(h[ok], return_inverse=True)
+            total = np.zeros(len(keys), np.int64)
+            for bucket, first in zip(*map(np.ndarray.tolist, _runs(keys, buckets)), strict=True):
+                if (n, bucket) in answers:
+                    place, found = answers[n, bucket]
+                    total[first + place.values.to_numpy()] = found.values.to_numpy()
             c = np.zeros(len(h), np.int64)
-            if ok.any():
-                _, slot = np.unique(h[ok], return_inverse=True)
-                answers = np.concatenate([unsqueeze(x) for x in replies.column("totals").filter(pa.array(which == n)).to_pylist()])
-                c[ok] = answers.astype(np.int64)[slot]
+            c[ok] = total[slot]
             count.append(c)
-        value = np.log(count[0] / in_all) if len(count[0]) else np.zeros(0)
+        if (count[0] == 0).any():
+            raise ValueError("a word without a count")
+        value = np.log(count[0] / in_all)
         for n in range(1, order):
-            context = np.concatenate([[1], count[n - 1][:-1]])
+            context = np.concatenate([[1], count[n - 1][:-1]])[: len(value)]
             seen = real[n] & (count[n] > 0) & (context > 0)
             with np.errstate(divide="ignore", invalid="ignore"):
                 value = np.where(seen, np.log(count[n] / context), np.where(real[n], np.log(alpha) + value, value))
@@ -132,28 +112,32 @@ def scores(docs: DataFrame, order: int = 2, min_count: int = 2, alpha: float = 0
         ends = np.cumsum(sizes)
         return pa.table([table.column("doc_id"), pa.array(sizes), pa.array(before[ends] - before[ends - sizes])], names=["doc_id", "n_words", "log_score"])
 
-    lists = dealt.groupBy("block").applyInArrow(explode, "bucket int, block int, n int, keys binary, counts binary")
-    replies = lists.groupBy("bucket").applyInArrow(total, "block int, bucket int, n int, totals binary")
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score long")
-
-
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t.encode() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, texts))], pa.int64()), pa.array([sum(len(t.split()) for t in texts)], pa.int64())], names=["bytes", "words"])
+    lists = dealt.groupBy("block").applyInArrow(explode, _LISTS).repartition("bucket")
+    found = lists.select("bucket", "block", "n", F.posexplode(F.arrays_zip("keys", "counts")).alias("place", "gram")).select("bucket", "block", "n", "place", F.col("gram.keys").alias("key"), F.col("gram.counts").alias("count"))
+    # Rows of a bucket are together already: neither the sums nor the answers' lists move anything.
+    counted = found.withColumn("total", F.sum("count").over(Window.partitionBy("bucket", "key")))
+    answers = counted.where((F.col("n") == 0) | (F.col("total") >= min_count)).groupBy("bucket", "block", "n").agg(F.collect_list(F.struct("place", "total")).alias("l"))
+    replies = answers.select("bucket", "block", "n", F.col("l.place").alias("place"), F.col("l.total").alias("total"))
+    done = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score long")
+    return done.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("log_score").cast("double") / F.col("n_words")))
 
 
 def oracle_sql(order: int = 2, min_count: int = 2, alpha: float = 0.4) -> str:
-    """The same in DuckDB's SQL, for unique ids and an order of two."""
-    if order != 2:
-        raise ValueError("written for bigrams")
+    """The same in DuckDB's SQL, for unique ids and an order of two or three."""
+    if order not in (2, 3):
+        raise ValueError("written for orders of two and three")
+    one = "case when b.n is not null then ln(b.n / cv.n) when p.v is not null then ln({0}) + ln(cw.n / (select count(*) from t)) else ln(cw.n / (select count(*) from t)) end".format(alpha)
+    value = one if order == 2 else f"case when c.n is not null then ln(c.n / cb.n) when p.u is not null then ln({alpha}) + {one} else {one} end"
+    three = """,
+c3 as (select u, v, w, count(*) as n from p where u is not null group by u, v, w having count(*) >= {0})""".format(min_count)
+    join3 = " left join c3 c on c.u = p.u and c.v = p.v and c.w = p.w left join b cb on cb.v = p.u and cb.w = p.v"
     return f"""
 with l as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
 t as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from l),
-p as (select doc_id, i, w, lag(w) over (partition by doc_id order by i) as v from t),
+p as (select doc_id, i, w, lag(w) over (partition by doc_id order by i) as v, lag(w, 2) over (partition by doc_id order by i) as u from t),
 u as (select w, count(*) as n from t group by w),
-b as (select v, w, count(*) as n from p where v is not null group by v, w having count(*) >= {min_count}),
-s as (select p.doc_id, cast(round(1e6 * case when b.n is not null then ln(b.n / cv.n) when p.v is not null then ln({alpha}) + ln(cw.n / (select count(*) from t)) else ln(cw.n / (select count(*) from t)) end) as bigint) as x
-  from p join u cw on cw.w = p.w left join u cv on cv.w = p.v left join b on b.v = p.v and b.w = p.w)
-select l.doc_id, cast(len(ws) as bigint) as n_words, coalesce(cast(sum(x) as bigint), 0) as log_score from l left join s on s.doc_id = l.doc_id group by l.doc_id, len(ws)
+b as (select v, w, count(*) as n from p where v is not null group by v, w having count(*) >= {min_count}){three if order == 3 else ""},
+s as (select p.doc_id, cast(round(1e6 * {value}) as bigint) as x
+  from p join u cw on cw.w = p.w left join u cv on cv.w = p.v left join b on b.v = p.v and b.w = p.w{join3 if order == 3 else ""})
+select l.doc_id, cast(len(ws) as bigint) as n_words, coalesce(cast(sum(x) as bigint), 0) as log_score, cast(sum(x) as double) / len(ws) as mean_score from l left join s on s.doc_id = l.doc_id group by l.doc_id, len(ws)
 """
