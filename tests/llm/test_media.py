@@ -38,6 +38,33 @@ def test_rows(spark, odd, none):
     assert media.read(lists, chunks).count() == 0
 
 
+def test_values_by_their_definitions(spark):
+    """Nothing of the operator's own code is used for what is expected."""
+    texts = ["", "a", "é" * 100, "x" * 192, "y" * 193, None, "word \U0001f600 " * 9000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lists, chunks = media.store(docs)
+    rows = {r["doc_id"]: r for r in media.owners(docs).join(media.read(lists, chunks), "media").collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        size = max(1, -(-len(raw) // 192)) * 192
+        payload = raw.ljust(size, b" ")
+        form = f"P5\n192 {size // 192}\n255\n".encode() + payload
+        r = rows[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(raw), size, len(form))
+        assert (r["payload_sha256"], bytes(r["media"]), r["tail_crc32"]) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(form).digest(), zlib.crc32(payload[-16:]))
+        mean = sum(payload) / size
+        deviation = (sum((b - mean) ** 2 for b in payload) / size) ** 0.5
+        steps = [abs(payload[k] - payload[k - 1]) for k in range(size) if k % 192]
+        bins = [sum(b // 32 == k for b in payload) for k in range(8)]
+        assert r["feature"] == f"{mean:.4f}:{deviation:.4f}:{sum(steps) / len(steps):.4f}:" + ",".join(map(str, bins))
+
+
+def test_a_saved_store_gives_back_its_media(spark, odd, tmp_path):
+    media.save(*media.store(odd), str(tmp_path / "store"))
+    back = media.read(*media.load(spark, str(tmp_path / "store"))).collect()
+    assert {bytes(r["media"]) for r in back} == {hashlib.sha256(media.to_pgm(media.payload_of(r["text"] or ""))).digest() for r in odd.collect()}
+
+
 def test_query_has_every_document(spark):
     rows = registry.op7_media_columns(spark, "/root/testdata/sf0.001").collect()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}

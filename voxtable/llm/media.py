@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, small_batches
@@ -134,6 +134,17 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     return lists, chunks
 
 
+def save(lists: DataFrame, chunks: DataFrame, path: str) -> None:
+    """Keep a store in a folder: one table of lists and one of chunks, each chunk in the file range of its digest."""
+    lists.write.parquet(f"{path}/lists")
+    chunks.sortWithinPartitions("digest").write.parquet(f"{path}/chunks")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lists, chunks) of a saved store."""
+    return spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/chunks")
+
+
 def read(lists: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rebuild and verify every stored form: (media, media_bytes, payload_bytes, payload_sha256, tail_crc32, feature)."""
 
