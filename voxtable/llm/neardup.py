@@ -40,6 +40,7 @@ from .words import mix
 MISS = 1e-6
 CHUNK = 1_500_000  # shingles of a chunk, on average at most
 ROWS = 64  # classes of a chunk, on average at most
+SALTS = 64  # tasks among which a group in several chunks is dealt for joins
 _HUBS = [0, 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51]  # the hubs come first in the orders that these give
 
 
@@ -160,14 +161,22 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFr
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"), text.alias("text"), *more)
 
 
+def _with_group(members: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """Members (root, node, ...) with facts (root, ...) about their groups, of which there are few: a group's members meet them in many tasks."""
+    salted = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("_salt", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(SALTS)).cast("int")).join(salted, ["root", "_salt"], how).drop("_salt")
+
+
 def _confirmed(rows: DataFrame, classes: DataFrame, coarse: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of the components of true links within the groups of ``coarse``."""
     size = F.greatest(F.ceil(F.sum("n") / CHUNK), F.ceil(F.count("*") / ROWS)).cast("int")
     hubs = [F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in _HUBS]
     weights = classes.join(coarse, "node").groupBy("root").agg(size.alias("chunks"), F.array(*hubs).alias("hubs"))
-    members = coarse.join(classes.select("node", "set", "first", "n"), "node").join(weights, "root")
+    # Most groups are one chunk, of which nothing more need be known.
+    weights = settle(weights.where("chunks > 1"))
+    members = _with_group(coarse.join(classes.select("node", "set", "first"), "node"), weights, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")
-    members = members.select(F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"), "node", "set", "root", "chunks", chunk, F.array_contains("hubs", F.col("node")).alias("hub"))
+    members = members.select(F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"), "node", "set", "root", "chunks", chunk, F.coalesce(F.array_contains("hubs", F.col("node")), F.lit(False)).alias("hub"))
     texts = rows.join(members, ["doc_id", "key"]).select("root", "chunks", "chunk", "node", "set", "hub", "text")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,14 +196,16 @@ def _confirmed(rows: DataFrame, classes: DataFrame, coarse: DataFrame, words: in
     everywhere = F.sequence(F.lit(0), F.col("chunks") - 1)
     first = full.select("root", F.explode(F.when(F.col("hub"), everywhere).otherwise(F.array("chunk"))).alias("part"), F.lit(1).alias("side"), "node", "set", "data")
     links = settle(first.groupBy("root", "part").applyInPandas(confirm, "a long, b long"))
+    if weights.isEmpty():
+        return settle(components(links))
     # Of groups in several chunks: the classes that are not in the largest component, in chunks of their own.
-    several = coarse.join(weights.where("chunks > 1").select("root"), "root").join(classes.select("node", "n"), "node")
+    several = _with_group(coarse, weights.select("root")).join(classes.select("node", "n"), "node")
     several = settle(several.join(components(links).withColumnRenamed("root", "found"), "node", "left").select("root", "node", "n", F.coalesce("found", "node").alias("found")))
     largest = several.groupBy("root", "found").agg(F.count("*").alias("m")).groupBy("root").agg(F.max(F.struct("m", "found"))["found"].alias("largest"))
-    outside = several.join(largest, "root").where("found <> largest")
+    outside = settle(_with_group(several, largest).where("found <> largest").select("root", "node", "n"))
     sides = settle(outside.groupBy("root").agg(size.alias("sides")))
     side = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("sides")).cast("int").alias("other")
-    large = full.where("chunks > 1").join(sides, "root")
+    large = _with_group(full.where("chunks > 1"), sides)
     left = large.join(outside.select("node"), "node").select("root", F.explode(everywhere).alias("part"), side, F.lit(0).alias("side"), "node", "set", "data")
     right = large.select("root", F.col("chunk").alias("part"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"), F.lit(1).alias("side"), "node", "set", "data")
     more = left.unionByName(right).groupBy("root", "part", "other").applyInPandas(confirm, "a long, b long")
