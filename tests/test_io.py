@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxtable import fixtures as fx
-from voxtable.operators import edits, mesh, report, stack
+from voxtable.operators import edits, mesh, report, stack, tracking
 from voxtable.plans.queries import AREA, SZ
 from voxtable.schema import palette
 from voxtable.sinks import writers
@@ -65,6 +65,35 @@ def test_mixed_folder(spark, tmp_path):
     assert voxels.count() == 24 and voxels.agg(F.sum("gray")).first()[0] == int(gray.sum())
 
 
+def test_pictures_and_arrays_in_one_volume(spark, tmp_path):
+    gray = RNG.integers(0, 256, (4, 6), np.uint8)
+    (tmp_path / "s1.png").write_bytes(codecs.encode_png(gray))
+    (tmp_path / "s2.tiff").write_bytes(codecs.encode_tiff(gray))
+    (tmp_path / "s3.JPG").write_bytes(b"broken")
+    bmp = b"BM" + struct.pack("<IHHI", 54 + 4 * 20, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 6, 4, 1, 24, 0, 80, 0, 0, 0, 0) + b"".join(bytes(np.repeat(r, 3)) + b"\0\0" for r in gray[::-1])
+    (tmp_path / "s10.bmp").write_bytes(bmp)
+    good, bad = readers.slices(spark, str(tmp_path))
+    rows = good.orderBy("z").collect()
+    assert [r["path"].rpartition("/")[2] for r in rows] == ["s1.png", "s2.tiff", "s10.bmp"] and all(bytes(r["data"]) == gray.tobytes() for r in rows)
+    assert [r["path"].rpartition("/")[2] for r in bad.collect()] == ["s3.JPG"]
+
+
+def test_series_by_place_and_spacing(spark, tmp_path):
+    for name, z in (("a", 9.0), ("b", 1.0), ("c", 4.0), ("d", 6.5)):
+        (tmp_path / f"{name}.dcm").write_bytes(dicom(np.arange(24).reshape(4, 6), z))
+    good, _ = readers.slices(spark, str(tmp_path))
+    ordered, spacing = readers.series(good)
+    assert [r["path"].rpartition("/")[2] for r in ordered.orderBy("z").collect()] == ["b.dcm", "c.dcm", "d.dcm", "a.dcm"]
+    assert spacing.first()["spacing"] == 2.5 and [r["z"] for r in ordered.orderBy("z").collect()] == [0, 1, 2, 3]
+
+
+def test_predictors_see_frames(spark):
+    frames = spark.createDataFrame([(z, 2, 3, bytes([z, 0, 0, 0, z, 0])) for z in range(5)], "z int, height int, width int, data binary")
+    prompts = spark.createDataFrame([(1, 0, 0, 2, 2, 1, 3, 2)], "obj_id long, x0 int, y0 int, x1 int, y1 int, z_start int, z_end int, z_box int")
+    masks = tracking.track(prompts, lambda image, box, z: np.nonzero(image == z), frames)
+    assert {tuple(r) for r in masks.select("z", "y", "x").collect()} == {(z, y, x) for z in (1, 2, 3) for y, x in ((0, 0), (1, 1))}
+
+
 def test_nrrd_and_nifti():
     v = RNG.integers(0, 200, (3, 4, 5)).astype(np.uint8)  # z, y, x
     head = b"NRRD0004\ntype: uchar\ndimension: 3\nsizes: 5 4 3\nencoding: gzip\nendian: little\nspace directions: (-0.5,0,0) (0,0.25,0) (0,0,2)\n\n"
@@ -94,7 +123,10 @@ def test_masks_and_svg(spark, tmp_path):
     (tmp_path / "mask0002.svg").write_text(
         '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 10 10"><rect x="1" y="1" width="3" height="2" fill="#ff0000"/><path style="fill: rgb(0,0,255)" d="M 0 0 L 4 0 L 4 4 Z"/><polygon points="0,0 1,1 2,0" fill="#123456"/></svg>'
     )
-    row = readers.label_masks(spark, str(tmp_path)).first()
+    (tmp_path / "mask0009.png").write_bytes(codecs.encode_png(RNG.integers(0, 256, (4, 4, 3), np.uint8)))
+    masks, rejects = readers.label_masks(spark, str(tmp_path))
+    assert masks.count() == 1 and rejects.first()["path"].endswith("mask0009.png")
+    row = masks.first()
     assert row["key"] == "0007" and bytes(row["data"]) == m.tobytes()
     shapes = readers.svg_paths(spark, str(tmp_path)).orderBy("seq").collect()
     assert [(r["label"], r["kind"], r["z"], r["width"]) for r in shapes] == [(1, "polygon", 1, 10.0), (2, "path", 1, 10.0)]
@@ -108,7 +140,7 @@ def test_pictures_and_meshes(spark, tmp_path):
     first = codecs.decode_png(files["mask0012.png"])
     assert first.sum() == shown.where("z = 0").agg(F.sum("level")).first()[0]
     tiff = writers.pictures(shown.where("z = 3"), fx.HEIGHT, fx.WIDTH, ["level"], "mask{:04}.tiff", kind="tiff")
-    writers.save(tiff, f"file://{tmp_path}/tiff")
+    assert writers.save(tiff, f"file://{tmp_path}/tiff") == 1
     assert readers.image_slices(spark, f"{tmp_path}/tiff").first()["height"] == fx.HEIGHT
     t = mesh.triangles(v.where("label = 10"), SZ, 0.5, 0.5)
     data = bytes(writers.stl(t).first()["content"])

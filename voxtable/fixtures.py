@@ -20,11 +20,12 @@ def grid(spark: SparkSession, depth: int = DEPTH, height: int = HEIGHT, width: i
     )
 
 
-def primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
+def primitives(spark: SparkSession, sf_dir: str, depth: int = DEPTH, height: int = HEIGHT, width: int = WIDTH) -> DataFrame:
     """Ellipsoids (k, label, cz, cy, cx, r), one for each supplier."""
     return table(spark, sf_dir, "supplier").selectExpr(
-        "s_suppkey as k", "cast(s_suppkey % 20 as int) + 1 as label", "cast((s_suppkey * 5) % 12 as int) as cz", "cast((s_suppkey * 17 + s_nationkey) % 48 as int) as cy", "cast((s_suppkey * 29 + 7) % 48 as int) as cx", "cast(s_suppkey % 5 as int) + 2 as r"
-    )
+        "s_suppkey as k", "cast(s_suppkey % 20 as int) + 1 as label", f"cast((s_suppkey * 5) % {depth} as int) as cz", f"cast((s_suppkey * 17 + s_nationkey) % {height} as int) as cy", f"cast((s_suppkey * 29 + 7) % {width} as int) as cx",
+        f"(cast(s_suppkey % 5 as int) + 2) * {max(1, height // HEIGHT)} as r",
+    )
 
 
 def inside(prims: DataFrame, depth: int = DEPTH, height: int = HEIGHT, width: int = WIDTH) -> DataFrame:
@@ -34,10 +35,11 @@ def inside(prims: DataFrame, depth: int = DEPTH, height: int = HEIGHT, width: in
     return boxes.where("(z-cz)*(z-cz)*4 + (y-cy)*(y-cy) + (x-cx)*(x-cx) <= r*r").select("z", "y", "x", "k", "label")
 
 
-def phantom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(z, y, x, gray, label): the ellipsoid with the highest key wins; 0 elsewhere."""
-    top = inside(primitives(spark, sf_dir)).groupBy("z", "y", "x").agg(F.max(F.struct("k", "label")).alias("top")).select("z", "y", "x", F.col("top.label").alias("label"))
-    return grid(spark).join(top, ["z", "y", "x"], "left").selectExpr("z", "y", "x", "cast((x*3 + y*5 + z*7) % 256 as int) as gray", "coalesce(label, 0) as label")
+def phantom(spark: SparkSession, sf_dir: str, depth: int = DEPTH, height: int = HEIGHT, width: int = WIDTH) -> DataFrame:
+    """(z, y, x, gray, label): the ellipsoid with the highest key wins; 0 elsewhere.  The ellipsoids grow with the height."""
+    shape = (depth, height, width)
+    top = inside(primitives(spark, sf_dir, *shape), *shape).groupBy("z", "y", "x").agg(F.max(F.struct("k", "label")).alias("top")).select("z", "y", "x", F.col("top.label").alias("label"))
+    return grid(spark, *shape).join(top, ["z", "y", "x"], "left").selectExpr("z", "y", "x", "cast((x*3 + y*5 + z*7) % 256 as int) as gray", "coalesce(label, 0) as label")
 
 
 def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:

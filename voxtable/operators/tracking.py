@@ -23,24 +23,31 @@ def box_predictor(image: object, box: tuple[int, int, int, int], frame: int) ->
     return y.ravel(), x.ravel()
 
 
-def track(prompts: DataFrame, predictor: Predictor = box_predictor) -> DataFrame:
+def track(prompts: DataFrame, predictor: Predictor = box_predictor, frames: DataFrame | None = None) -> DataFrame:
     """MASKS of each prompt (obj_id, x0, y0, x1, y1, z_start, z_end, z_box): forward from the box's frame to the end, backward
-    from it to the start.  Empty masks give no rows."""
+    from it to the start.  Empty masks give no rows.  ``frames`` (z, height, width, data): the predictor gets each frame's pixels; an object's
+    frames, from its start to its end, meet in its task."""
+    asked = prompts.select("obj_id", "x0", "y0", "x1", "y1", "z_start", "z_end", "z_box")
+    seen = frames is not None
+    if seen:
+        spread = asked.withColumn("frame", F.explode(F.sequence("z_start", "z_end")))
+        asked = spread.join(frames.select(F.col("z").alias("frame"), "height", "width", "data"), "frame", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for p in pdf.itertuples():
+        images = {r.frame: np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width)) for r in pdf.itertuples() if r.data is not None} if seen else {}
+        for p in pdf.drop_duplicates([c for c in pdf.columns if c not in ("frame", "height", "width", "data")]).itertuples():
             box = (p.x0, p.y0, p.x1, p.y1)
-            for direction, frames in (("forward", range(p.z_box, p.z_end + 1)), ("backward", range(p.z_box, p.z_start - 1, -1))):
-                for z in frames:
-                    found = predictor(None, box, z)
+            for direction, order in (("forward", range(p.z_box, p.z_end + 1)), ("backward", range(p.z_box, p.z_start - 1, -1))):
+                for z in order:
+                    found = predictor(images.get(z), box, z)
                     if found is None:
                         break
                     y, x = found
                     out.append(pd.DataFrame({"obj_id": p.obj_id, "direction": direction, "z": np.int32(z), "y": y.astype(np.int32), "x": x.astype(np.int32)}))
         return pd.concat(out) if out else pd.DataFrame(columns=["obj_id", "direction", "z", "y", "x"])
 
-    return prompts.groupBy("obj_id").applyInPandas(run, MASKS)
+    return asked.groupBy("obj_id").applyInPandas(run, MASKS)
 
 
 def merge_directions(masks: DataFrame, winner: str = "forward") -> DataFrame:

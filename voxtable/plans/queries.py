@@ -507,6 +507,17 @@ def edit_log_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(editlog.apply_batch(fx.phantom(spark, sf_dir), log))
 
 
+#: A cube's corners as bits (4 z + 2 y + x), and the six tetrahedra around its diagonal as sets of them: one triangle for one or three corners inside, two for two.
+_TETS = [1 | 1 << (4 >> a) | 1 << ((4 >> a) | (4 >> b)) | 1 << 7 for a in range(3) for b in range(3) if a != b]
+
+
+@query(f"""{P}, corner as (select label, z - dz cz, y - dy cy, x - dx cx, 1 << cast(4 * dz + 2 * dy + dx as int) as bit from v, range(0, 2) a(dz), range(0, 2) b(dy), range(0, 2) c(dx) where label > 0),
+cube as (select label, cz, cy, cx, cast(sum(bit) as int) as m from corner group by all)
+select label, cast(sum({" + ".join(f"[0, 1, 2, 1, 0][bit_count(m & {t}) + 1]" for t in _TETS)}) as bigint) as triangles from cube group by label""")
+def mesh_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.triangles(fx.phantom(spark, sf_dir), SZ, 0.5, 0.5, slab=6).groupBy("label").agg(F.count("*").alias("triangles"))
+
+
 @query()
 def mesh_triangle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.mesh_size(mesh.triangles(fx.phantom(spark, sf_dir), SZ, 0.5, 0.5, slab=6))

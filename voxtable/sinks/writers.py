@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import csv
 import io
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,18 +86,25 @@ def split_colors(voxels: DataFrame, height: int, width: int) -> DataFrame:
     return voxels.where("label > 0").select("label", "z", "y", "x").groupBy("label", "z").applyInPandas(run, FILES)
 
 
-def save(files: DataFrame, folder: str) -> None:
-    """Write FILES rows as files with Hadoop's client inside the driver's reach: names first, then one file at a time, so that no more than
-    one content is held."""
-    spark = files.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for row in files.toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['name']}")
-        stream = path.getFileSystem(conf).create(path, True)
-        try:
-            stream.write(bytearray(row["content"]))
-        finally:
-            stream.close()
+def save(files: DataFrame, folder: str) -> int:
+    """Write FILES rows as files, each by the task that has it, and give their number.  A file appears under its name when it is complete,
+    so a task that runs again does no harm.  ``folder``: a path or URI that Arrow's file systems know, reachable from all executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        n = 0
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = f"{base}/{name}"
+                fs.create_dir(target.rpartition("/")[0], recursive=True)
+                draft = f"{target}.{uuid.uuid4().hex}.part"
+                with fs.open_output_stream(draft) as f:
+                    f.write(content)
+                fs.move(draft, target)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return files.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def volinfo_csv(width: int, height: int, depth: int, sx: float, sy: float, sz: float, ox: float = 0.0, oy: float = 0.0, oz: float = 0.0) -> str:

@@ -27,43 +27,49 @@ def decode_png(data: bytes) -> np.ndarray:
     """8-bit grey or colour, not interlaced: (h, w) or (h, w, channels)."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG file")
-    at, body, head = 8, b"", None
+    at, body, head = 8, [], None
     while at < len(data):
         n, name = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + n]
         head = part if name == b"IHDR" else head
-        body += part if name == b"IDAT" else b""
+        if name == b"IDAT":
+            body.append(part)
         at += 12 + n
     w, h, bits, kind, _, _, laced = struct.unpack(">IIBBBBB", head)
     channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(kind)
     if bits != 8 or laced or channels is None:
         raise ValueError("only plain 8-bit grey and colour PNG files are read")
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * channels)
+    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * channels)
     out = np.zeros((h, w * channels), np.uint8)
     for y in range(h):
-        line, above = raw[y, 1:].astype(np.int32), out[y - 1].astype(np.int32) if y else np.zeros(w * channels, np.int32)
+        line, above = raw[y, 1:], out[y - 1] if y else np.zeros(w * channels, np.uint8)
         f = raw[y, 0]
         if f == 0:
             out[y] = line
+        elif f == 1:
+            out[y] = np.cumsum(line.reshape(w, channels), axis=0, dtype=np.uint8).ravel()
         elif f == 2:
-            out[y] = (line + above) & 255
+            out[y] = line + above
         else:
-            row = np.zeros(w * channels, np.int32)
-            for i in range(w * channels):
-                a = row[i - channels] if i >= channels else 0
-                b, c = above[i], above[i - channels] if i >= channels else 0
-                if f == 1:
-                    guess = a
-                elif f == 3:
-                    guess = (a + b) // 2
-                else:
-                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                row[i] = (line[i] + guess) & 255
-            out[y] = row
+            out[y] = np.frombuffer(_unfilter(f, line.tolist(), above.tolist(), channels), np.uint8)
     return out if channels == 1 else out.reshape(h, w, channels)
 
 
+def _unfilter(kind: int, line: list[int], above: list[int], step: int) -> bytes:
+    """A row of a PNG that goes by the mean (3) or Paeth's choice (4) of its neighbours, each byte from the one a pixel before."""
+    row = [0] * step + line
+    if kind == 3:
+        for i, b in enumerate(above, step):
+            row[i] = (row[i] + (row[i - step] + b) // 2) & 255
+    else:
+        before = [0] * step + above
+        for i, b in enumerate(above, step):
+            a, c = row[i - step], before[i - step]
+            pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            row[i] = (row[i] + (a if pa <= pb and pa <= pc else b if pb <= pc else c)) & 255
+    return bytes(row[step:])
+
+
 def encode_tiff(pixels: np.ndarray) -> bytes:
     """8-bit grey, uncompressed, one strip."""
     h, w = pixels.shape

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import nearest_label, parse_color
-from ..operators.stack import mask_keys, natural_key, slice_key
+from ..operators.stack import mask_keys, natural_key, slice_key, slice_position, z_spacing
 from ..schema import IMAGE_SUFFIXES
 from . import codecs
 
@@ -49,7 +49,8 @@ def _decode(name: str, content: bytes) -> list[tuple[np.ndarray, dict]]:
 
 
 def slices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(slices, rejects) of PNG, NRRD and DICOM files in natural order: (z, key, path, part, height, width, data, tags), pixels row by row."""
+    """(slices, rejects) of PNG, NRRD, DICOM, JPG, TIFF and BMP files in natural order: (z, key, path, part, height, width, data, tags), pixels row by
+    row.  Places come from names and part numbers alone, so no task sees the pixels of other files than its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -63,22 +64,51 @@ def slices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                     out.append((p, 0, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _DECODED.split(", ")])
 
-    read = files(spark, path).select("path", "name", "content").mapInPandas(run, _DECODED)
+    def gray(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for p, h, w, n, d in zip(pdf["path"], pdf["height"], pdf["width"], pdf["channels"], pdf["data"], strict=True):
+                pixels = np.frombuffer(d, np.uint8).reshape(h, w, n)
+                out.append((p, 0, h, w, (pixels[..., 0] if n == 1 else to_gray(pixels[..., 2::-1])).tobytes(), "{}", None))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _DECODED.split(", ")])
+
+    found = files(spark, path)
+    pictured = F.lower("name").rlike(r"\.(jpe?g|tiff?|bmp)$")
+    read = found.where(~pictured).select("path", "name", "content").mapInPandas(run, _DECODED)
+    if not (pictures := found.where(pictured).select("path")).isEmpty():
+        images = image_slices(spark, path, "*.{" + ",".join(f"{x},{x.upper()}" for x in ("jpg", "jpeg", "tif", "tiff", "bmp")) + "}").mapInPandas(gray, _DECODED)
+        alike = F.regexp_replace("path", "^([a-z]+):/+", "$1:/").alias("_path")  # the two sources write local paths differently
+        lost = pictures.select("path", alike).join(images.select(alike), "_path", "left_anti")
+        read = read.unionByName(images).unionByName(lost.selectExpr("path", "0 as part", "cast(null as int) as height", "cast(null as int) as width", "cast(null as binary) as data", "cast(null as string) as tags", "'not a picture that can be read' as error"))
     name = F.element_at(F.split("path", "/"), -1)
     z = F.row_number().over(Window.orderBy(natural_key(name), name, "part")) - 1
-    good = read.where("error is null").withColumn("z", z.cast("int")).withColumn("key", slice_key(F.col("z") + 1))
+    places = read.where("error is null").select("path", "part").withColumn("z", z.cast("int")).withColumn("key", slice_key(F.col("z") + 1))
+    good = read.where("error is null").drop("error").join(places, ["path", "part"])
     return good.select("z", "key", "path", "part", "height", "width", "data", "tags"), read.where("error is not null").select("path", "error")
 
 
+def series(slice_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(slices, spacing) of one DICOM series: renumbered by their place along the slice normal where all have one (ties and others as they
+    were), and one row with the distance of slices from the tags or those places."""
+    t = F.from_json("tags", "position array<double>, orientation array<double>, spacing_between double, thickness double")
+    axes = F.coalesce(t["orientation"], F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0))))
+    index = slice_rows.select(F.col("z").alias("idx"), t["spacing_between"].alias("spacing_between"), t["thickness"].alias("thickness"), slice_position(t["position"], axes).alias("position"))
+    at = F.when(F.min(F.col("position").isNotNull()).over(Window.partitionBy()), F.col("position"))  # a row for each slice
+    order = index.select(F.col("idx").alias("z"), at.alias("_p")).select("z", (F.row_number().over(Window.orderBy("_p", "z")) - 1).cast("int").alias("_z"))
+    sorted_rows = slice_rows.join(order, "z").withColumn("z", F.col("_z")).withColumn("key", slice_key(F.col("z") + 1)).drop("_z")
+    return sorted_rows, z_spacing(index)
+
+
 def to_gray(pixels: np.ndarray) -> np.ndarray:
     """Luma of red, green and blue in fixed point, rounded: 0.299, 0.587, 0.114."""
     r, g, b = (pixels[..., i].astype(np.int64) for i in range(3))
     return ((r * 19595 + g * 38470 + b * 7471 + 0x8000) >> 16).astype(np.uint8)
 
 
-def image_slices(spark: SparkSession, path: str) -> DataFrame:
+def image_slices(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
     """JPG, BMP, TIFF and others through Spark's image source: (path, height, width, channels, data), colour bytes in blue, green, red order."""
-    i = spark.read.format("image").option("dropInvalid", True).load(path)
+    reader = spark.read.format("image").option("dropInvalid", True)
+    i = (reader.option("pathGlobFilter", only) if only else reader).load(path)
     return i.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
 
@@ -95,21 +125,26 @@ def voxels(slice_rows: DataFrame, value: str = "gray") -> DataFrame:
     return slice_rows.select("z", "width", "data").mapInPandas(run, f"z int, y int, x int, {value} int")
 
 
-def label_masks(spark: SparkSession, path: str) -> DataFrame:
-    """(key, height, width, data) of single-channel PNG masks, keyed by the last number in their name; others are refused."""
+def label_masks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(masks, rejects): (key, height, width, data) of single-channel PNG masks, keyed by the last number in their name, and (path, error) of the others."""
+    schema = "key string, path string, height int, width int, data binary, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for k, c in zip(pdf["key"], pdf["content"], strict=True):
-                m = codecs.decode_png(c)
-                if m.ndim != 2:
-                    raise ValueError("a label mask must have one channel")
-                out.append((k, *m.shape, m.tobytes()))
-            yield pd.DataFrame(out, columns=["key", "height", "width", "data"])
+            for k, p, c in zip(pdf["key"], pdf["path"], pdf["content"], strict=True):
+                try:
+                    m = codecs.decode_png(c)
+                    if m.ndim != 2:
+                        raise ValueError("a label mask must have one channel")
+                    out.append((k, p, *m.shape, m.tobytes(), None))
+                except Exception as e:  # reported as a row
+                    out.append((k, p, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path).withColumn("name", F.element_at(F.split("path", "/"), -1))
-    return mask_keys(found).select("key", "content").mapInPandas(run, "key string, height int, width int, data binary")
+    read = mask_keys(found).select("key", "path", "content").mapInPandas(run, schema)
+    return read.where("error is null").select("key", "height", "width", "data"), read.where("error is not null").select("path", "error")
 
 
 def svg_paths(spark: SparkSession, path: str) -> DataFrame:
