@@ -34,8 +34,8 @@ from .common import add_to, fresh_path, settle, shuffle_parts, small_batches
 
 QUERY_BYTES = 32 << 20  # of vectors that a round broadcasts
 SLICE = 256  # queries at a time, so that a task's score matrices stay small
-_ENTRY = "node int, qi int, block int, ci int, vec_id long, partial long"
-_KINDS = {"node": pa.int32(), "qi": pa.int32(), "block": pa.int32(), "ci": pa.int32(), "vec_id": pa.int64(), "partial": pa.int64()}
+_ENTRIES = "node int, block int, q int, n int, qi binary, ci binary, partial binary"  # of one node, block and slice of queries, packed
+_TOTALS = "qi int, block int, ci int, total long"
 
 
 def scaled(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", factor: int = 64) -> DataFrame:
@@ -66,36 +66,54 @@ def _slices(dim: int, parts: int) -> list[slice]:
 
 
 def cells(rows: DataFrame, n: int, dim: int, parts: int, kind: str) -> DataFrame:
-    """(node, block, ids binary, data binary): every node's slice of every block; rows are dealt by a hash of id and place."""
+    """(node, block, ids, data): every node's slice of every block, in order of ids; rows are dealt by a hash of id and place."""
     cuts = _slices(dim, parts)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        data, ids = _matrix(pdf["v"], dim, kind), pdf["vec_id"].to_numpy(np.int64).tobytes()
+        pdf = pdf.sort_values("vec_id", kind="stable")
+        data, ids = _matrix(pdf["v"], dim, kind), pdf["vec_id"].to_numpy(np.int64)
         return pd.DataFrame([(i, pdf["block"].iloc[0], ids, np.ascontiguousarray(data[:, c]).tobytes()) for i, c in enumerate(cuts)], columns=["node", "block", "ids", "data"])
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
     spread = dealt.repartition(min(n, shuffle_parts(rows.sparkSession)), "block")
-    return settle(spread.groupBy("block").applyInPandas(pack, "node int, block int, ids binary, data binary"))
+    return settle(spread.groupBy("block").applyInPandas(pack, "node int, block int, ids array<long>, data binary"))
 
 
 class Round:
     """The queries of a round, as workers use them: (ids, vectors) and, from the second phase on, the cutoffs."""
 
-    def __init__(self, queries: Broadcast, dim: int, parts: int, kind: str, exact: str) -> None:
-        self.queries, self.cuts, self.kind, self.exact = queries, _slices(dim, parts), kind, exact
+    def __init__(self, queries: Broadcast, dim: int, parts: int, kind: str, exact: str, partial: str) -> None:
+        self.queries, self.cuts, self.kind, self.exact, self.partial = queries, _slices(dim, parts), kind, exact, partial
+
+    def pack(self, node: int, block: int, qi: np.ndarray, ci: np.ndarray, partial: np.ndarray) -> pa.RecordBatch | None:
+        """Entries of one node and block as a row for each slice of queries."""
+        order = np.argsort(qi, kind="stable")
+        qi, ci, partial = qi[order], ci[order].astype(_PLACE), partial[order].astype(self.partial)
+        of = qi // SLICE
+        at = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of)) if len(of) else np.zeros(1, np.int64)
+        rows = [(node, block, int(of[i]), j - i, (qi[i:j] % SLICE).astype(np.uint8).tobytes(), ci[i:j].tobytes(), partial[i:j].tobytes()) for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
+        return _rows(rows, _ENTRIES)
+
+    def unpack(self, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.frombuffer(row["qi"], np.uint8).astype(np.int64), np.frombuffer(row["ci"], _PLACE).astype(np.int64), np.frombuffer(row["partial"], self.partial).astype(np.int64)
 
     def node(self, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(query ids, the queries' slices, ids, the block's slices) for a row of ``cells``."""
         q_ids, q = self.queries.value
         cut = self.cuts[row["node"]]
-        ids = np.frombuffer(row["ids"], np.int64)
-        data = np.frombuffer(row["data"], self.kind).reshape(len(ids), cut.stop - cut.start)
+        ids = np.array(row["ids"], np.int64)
+        data = np.frombuffer(row["data"], self.kind).reshape(-1, cut.stop - cut.start) if cut.stop > cut.start else np.zeros((len(ids), 0), self.kind)
         return q_ids, q[:, cut].astype(self.exact), ids, data.astype(self.exact)
 
 
-def _entries(**columns: np.ndarray) -> pa.RecordBatch:
-    n = len(columns["qi"])
-    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(columns[c], n).astype(t.to_pandas_dtype())) for c, t in _KINDS.items()], names=list(_KINDS))
+_PLACE = "<u2"  # in a block
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _local_lists(at: Round, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,23 +122,27 @@ def _local_lists(at: Round, k: int, batches: Iterator[pa.RecordBatch]) -> Iterat
     for batch in batches:
         for row in batch.to_pylist():
             q_ids, q, ids, c = at.node(row)
+            none = -np.inf if c.dtype.kind == "f" else -(2**62)
             if row["node"] not in lists:
-                lists[row["node"]] = [np.full((len(q), k), -np.inf if c.dtype.kind == "f" else -(2**62), c.dtype), *(np.full((len(q), k), -1, t) for t in (np.int32, np.int32, np.int64))]
+                lists[row["node"]] = [np.full((len(q), k), none, c.dtype), np.full((len(q), k), -1, np.int32), np.full((len(q), k), -1, np.int32)]
             best = lists[row["node"]]
             for lo in range(0, len(q), SLICE):
                 part = slice(lo, lo + SLICE)
                 score = q[part] @ c.T
-                score[q_ids[part, None] == ids[None, :]] = best[0].dtype.type(-np.inf if c.dtype.kind == "f" else -(2**62))
+                score[q_ids[part, None] == ids[None, :]] = none
                 m = min(k, len(ids))
                 near = np.argpartition(score, len(ids) - m, axis=1)[:, len(ids) - m :]
-                found = [np.take_along_axis(score, near, axis=1), np.full(near.shape, row["block"], np.int32), near.astype(np.int32), ids[near]]
+                found = [np.take_along_axis(score, near, axis=1), np.full(near.shape, row["block"], np.int32), near.astype(np.int32)]
                 both = [np.concatenate([b[part], f], axis=1) for b, f in zip(best, found, strict=True)]
                 keep = np.argpartition(both[0], m, axis=1)[:, m:]
                 for b, x in zip(best, both, strict=True):
                     b[part] = np.take_along_axis(x, keep, axis=1)
-    for node, (score, block, ci, ids) in lists.items():
-        qi, place = np.nonzero((block >= 0) & (score > (-np.inf if score.dtype.kind == "f" else -(2**62))))
-        yield _entries(node=np.int32(node), qi=qi, block=block[qi, place], ci=ci[qi, place], vec_id=ids[qi, place], partial=score[qi, place])
+    for node, (score, block, ci) in lists.items():
+        qi, place = np.nonzero(score > (-np.inf if score.dtype.kind == "f" else -(2**62)))
+        score, block, ci = score[qi, place], block[qi, place], ci[qi, place]
+        for b in np.unique(block).tolist():
+            here = block == b
+            yield at.pack(node, b, qi[here], ci[here], score[here])
 
 
 def _sufficient(at: Round, cutoffs: Broadcast, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,27 +155,50 @@ def _sufficient(at: Round, cutoffs: Broadcast, parts: int, batches: Iterator[pa.
                 score = q[part] @ c.T
                 qi, ci = np.nonzero((score * parts >= cutoffs.value[part, None]) & (q_ids[part, None] != ids[None, :]))
                 if len(qi):
-                    yield _entries(node=np.int32(row["node"]), qi=lo + qi, block=np.int32(row["block"]), ci=ci, vec_id=ids[ci], partial=score[qi, ci])
+                    yield at.pack(row["node"], row["block"], lo + qi, ci, score[qi, ci])
 
 
 def _fetched(at: Round, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries that are asked for, as lists of (query, place in the block)."""
+    """The entries that are asked for."""
     for batch in batches:
         for row in batch.to_pylist():
-            _, q, ids, c = at.node(row)
-            qi, ci = np.array(row["qi"], np.int64), np.array(row["ci"], np.int64)
+            _, q, _, c = at.node(row)
+            qi, ci = np.frombuffer(row["qi"], np.uint8).astype(np.int64) + SLICE * row["q"], np.frombuffer(row["ci"], _PLACE).astype(np.int64)
             partial = np.concatenate([np.einsum("ij,ij->i", q[qi[i : i + 65536]], c[ci[i : i + 65536]]) for i in range(0, len(qi), 65536)])
-            yield _entries(node=np.int32(row["node"]), qi=qi, block=np.int32(row["block"]), ci=ci, vec_id=ids[ci], partial=partial)
-
-
-def _totals(known: DataFrame, held: DataFrame, at: Round, parts: int) -> DataFrame:
-    """(qi, block, ci, vec_id, total) of every vector with a known entry; the entries that are not known are fetched from their nodes."""
-    nodes = F.sequence(F.lit(0), F.lit(parts - 1))
-    asked = known.groupBy("qi", "block", "ci").agg(F.collect_set("node").alias("_have")).select("qi", "block", "ci", F.explode(F.array_except(nodes, "_have")).alias("node"))
-    # A list holds at most SLICE queries times a block's vectors.
-    lists = asked.groupBy("node", "block", F.floor(F.col("qi") / SLICE).alias("_q")).agg(F.collect_list(F.struct("qi", "ci")).alias("l")).select("node", "block", F.col("l.qi").alias("qi"), F.col("l.ci").alias("ci"))
-    fetched = held.join(lists, ["node", "block"]).select("node", "block", "ids", "data", "qi", "ci").mapInArrow(lambda b: _fetched(at, b), _ENTRY)
-    return known.unionByName(fetched).groupBy("qi", "block", "ci").agg(F.first("vec_id").alias("vec_id"), F.sum("partial").alias("total"))
+            yield at.pack(row["node"], row["block"], qi, ci, partial)
+
+
+def _totals(known: DataFrame, held: DataFrame, at: Round, parts: int, k: int) -> DataFrame:
+    """(qi, block, ci, total): of the vectors with a known entry, each query's k best of a block, ties to the smaller id; the entries that are
+    not known are fetched from their nodes.  A group is one slice of queries and one block."""
+
+    def missing(table: pa.Table) -> pa.Table:
+        have = {r["node"]: np.unique(at.unpack(r)[0] << 32 | at.unpack(r)[1]) for r in table.select(["node", "qi", "ci", "partial"]).to_pylist()}
+        everything = np.unique(np.concatenate(list(have.values())))
+        block, q, out = table.column("block")[0].as_py(), table.column("q")[0].as_py(), []
+        for node in range(parts):
+            lost = np.setdiff1d(everything, have.get(node, np.zeros(0, np.int64)), assume_unique=True)
+            if len(lost):
+                out.append((node, block, q, len(lost), (lost >> 32).astype(np.uint8).tobytes(), (lost & 0xFFFFFFFF).astype(_PLACE).tobytes(), None))
+        return pa.Table.from_batches([_rows(out, _ENTRIES)])
+
+    def combine(table: pa.Table) -> pa.Table:
+        qi, ci, partial = (np.concatenate(x) for x in zip(*(at.unpack(r) for r in table.to_pylist()), strict=True))
+        keys, slot = np.unique(qi << 32 | ci, return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, slot, partial)
+        qi, ci = keys >> 32, keys & 0xFFFFFFFF
+        order = np.lexsort((ci, -total, qi))
+        first = np.flatnonzero(np.append(True, np.diff(qi[order]) != 0))
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        best = order[rank < k]
+        block, q = table.column("block")[0].as_py(), table.column("q")[0].as_py()
+        columns = [qi[best] + SLICE * q, np.full(len(best), block), ci[best], total[best]]
+        return pa.table([pa.array(c.astype(t)) for c, t in zip(columns, (np.int32, np.int32, np.int32, np.int64), strict=True)], names=["qi", "block", "ci", "total"])
+
+    asked = known.groupBy("block", "q").applyInArrow(missing, _ENTRIES)
+    fetched = held.drop("ids").join(asked.select("node", "block", "q", "qi", "ci"), ["node", "block"]).withColumn("ids", F.array().cast("array<long>")).mapInArrow(lambda b: _fetched(at, b), _ENTRIES)
+    return known.unionByName(fetched).groupBy("block", "q").applyInArrow(combine, _TOTALS)
 
 
 def search(
@@ -165,10 +210,11 @@ def search(
     rows = settle(scaled(vectors, id_col, vec_col))
     largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))
     size = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dim"), F.count(F.when(is_query, 1)).alias("q"), F.coalesce(largest, F.lit(0)).alias("most")).first()
-    dim = max(1, size["dim"])
+    dim, block = max(parts, size["dim"]), min(block, 65536)
     kind = "<i2" if size["most"] < 2**15 else "<i4" if size["most"] < 2**31 else "<i8"
     # Sums of products that are exact in the floating type are computed in it.
     exact = next((t for t, bits in (("f4", 23), ("f8", 51)) if size["most"] ** 2 * dim * parts < 2**bits), "i8")
+    partial = "<i4" if size["most"] ** 2 * dim < 2**31 else "<i8"
     few = settle(candidates(rows, k))
     held = cells(few, max(1, -(-few.count() // block)), dim, parts, kind)
     query_block = max(1, min(query_block, QUERY_BYTES // (dim * np.dtype(kind).itemsize)))
@@ -176,20 +222,20 @@ def search(
     asking = rows.where(is_query).withColumn("_r", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(rounds)).cast("int"))
     asking = settle(asking) if rounds > 1 else asking
     small_batches(vectors)
+    places = held.where("node = 0").select("block", F.posexplode("ids").alias("ci", "vec_id"))
     path = fresh_path(spark)
     for r in range(rounds):
         own = asking.where(F.col("_r") == r).select("vec_id", "v").toPandas()  # about query_block rows at most
         queries = spark.sparkContext.broadcast((own["vec_id"].to_numpy(np.int64), _matrix(own["v"], dim, kind)))
-        at = Round(queries, dim, parts, kind, exact)
+        at = Round(queries, dim, parts, kind, exact, partial)
 
         def lists(batches: Iterator[pa.RecordBatch], at: Round = at) -> Iterator[pa.RecordBatch]:
             return _local_lists(at, k, batches)
 
         # Phase 1.
-        nth = F.row_number().over(Window.partitionBy("node", "qi").orderBy(F.desc("partial"), "vec_id"))
-        gathered = settle(held.mapInArrow(lists, _ENTRY).withColumn("_n", nth).where(F.col("_n") <= k).drop("_n"))
+        gathered = settle(held.mapInArrow(lists, _ENTRIES))
         nth = F.row_number().over(Window.partitionBy("qi").orderBy(F.desc("total")))
-        kth = _totals(gathered, held, at, parts).withColumn("_n", nth).where(F.col("_n") == k).select("qi", "total").toPandas()  # a row for each query of the round
+        kth = _totals(gathered, held, at, parts, k).withColumn("_n", nth).where(F.col("_n") == k).select("qi", "total").toPandas()  # a row for each query of the round
         cut = np.full(len(own), -(2**60), np.int64)
         cut[kth["qi"].to_numpy(np.int64)] = kth["total"].to_numpy(np.int64)
         cutoffs = spark.sparkContext.broadcast(cut)
@@ -198,14 +244,15 @@ def search(
             return _sufficient(at, cutoffs, parts, batches)
 
         # Phases 2 and 3.
-        collected = settle(held.mapInArrow(sufficient, _ENTRY))
-        reached = _totals(collected, held, at, parts)
+        collected = settle(held.mapInArrow(sufficient, _ENTRIES))
+        reached = _totals(collected, held, at, parts, k).join(places, ["block", "ci"])
         best = reached.withColumn("rank", F.row_number().over(Window.partitionBy("qi").orderBy(F.desc("total"), "vec_id"))).where(F.col("rank") <= k)
         names = np.asarray(queries.value[0])
         ids = spark.createDataFrame(pd.DataFrame({"qi": np.arange(len(names), dtype=np.int32), "query_id": names}), "qi int, query_id long")  # the round's queries
         add_to(best.join(F.broadcast(ids), "qi").select("query_id", "rank", "vec_id", F.col("total").alias("score")), path)
         if counts is not None:
-            for name, n in (("gathered", gathered.count()), ("collected", collected.count()), ("resolved", reached.count()), ("queries", len(own)), ("candidates", few.count() * (r == 0))):
+            moved = {name: df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for name, df in (("gathered", gathered), ("collected", collected))}
+            for name, n in (*moved.items(), ("queries", len(own)), ("candidates", few.count() * (r == 0))):
                 counts[name] = counts.get(name, 0) + n
         queries.unpersist()
         cutoffs.unpersist()
