@@ -59,10 +59,14 @@ def test_trigram_scores_against_sql(spark):
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want.fetchall())
 
 
-def test_counts_do_not_move_twice(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    plan = lm.scores(docs)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(key") == 0 and plan.count("Window") >= 1 and plan.count("Exchange hashpartitioning(bucket") == 1
+def test_rows_never_outnumber_ngrams():
+    import numpy as np
+
+    keys = np.unique(np.random.default_rng(0).integers(0, 2**64, 1000, np.uint64))
+    for buckets in (1, 7, 2**31):
+        of, first = lm._runs(keys, buckets)
+        assert of.tolist() == sorted({(int(k) >> 32) * buckets >> 32 for k in keys.tolist()}) and len(of) == len(first) <= 1000
+        assert first[0] == 0 and (np.diff(first) > 0).all()
 
 
 # Components and near duplicates.

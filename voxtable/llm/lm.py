@@ -1,10 +1,10 @@
 """Stupid-backoff language-model scores of documents, by joining n-grams with their counts.
 
-Documents fall into blocks by a hash.  A block's exploded n-grams are rows (bucket, block, n, place, key, count): each distinct
-n-gram once, by a 64-bit hash, with its number in the block.  They travel in lists, one for a bucket of the hashes' range, which are rows again
-where they arrive.  A bucket's part of the count tables is the sum over its rows of each key; joined to the same rows it answers
-the blocks that hold the key, by place.  Each block sums its documents' scores.  So an n-gram, however common, costs its bucket one row a
-block, and all work is in proportion to the distinct n-grams of the blocks.
+Documents fall into blocks by a hash.  A block's exploded n-grams are its distinct 64-bit hashes with their numbers, cut by hash range
+into buckets that only the block's own n-grams fill; they travel as one packed row for each bucket.  A bucket's rows from all blocks make its part of the
+count tables (one part holds every occurrence of its n-grams), and joining them to those sums answers each block by place.  Each block sums its
+documents' scores.  An n-gram, however common, costs its bucket one entry a block, and all work is in proportion to the distinct
+n-grams of the blocks: a row is never empty, so that there are never more rows than n-grams.
 
     S(w | v...) = count(v... w) / count(v...)     if count(v... w) >= min_count
                 = alpha * S(w | shorter context)  else;   S(w) = count(w) / N
@@ -21,14 +21,25 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, small_batches
 from .words import mix
 
-BLOCK_BYTES = 12 << 20  # of text in a block
-BUCKET_GRAMS = 1_000_000  # n-grams, counted once a block, in a bucket
+BLOCK_BYTES = 8 << 20  # of text in a block
+BUCKET_GRAMS = 2_000_000  # n-grams, counted once a block, in a bucket
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, so that their leading zeros vanish."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+
+
+def unsqueeze(data: bytes, kind: type = np.uint64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def grams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -58,7 +69,12 @@ def _runs(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return of[first].astype(np.int64), first
 
 
-_LISTS = "bucket long, block int, n int, keys array<long>, counts array<int>"
+_LISTS = pa.schema([("bucket", pa.int64()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_REPLIES = pa.schema([("block", pa.int32()), ("bucket", pa.int64()), ("n", pa.int32()), ("totals", pa.binary())])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema.types, strict=True)], schema=schema)
 
 
 def scores(docs: DataFrame, order: int = 2, min_count: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
@@ -75,29 +91,39 @@ def scores(docs: DataFrame, order: int = 2, min_count: int = 2, alpha: float = 0
 
     def explode(table: pa.Table) -> pa.Table:
         _, hashes, real = grams(table.column("text").to_pylist(), order)
-        out = []
+        block, out = table.column("block")[0].as_py(), []
         for n, (h, ok) in enumerate(zip(hashes, real, strict=True)):
             keys, counts = np.unique(h[ok], return_counts=True)
             of, first = _runs(keys, buckets)
-            ends = pa.array(np.append(first, len(keys)).astype(np.int32))
-            same = lambda x, t: pa.array(np.full(len(of), x), t)  # noqa: B023, E731
-            columns = [pa.array(of), same(table.column("block")[0].as_py(), pa.int32()), same(n, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))]
-            out.append(pa.table(columns, names=["bucket", "block", "n", "keys", "counts"]))
-        return pa.concat_tables(out)
+            for bucket, lo, hi in zip(of.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=False):  # no keys, no runs
+                out.append((bucket, block, n, squeeze(np.diff(keys[lo:hi], prepend=np.uint64(0))), squeeze(counts[lo:hi].astype(np.uint32))))
+        return _table(out, _LISTS)
+
+    def total(table: pa.Table) -> pa.Table:
+        out = []
+        bucket, all_n = table.column("bucket")[0].as_py(), np.array(table.column("n").to_pylist())
+        for n in np.unique(all_n).tolist():
+            part = table.filter(pa.array(all_n == n))
+            keys = [np.cumsum(unsqueeze(x), dtype=np.uint64) for x in part.column("keys").to_pylist()]
+            counts = np.concatenate([unsqueeze(x, np.uint32) for x in part.column("counts").to_pylist()])
+            _, slot = np.unique(np.concatenate(keys), return_inverse=True)
+            summed = np.bincount(slot, weights=counts).astype(np.uint64)
+            if n:
+                summed[summed < min_count] = 0
+            answers = np.split(summed[slot], np.cumsum([len(k) for k in keys])[:-1])
+            out += [(b, bucket, n, squeeze(a)) for b, a in zip(part.column("block").to_pylist(), answers, strict=True)]
+        return _table(out, _REPLIES)
 
     def score(table: pa.Table, replies: pa.Table) -> pa.Table:
         sizes, hashes, real = grams(table.column("text").to_pylist(), order)
-        answers = {(a, b): (p, t) for a, b, p, t in zip(*(replies.column(c).to_pylist() for c in ("n", "bucket")), replies.column("place"), replies.column("total"), strict=True)}
+        answers = {(n, b): t for n, b, t in zip(*(replies.column(c).to_pylist() for c in ("n", "bucket", "totals")), strict=True)}
         count = []
         for n, (h, ok) in enumerate(zip(hashes, real, strict=True)):
-            keys, slot = np.unique(h[ok], return_inverse=True)
-            total = np.zeros(len(keys), np.int64)
-            for bucket, first in zip(*map(np.ndarray.tolist, _runs(keys, buckets)), strict=True):
-                if (n, bucket) in answers:
-                    place, found = answers[n, bucket]
-                    total[first + place.values.to_numpy()] = found.values.to_numpy()
             c = np.zeros(len(h), np.int64)
-            c[ok] = total[slot]
+            if ok.any():
+                keys, slot = np.unique(h[ok], return_inverse=True)
+                found = np.concatenate([unsqueeze(answers.pop((n, b))) for b in _runs(keys, buckets)[0].tolist()])
+                c[ok] = found.astype(np.int64)[slot]
             count.append(c)
         if (count[0] == 0).any():
             raise ValueError("a word without a count")
@@ -112,12 +138,8 @@ def scores(docs: DataFrame, order: int = 2, min_count: int = 2, alpha: float = 0
         ends = np.cumsum(sizes)
         return pa.table([table.column("doc_id"), pa.array(sizes), pa.array(before[ends] - before[ends - sizes])], names=["doc_id", "n_words", "log_score"])
 
-    lists = dealt.groupBy("block").applyInArrow(explode, _LISTS).repartition("bucket")
-    found = lists.select("bucket", "block", "n", F.posexplode(F.arrays_zip("keys", "counts")).alias("place", "gram")).select("bucket", "block", "n", "place", F.col("gram.keys").alias("key"), F.col("gram.counts").alias("count"))
-    # Rows of a bucket are together already: neither the sums nor the answers' lists move anything.
-    counted = found.withColumn("total", F.sum("count").over(Window.partitionBy("bucket", "key")))
-    answers = counted.where((F.col("n") == 0) | (F.col("total") >= min_count)).groupBy("bucket", "block", "n").agg(F.collect_list(F.struct("place", "total")).alias("l"))
-    replies = answers.select("bucket", "block", "n", F.col("l.place").alias("place"), F.col("l.total").alias("total"))
+    lists = dealt.groupBy("block").applyInArrow(explode, "bucket long, block int, n int, keys binary, counts binary")
+    replies = lists.groupBy("bucket").applyInArrow(total, "block int, bucket long, n int, totals binary")
     done = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, log_score long")
     return done.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("log_score").cast("double") / F.col("n_words")))
 
