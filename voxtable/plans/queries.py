@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import edits, geometry, history, mesh, raster, report, roi, stack, tracking
 from ..schema import COLORS, GRAYS, OVERLAY_ALPHA, PRESETS, palette
+from ..sources import readers
 from ..streaming import editlog
 
 AREA, SZ = 0.25, 2.0  # half-millimetre pixels, slices two apart: exact in binary
@@ -256,6 +257,44 @@ def recolor_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.recolored(paths.where("label <= 9"), paths.where("label between 6 and 14"))
 
 
+_LATEST = C.replace("cover as", "cover_all as") + ", cover as (select * from cover_all where z = 7 and path_id = (select max(path_id) from cover_all where z = 7))"
+
+
+@query(_LATEST + _PATHS.format("case when n % 2 = 1 and label = 10 then 0 else label end"))
+def auto_erase_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cover = geometry.rasterise(edits.latest(fx.polygons(spark, sf_dir), 7), H, W)
+    return _counted(edits.erase_paths(fx.phantom(spark, sf_dir), cover, 10))
+
+
+@query(_LATEST + _PATHS.format("case when n % 2 = 1 and label = 15 then 16 else label end"))
+def auto_transfer_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cover = geometry.rasterise(edits.latest(fx.polygons(spark, sf_dir), 7), H, W)
+    return _counted(edits.transfer_paths(fx.phantom(spark, sf_dir), cover, 15, 16))
+
+
+@query("select p_partkey path_id, cast(p_partkey % 12 as int) z, cast(row_number() over (partition by p_partkey % 12 order by case when p_partkey % 20 + 1 = 5 then 1 else 0 end, p_partkey) as int) seq from part")
+def bring_to_front(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.bring(fx.polygons(spark, sf_dir), 5).select("path_id", "z", "seq")
+
+
+@query("select p_partkey path_id, cast(p_partkey % 12 as int) z from part qualify p_partkey < max(p_partkey) over (partition by p_partkey % 12)")
+def paths_without_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.without_latest(fx.polygons(spark, sf_dir)).select("path_id", "z")
+
+
+@query("select p_partkey id, cast((p_partkey % 17) * 2.0 * ((p_partkey % 11) * 0.5) as double) area from part")
+def rect_areas_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    pts = geometry.scale_points(geometry.rect_points(k % 7, k % 5, k % 17, k % 11), F.lit(2.0), F.lit(0.5))
+    return fx.table(spark, sf_dir, "part").select(k.alias("id"), geometry.shoelace(pts).alias("area"))
+
+
+@query("select c_custkey id, cast(c_custkey % 64 as double) / 64 * 100 percent, cast(trunc(cast(c_custkey % 64 as double) / 64 * 100 / 100 * 48) as int) px from customer")
+def box_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    percent = geometry.to_percent(F.col("c_custkey") % 64, F.lit(64))
+    return fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), percent.alias("percent"), geometry.from_percent(percent, F.lit(48)).alias("px"))
+
+
 @query("""with l as (select c_custkey id, cast(c_custkey % 48 as int) x1, cast(c_custkey * 7 % 48 as int) y1, cast(c_custkey * 3 % 48 as int) x2, cast(c_custkey * 5 % 48 as int) y2 from customer)
 select id, x1, y1, x2, y2, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) px, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) * cast(0.5 as double) mm from l""")
 def line_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,6 +332,30 @@ def stem_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("id", stack.stem_key(F.col("name")).alias("key"))
 
 
+@query("select n_nationkey id, concat_ws('-', cast(n_nationkey * 37 as varchar), cast(n_nationkey as varchar)) numbers from nation")
+def number_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    name = F.concat(F.lit("scan"), F.lpad((k * 37).cast("string"), 6, "0"), F.lit("_slice"), k.cast("string"), F.lit(".png"))
+    return fx.table(spark, sf_dir, "nation").select(k.alias("id"), F.array_join(F.transform(stack.number_tuple(name), lambda n: n.cast("string")), "-").alias("numbers"))
+
+
+@query("select min(n_nationkey * 37 + 12) starting_index from nation where n_nationkey % 2 = 0".replace("min(n_nationkey * 37 + 12)", "cast(min(n_nationkey * 37 + 12) as int)"))
+def web_starting_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    number = F.when(k % 2 == 0, F.lpad((k * 37 + 12).cast("string"), 4, "0")).otherwise("none")
+    return readers.web_index(fx.table(spark, sf_dir, "nation").select(F.concat(F.lit("img"), number, F.lit(".jpg")).alias("name")))
+
+
+@query(f"{P} select z, cast(row_number() over (order by z desc) as int) export_index from (select distinct z from v)")
+def export_index_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stack.renumbered(report.slice_table(fx.phantom(spark, sf_dir)), descending=True).select("z", "export_index")
+
+
+@query(f"{P}, w as (select z, case when x >= 8 and x < 30 and y >= 6 and y < 20 then 7 else label end label from v) select z, label, count(*) n from w group by z, label")
+def set_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(edits.set_where(fx.phantom(spark, sf_dir), edits.in_box(8, 6, 30, 20), 7))
+
+
 @query(f"{P}, t as (select distinct z from v), k as (select z, row_number() over (order by z) - 1 i from t) select k.i // 3 new_z, label, count(*) n from v join k using (z) where k.i % 3 = 0 group by 1, 2".replace("k.i // 3 new_z", "cast(k.i // 3 as int) new_z"))
 def thin_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = fx.phantom(spark, sf_dir)

@@ -116,7 +116,7 @@ def volinfo_csv(width: int, height: int, depth: int, sx: float, sy: float, sz: f
 
 
 def measurement_csv(volumes: DataFrame, areas: DataFrame, fraction: DataFrame, fraction_slices: DataFrame, lines: DataFrame | None, target: int, extracted: int, lo: int, hi: int) -> str:
-    """The report of all sections.  Rounding is done here, in Python; the tables have a row for each label or slice."""
+    """The report of all sections; their titles and columns are fixed values of the format.  Rounding is done here, in Python; the tables have a row for each label or slice."""
     out = io.StringIO()
     w = csv.writer(out)
     two, four = (lambda v: f"{v:.2f}"), (lambda v: f"{v:.4f}")
