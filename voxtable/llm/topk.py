@@ -168,9 +168,9 @@ def _fetched(at: Round, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             yield at.pack(row["node"], row["block"], qi, ci, partial)
 
 
-def _totals(known: DataFrame, held: DataFrame, at: Round, parts: int, k: int) -> DataFrame:
-    """(qi, block, ci, total): of the vectors with a known entry, each query's k best of a block, ties to the smaller id; the entries that are
-    not known are fetched from their nodes.  A group is one slice of queries and one block."""
+def _totals(known: DataFrame, held: DataFrame, at: Round, parts: int, k: int, cutoffs: Broadcast | None = None) -> DataFrame:
+    """(qi, block, ci, total): of the vectors with a known entry, each query's k best of a block (with cutoffs, only those that reach the query's),
+    ties to the smaller id; the entries that are not known are fetched from their nodes.  A group is one slice of queries and one block."""
 
     def missing(table: pa.Table) -> pa.Table:
         have = {r["node"]: np.unique(at.unpack(r)[0] << 32 | at.unpack(r)[1]) for r in table.select(["node", "qi", "ci", "partial"]).to_pylist()}
@@ -187,13 +187,16 @@ def _totals(known: DataFrame, held: DataFrame, at: Round, parts: int, k: int) ->
         keys, slot = np.unique(qi << 32 | ci, return_inverse=True)
         total = np.zeros(len(keys), np.int64)
         np.add.at(total, slot, partial)
-        qi, ci = keys >> 32, keys & 0xFFFFFFFF
+        block, q = table.column("block")[0].as_py(), table.column("q")[0].as_py()
+        qi, ci = (keys >> 32) + SLICE * q, keys & 0xFFFFFFFF
+        if cutoffs is not None:
+            enough = total >= cutoffs.value[qi]
+            qi, ci, total = qi[enough], ci[enough], total[enough]
         order = np.lexsort((ci, -total, qi))
-        first = np.flatnonzero(np.append(True, np.diff(qi[order]) != 0))
+        first = np.flatnonzero(np.append(True, np.diff(qi[order]) != 0)) if len(order) else np.zeros(0, np.int64)
         rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
         best = order[rank < k]
-        block, q = table.column("block")[0].as_py(), table.column("q")[0].as_py()
-        columns = [qi[best] + SLICE * q, np.full(len(best), block), ci[best], total[best]]
+        columns = [qi[best], np.full(len(best), block), ci[best], total[best]]
         return pa.table([pa.array(c.astype(t)) for c, t in zip(columns, (np.int32, np.int32, np.int32, np.int64), strict=True)], names=["qi", "block", "ci", "total"])
 
     asked = known.groupBy("block", "q").applyInArrow(missing, _ENTRIES)
@@ -245,7 +248,7 @@ def search(
 
         # Phases 2 and 3.
         collected = settle(held.mapInArrow(sufficient, _ENTRIES))
-        reached = _totals(collected, held, at, parts, k).join(places, ["block", "ci"])
+        reached = _totals(collected, held, at, parts, k, cutoffs).join(places, ["block", "ci"])
         best = reached.withColumn("rank", F.row_number().over(Window.partitionBy("qi").orderBy(F.desc("total"), "vec_id"))).where(F.col("rank") <= k)
         names = np.asarray(queries.value[0])
         ids = spark.createDataFrame(pd.DataFrame({"qi": np.arange(len(names), dtype=np.int32), "query_id": names}), "qi int, query_id long")  # the round's queries
