@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, lm, media, neardup, packing, pii, topk, toxicity
+from . import bpe, intervals, langid, licenses, lm, media, neardup, packing, pii, topk, toxicity
 from .common import settle, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,6 +66,11 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op13_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return intervals.latest(intervals.document_versions(docs), intervals.label_times(table(spark, sf_dir, "labels"), docs))
+
+
 QUERIES = {
     "op1_lm_backoff": op1_lm_backoff,
     "op2_minmax_neardup": op2_minmax_neardup,
@@ -77,11 +82,13 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_pii_bootstrap": op9_pii_bootstrap,
     "op10_language_crf": op10_language_crf,
+    "op13_point_in_time": op13_point_in_time,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_lm_backoff": lm.oracle_sql(),
     "op6_license_dice": licenses.oracle_sql(),
+    "op13_point_in_time": intervals.oracle_sql(),
     "op4_exact_topk": """
 with v as (
   select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
