@@ -1,11 +1,13 @@
 import collections
 import random
+import re
+import zlib
 
 import duckdb
 import numpy as np
 import pytest
 
-from voxtable.llm import intervals, registry
+from voxtable.llm import intervals, registry, spelling
 
 SF = "/root/testdata/sf0.001"
 VERSION = "key string, doc_id long, event long, arrival long, expiry long, n_chars long, lang string"
@@ -74,3 +76,79 @@ def test_point_in_time_of_odd_rows(spark, odd, none):
     got = intervals.latest(intervals.document_versions(docs), intervals.label_times(asks, docs)).collect()
     assert len(got) == asks.count() and all(r["status"] == "none" for r in got if r["doc_id"] in (None, 99))
     assert intervals.latest(intervals.document_versions(docs.limit(0)), intervals.label_times(asks, docs.limit(0))).count() == asks.count()
+
+
+# Spelling variants.
+
+
+def words_of(rows, noise):
+    n = collections.Counter()
+    for doc, text in rows:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = re.sub("[A-Z]", lambda m: m[0].lower(), w)
+            h = zlib.crc32(f"{doc}:{w}".encode()) if noise and doc is not None else 1
+            if noise and h % noise == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            n[w] += 1
+    return n
+
+
+def one_apart(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_variants(rows, noise=97, least_points=5, least_n=3, ratio=2):
+    n = {w: k for w, k in words_of(rows, noise).items() if len(w) >= least_points and k >= least_n}
+    by = collections.defaultdict(list)
+    for w in n:
+        by[len(w)].append(w)
+    near = {w: [v for k in (-1, 0, 1) for v in by[len(w) + k] if one_apart(w, v)] for w in n}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= ratio * n[w] else None
+    out = set()
+    for w in n:
+        r = w
+        while form[r]:
+            r = form[r]
+        out.add((w, form[w], r, n[w], len(near[w]), form[w] and n[form[w]]))
+    return out
+
+
+def test_variants_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    got = [tuple(r) for r in spelling.variants(spark.createDataFrame(rows, "doc_id long, text string"), noise=97).collect()]
+    want = brute_variants(rows)
+    assert len(got) == len(want) and set(got) == want and any(r[1] for r in got)
+
+
+def test_variants_of_made_up_words(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(spelling, "HELD", 50)
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abéÿ") for _ in range(rng.randint(5, 8))) for _ in range(40)] + ["aaaaaa", "aaaaa", "aaaaaaa", "b" * 3000, "b" * 2999 + "a", "b" * 2999]
+    counts = [(w, 3 + i % 7 * 5) for i, w in enumerate(base)] + [("chainaaaa", 400), ("chainaaab", 200), ("chainaabb", 100), ("chainabbb", 50), ("chainbbbb", 25), ("chainbbbc", 12), ("chainbbcc", 6), ("chainbccc", 3)]
+    rows = [(i, " ".join([w] * k)) for i, (w, k) in enumerate(counts)] + [(None, "alone12alone!Alone"), (5, None), (5, ""), (6, "×÷×÷× ×÷×÷× ×÷×÷×")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for noise in (None, 5):
+        got = [tuple(r) for r in spelling.variants(docs, noise=noise).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_variants(rows, noise)
+    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    assert {tuple(r) for r in spelling.variants(odd, least_n=2, noise=7).collect()} == brute_variants(rows, 7, least_n=2)
+    assert spelling.variants(none).count() == 0
+
+
+def test_rolling_hashes():
+    words = ["abcde", "abde", "aabbb", "", "abbb", "abcdé"]
+    sizes = np.array([len(w) for w in words])
+    points = np.array([ord(c) for c in "".join(words)], np.uint64)
+    whole, without = spelling._rolling(points, np.cumsum(sizes) - sizes, sizes)
+    short = [w[:i] + w[i + 1 :] for w in words for i in range(len(w))]
+    same = dict(zip(words, whole.tolist(), strict=True)) | {}
+    assert len(set(whole.tolist())) == len(words)
+    for s, h in zip(short, without.tolist(), strict=True):
+        assert same.setdefault(s, h) == h

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, intervals, langid, licenses, lm, media, neardup, packing, pii, topk, toxicity
+from . import bpe, intervals, langid, licenses, lm, media, neardup, packing, pii, spelling, topk, toxicity
 from .common import settle, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,6 +66,10 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), noise=97)
+
+
 def op13_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return intervals.latest(intervals.document_versions(docs), intervals.label_times(table(spark, sf_dir, "labels"), docs))
@@ -82,6 +86,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_pii_bootstrap": op9_pii_bootstrap,
     "op10_language_crf": op10_language_crf,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_point_in_time": op13_point_in_time,
 }
 
