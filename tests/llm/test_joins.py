@@ -7,7 +7,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from voxtable.llm import intervals, registry, spelling
+from helpers import brute_groups, roots
+from voxtable.llm import intervals, neardup, registry, sigtree, spelling
 
 SF = "/root/testdata/sf0.001"
 VERSION = "key string, doc_id long, event long, arrival long, expiry long, n_chars long, lang string"
@@ -152,3 +153,77 @@ def test_rolling_hashes():
     assert len(set(whole.tolist())) == len(words)
     for s, h in zip(short, without.tolist(), strict=True):
         assert same.setdefault(s, h) == h
+
+
+# N-gram Jaccard join.
+
+
+def families(rng, word, n, copies, changes):
+    out = []
+    for _ in range(6):  # copies with a few words changed, so that links chain
+        base = [word() for _ in range(n)]
+        for _ in range(copies):
+            t = list(base)
+            for _ in range(rng.randint(0, changes)):
+                t[rng.randrange(len(t))] = word()
+            out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("n,percent,chunk,most", [(4, 85, 1_500_000, 64), (5, 80, 2_000, 64), (4, 85, 1_500_000, 5)])
+def test_join_against_all_pairs(spark, monkeypatch, n, percent, chunk, most):
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
+    monkeypatch.setattr(neardup, "ROWS", most)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts = families(rng, word, 120, 25, 5) + families(rng, word, 30, 8, 1) + families(rng, word, 9, 5, 1) + ["one", "One", "one two", "one  two\n", "", None, "  ", "a b c", "c b a"]
+    texts += texts[:3]
+    rows = list(enumerate(texts))
+    got = sigtree.join(spark.createDataFrame(rows, "doc_id long, text string"), words=n, percent=percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows, n, percent) and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_join_against_sql(spark, sf):
+    got, want = both(spark, "op12_ngram_join", f"/root/testdata/sf{sf}")
+    assert got == want and any(r[0] != r[2] for r in got)
+
+
+def test_join_of_odd_rows(spark, odd, none):
+    got = collections.defaultdict(list)
+    for r in sigtree.join(odd.selectExpr("*", "1 as `a.b`", "2 as `x y`", "3 as node", "4 as row"), words=4, percent=85).collect():
+        got[r["doc_id"]].append((r["n_shingles"], r["component_id"]))
+    assert sum(map(len, got.values())) == odd.count() and got[10] == [(6, 1)] and got[8] == [(1, 8)] * 2 and got[None] == [(2, None)]
+    assert got[2] == got[2] and got[3] == [(0, 3)] and got[4] == [(0, 4)]
+    assert sigtree.join(none).count() == 0
+
+
+def test_every_linked_pair_shares_a_key():
+    rng = np.random.default_rng(2)
+    for percent in (80, 85, 100):
+        bounds = sigtree.tiers(percent)
+        for n in [*range(1, 40), 100, 333, 1000]:
+            for _ in range(4):
+                x = np.unique(rng.integers(0, 2**63, n, np.uint64))
+                drop = int(rng.integers(0, n)) if n < 20 else int(rng.integers(0, n * (100 - percent) // 100 + 1))
+                new = int(rng.integers(0, max(1, n // 6)))
+                y = np.unique(np.r_[rng.permutation(x)[drop:], rng.integers(0, 2**63, new, np.uint64)])
+                common = len(np.intersect1d(x, y))
+                if len(y) and 100 * common >= percent * (len(x) + len(y) - common):
+                    assert set(sigtree.part_keys(x, percent, bounds).tolist()) & set(sigtree.part_keys(y, percent, bounds).tolist()), (n, len(y), common)
+
+
+def test_trees_lose_no_pair_and_prune():
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 2**63, n, np.uint64)) for n in (3, 40, 200, 210, 1000)]
+    sets = [np.unique(np.r_[b[: len(b) - k], rng.integers(0, 2**63, k, np.uint64)]) for b in base for k in range(0, max(2, len(b) // 8), max(1, len(b) // 60))]
+    sets += [np.unique(rng.integers(0, 2**63, 200, np.uint64)) for _ in range(60)]
+    size = [len(s) for s in sets]
+    linked = {(i, j) for i in range(len(sets)) for j in range(i) for k in [len(np.intersect1d(sets[i], sets[j]))] if 100 * k >= 85 * (size[i] + size[j] - k)}
+    i, j = sigtree.candidates(sigtree.tree(sets, np.ones(len(sets), bool)), 85)
+    found = {(b, a) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert linked <= found and len(found) < len(sets) ** 2 / 8
+    for compared in (None, 5):
+        got = sigtree.forest(sets, 85, compared)
+        want = [(a, b) for a, b in linked if compared is None or b < compared]
+        assert all((max(p), min(p)) in linked for p in got) and roots(got) == roots(want)

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import brute_groups, roots
 from voxtable.llm import graph, licenses, lm, neardup, pii, registry, topk
 
 SF = "/root/testdata/sf0.001"
@@ -72,22 +73,6 @@ def test_rows_never_outnumber_ngrams():
 # Components and near duplicates.
 
 
-def roots(pairs):
-    par = {}
-
-    def f(x):
-        par.setdefault(x, x)
-        while par[x] != x:
-            par[x] = par[par[x]]
-            x = par[x]
-        return x
-
-    for a, b in pairs:
-        a, b = f(a), f(b)
-        par[max(a, b)] = min(a, b)
-    return {x: f(x) for x in par}
-
-
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(rng.randint(2000, 2400), rng.randint(2000, 2400)) for _ in range(250)] + [(5, 5), (7, 8), (7, 8)]
@@ -96,17 +81,6 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def brute_groups(rows, n, percent):
-    sets = {}
-    for d, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[d] = {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
-    ids = sorted(sets)
-    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-    r = roots(pairs)
-    return {d: (len(sets[d]), r.get(d, d)) for d in ids}
-
-
 @pytest.mark.parametrize("n,percent,chunk,most", [(3, 85, 1_500_000, 64), (5, 80, 2_000, 64), (3, 85, 1_500_000, 5)])
 def test_groups_against_all_pairs(spark, monkeypatch, n, percent, chunk, most):
     monkeypatch.setattr(neardup, "CHUNK", chunk)

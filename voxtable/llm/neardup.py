@@ -24,7 +24,7 @@ id, hash of the text, and place in the input.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -155,7 +155,7 @@ def forest(sets: list[np.ndarray], percent: int, compared: int | None = None) ->
         compare(int(outside[0]))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """(doc_id, key, text): ``key`` tells rows of one id apart by their text."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"), text.alias("text"), *more)
@@ -167,8 +167,8 @@ def _with_group(members: DataFrame, facts: DataFrame, how: str = "inner") -> Dat
     return members.withColumn("_salt", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(SALTS)).cast("int")).join(salted, ["root", "_salt"], how).drop("_salt")
 
 
-def _confirmed(rows: DataFrame, classes: DataFrame, coarse: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, root) of the components of true links within the groups of ``coarse``."""
+def confirmed(rows: DataFrame, classes: DataFrame, coarse: DataFrame, words: int, percent: int, linked: Callable[..., list[tuple[int, int]]] = forest) -> DataFrame:
+    """(node, root) of the components of true links within the groups of ``coarse``; ``linked`` finds a forest of them in a chunk."""
     size = F.greatest(F.ceil(F.sum("n") / CHUNK), F.ceil(F.count("*") / ROWS)).cast("int")
     hubs = [F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in _HUBS]
     weights = classes.join(coarse, "node").groupBy("root").agg(size.alias("chunks"), F.array(*hubs).alias("hubs"))
@@ -189,7 +189,7 @@ def _confirmed(rows: DataFrame, classes: DataFrame, coarse: DataFrame, words: in
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "node", "set"]).drop_duplicates("set")
         node = pdf["node"].to_numpy()
-        pairs = forest([np.frombuffer(d, np.uint64) for d in pdf["data"]], percent, int((pdf["side"] == 0).sum()) if (pdf["side"] == 0).any() else None)
+        pairs = linked([np.frombuffer(d, np.uint64) for d in pdf["data"]], percent, int((pdf["side"] == 0).sum()) if (pdf["side"] == 0).any() else None)
         return pd.DataFrame({"a": [node[i] for i, _ in pairs], "b": [node[j] for _, j in pairs]}, dtype=np.int64)
 
     full = settle(texts.mapInArrow(sets_of, "root long, chunks int, chunk int, node long, set binary, hub boolean, data binary"))
@@ -217,8 +217,8 @@ def _decide(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     bands, perms = banding(percent)
-    rows = _keyed(docs, id_col, text_col)
-    carried = _keyed(docs, id_col, text_col, F.struct(*docs.columns).alias("row")) if keep else rows
+    rows = keyed(docs, id_col, text_col)
+    carried = keyed(docs, id_col, text_col, F.struct(*docs.columns).alias("row")) if keep else rows
     sketched = settle(sketches(carried, words, bands, perms).withColumn("at", F.monotonically_increasing_id()))
     linkable = sketched.where("n > 0 and doc_id is not null")
     classes = linkable.groupBy("set").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -227,7 +227,7 @@ def _decide(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     pivots = settle(spread.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("_last")).where("pivot <> _last").select("bucket", "pivot"))
     stars = spread.join(pivots, "bucket").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     coarse = settle(components(stars))
-    joined = _confirmed(rows, classes, coarse, words, percent)
+    joined = confirmed(rows, classes, coarse, words, percent)
     reached = classes.select("set", "node", "first").join(joined, "node", "left").select("set", "first", F.coalesce("root", "node").alias("root"))
     heads = reached.groupBy("root").agg(F.min("first").alias("head"))
     reached = reached.join(heads, "root").select("set", "head")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, intervals, langid, licenses, lm, media, neardup, packing, pii, spelling, topk, toxicity
+from . import bpe, intervals, langid, licenses, lm, media, neardup, packing, pii, sigtree, spelling, topk, toxicity
 from .common import settle, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,6 +70,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), noise=97)
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.join(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op13_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return intervals.latest(intervals.document_versions(docs), intervals.label_times(table(spark, sf_dir, "labels"), docs))
@@ -87,12 +91,14 @@ QUERIES = {
     "op9_pii_bootstrap": op9_pii_bootstrap,
     "op10_language_crf": op10_language_crf,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_ngram_join": op12_ngram_join,
     "op13_point_in_time": op13_point_in_time,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_lm_backoff": lm.oracle_sql(),
     "op6_license_dice": licenses.oracle_sql(),
+    "op12_ngram_join": sigtree.oracle_sql(),
     "op13_point_in_time": intervals.oracle_sql(),
     "op4_exact_topk": """
 with v as (
