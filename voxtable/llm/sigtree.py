@@ -118,10 +118,10 @@ def forest(sets: list[np.ndarray], percent: int, compared: int | None = None) ->
 
 
 def tiers(percent: int, most: int = 1 << 40) -> np.ndarray:
-    """The first size of each tier; linked sets lie in one tier or in neighbouring ones."""
+    """The first size of each tier; linked sets lie in one tier or in neighbouring ones (above 95 percent tiers are wider than they need be)."""
     out = [1]
     while out[-1] <= most:
-        out.append(out[-1] * 100 // percent + 1)
+        out.append(out[-1] * 100 // min(percent, 95) + 1)
     return np.array(out)
 
 
