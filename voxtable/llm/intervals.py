@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import settle
+
 BITS, ORDERS = 10, 3  # windows of 1024 units, of 2^20 and of 2^30
 
 
@@ -110,7 +112,7 @@ def latest(versions: DataFrame, labels: DataFrame, *, stale: int = 20) -> DataFr
     # No field is null on its way through pandas: -1 stands for no length, and a sign stands before each language.
     fields = [F.coalesce("n_chars", F.lit(-1)).alias("n_chars"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("lang")]
     known = known.select("key", F.greatest("event", "arrival").alias("start"), F.col("expiry").alias("end"), F.struct("event", "arrival", F.col("doc_id").alias("version"), *fields).alias("w"))
-    found = winners(known, labels.select("key", F.col("t").alias("at")).dropna().distinct())
+    found = settle(winners(known, labels.select("key", F.col("t").alias("at")).dropna().distinct()))
     out = labels
     for order in range(ORDERS):  # merge: a broadcast would grow with the labels
         mine = found.where(F.col("order") == order).select(F.col("key").alias("_k"), F.col("at").alias("_at"), F.col("w").alias(f"_w{order}"))
