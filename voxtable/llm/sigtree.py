@@ -11,8 +11,10 @@ tokens by which linked sets of that tier can differ; so at least one part that i
 key.  A set whose non-empty parts are too few for that gives keys under further seeds, until they are enough: of a pair, the set that is done
 first makes sure of it.  That holds for every pair, so nothing is lost.
 
-Sets that share a key are tied to one of them, first within each batch, then by a sort of what is left, at most a row for each key and batch.
-Groups that hang together are then searched by trees, in chunks of bounded size (``neardup.confirmed``), and links come out as a forest.
+Sets that share a key are a bucket.  Each distinct bucket is searched by a signature tree of its own, whose bitmaps travel with the sets (a bit or two for
+each token), and comes out as a forest of the pairs that the bounds let through.  Of a key that many sets of one batch share, the batch hands on one set,
+which is tied to the others, and whose bucket is then tied together unseen, as is one of more than ``BUCKET`` sets.  Groups that hang together by such ties are
+searched by trees again, now with full sets, in chunks of bounded size (``neardup.confirmed``), and links come out as a forest.
 
 Defined results: equal sets are one class from the start.  Null, empty and blank texts have no tokens and link with nothing; texts with fewer
 words than an n-gram have one token.  Rows with a null id link with nothing (component null).  Rows with equal ids are linked each by its own text.
@@ -36,28 +38,35 @@ from .words import mix
 
 FANOUT = 4
 SEEDS = 16
+BUCKET = 256  # sets of a bucket that a tree searches
+CROWD = 8  # sets of a batch with one key, before one stands for them
 _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 # Trees.
 
 
-def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """(sets, bits / 64) words; a token sets the bit that its hash names."""
-    out = np.zeros((len(sets), bits // 64), np.uint64)
-    for row, s in zip(out, sets, strict=True):
-        at = mix(s * _SPREAD) & np.uint64(bits - 1)
-        np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """bits / 64 words; a token sets the bit that its hash names."""
+    out = np.zeros(bits // 64, np.uint64)
+    at = mix(s * _SPREAD) & np.uint64(bits - 1)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     return out
 
 
-def tree(sets: list[np.ndarray], wanted: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+def width(n: int, most: int = 1 << 16) -> int:
+    """Bits of a bitmap for sets of about n tokens: a power of two, so that a wide one folds into a narrow one."""
+    return min(max(64, 1 << (2 * n - 1).bit_length() - 1), most)
+
+
+def folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps as rows of the narrowest one's width."""
+    least = min(map(len, maps))
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, least), axis=0) for m in maps])
+
+
+def tree(maps: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     """Levels from the sets up to one root, each (bitmaps, least sizes, greatest sizes, most tokens beyond the bits, whether a wanted set is below)."""
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    bits = 64
-    while bits < min(4 * int(np.median(size)), 1 << 16):
-        bits *= 2
-    maps = _bitmaps(sets, bits)
     levels = [(maps, size, size, size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64), wanted)]
     while len(levels[-1][1]) > 1:
         at = np.arange(0, len(levels[-1][1]), FANOUT)
@@ -95,6 +104,9 @@ def forest(sets: list[np.ndarray], percent: int, compared: int | None = None) ->
     links that the first so many sets have."""
     order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))  # a common least hash tells of likeness
     wanted = np.array([compared is None or i < compared for i in order], bool)
+    size = np.array([len(sets[i]) for i in order], np.int64)
+    bits = width(2 * int(np.median(size)))
+    levels = tree(np.stack([bitmap(sets[i], bits) for i in order]), size, wanted)
     root, out = list(range(len(sets))), []
 
     def find(x: int) -> int:
@@ -103,7 +115,7 @@ def forest(sets: list[np.ndarray], percent: int, compared: int | None = None) ->
             x = root[x]
         return x
 
-    for i, j in zip(*(x.tolist() for x in candidates(tree([sets[i] for i in order], wanted), percent)), strict=True):
+    for i, j in zip(*(x.tolist() for x in candidates(levels, percent)), strict=True):
         a, b = order[i], order[j]
         x, y = find(a), find(b)
         if x != y:
@@ -160,52 +172,109 @@ def _node(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def ties(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): nodes that share a key hang together by these.  texts: (text), of rows that can link."""
+def _sort_keys(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both sorted by key, the first place of each key, and its number of rows."""
+    order = np.argsort(key, kind="stable")
+    key, node = key[order], node[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key, node, first, np.diff(np.r_[first, len(key)])
+
+
+def buckets(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(unseen boolean, members array<long>): sets, by their nodes, that share a key; ``unseen`` ones hang together without a look at them.
+    texts: (text), of rows that can link."""
     bounds = tiers(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = {}
+            found = {}
             for s in shingle_sets(batch.column(0).to_pylist(), words):
-                if len(s) and (node := _node(_digest(s))) not in nodes:
-                    nodes[node] = part_keys(s, percent, bounds)
-            if not nodes:
+                if len(s) and (node := _node(_digest(s))) not in found:
+                    found[node] = part_keys(s, percent, bounds)
+            if not found:
                 continue
-            key = np.concatenate(list(nodes.values()))
-            node = np.repeat(np.fromiter(nodes, np.int64, len(nodes)), [len(k) for k in nodes.values()])
-            order = np.argsort(key, kind="stable")
-            key, node = key[order], node[order]
-            new = np.r_[True, key[1:] != key[:-1]]
-            first = node[new][np.cumsum(new) - 1]  # a key's first node in this batch
-            edges = np.unique(np.stack([first[~new], node[~new]]), axis=1)
-            edges = edges[:, edges[0] != edges[1]]
-            spread = mix(mix(edges[0].view(np.uint64)) ^ edges[1].view(np.uint64)).view(np.int64)
-            to = pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(edges[1])])
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[key[new], spread]), pa.array(np.r_[node[new], edges[0]]), to], names=["key", "node", "other"])
+            key, node, first, n = _sort_keys(np.concatenate(list(found.values())), np.repeat(np.fromiter(found, np.int64, len(found)), [len(k) for k in found.values()]))
+            head, crowd = np.repeat(node[first], n), np.repeat(n > CROWD, n)
+            alone = np.zeros(len(key), bool)
+            alone[first] = True
+            tied = np.unique(np.stack([head[crowd & ~alone], node[crowd & ~alone]]), axis=1)
+            spread = mix(mix(tied[0].view(np.uint64)) ^ tied[1].view(np.uint64)).view(np.int64)
+            kept = alone | ~crowd
+            # kind 0: a set; 1: a set that stands for others; 2: two sets that are tied.
+            kind = np.r_[crowd[kept].astype(np.int8), np.full(len(spread), 2, np.int8)]
+            other = pa.concat_arrays([pa.nulls(int(kept.sum()), pa.int64()), pa.array(tied[1])])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[key[kept], spread]), pa.array(kind), pa.array(np.r_[node[kept], tied[0]]), other], names=["key", "kind", "node", "other"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_node = None, None
+        held: tuple[int | None, bool, list[int]] = (None, False, [])  # the last key's bucket, which may go on
+
+        def out(done: list[tuple[bool, list[int]]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in done], pa.bool_()), pa.array([m for _, m in done], pa.list_(pa.int64()))], names=["unseen", "members"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            to = batch.column(2).fill_null(0).to_numpy()
-            a, b = [node[known]], [to[known]]
-            key, node = key[~known], node[~known]
-            if len(key):
-                if last_key is not None and key[0] == last_key:
-                    key, node = np.r_[last_key, key], np.r_[last_node, node]
-                same = key[1:] == key[:-1]
-                a.append(node[:-1][same])
-                b.append(node[1:][same])
-                last_key, last_node = key[-1], node[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            kind, who = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            pair = kind == 2
+            done = [(True, [a, b]) for a, b in zip(who[pair].tolist(), batch.column(3).filter(pa.array(pair)).to_pylist(), strict=True)]
+            key, node, stands = batch.column(0).to_numpy()[~pair], who[~pair], kind[~pair] == 1
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.r_[first, len(key)])
+            for at in np.flatnonzero((size > 1) | (first == 0) | (first + size == len(key))).tolist():
+                lo, hi = int(first[at]), int(first[at] + size[at])
+                unseen, members = bool(stands[lo:hi].any()), sorted(set(node[lo:hi].tolist()))
+                if held[0] == key[lo]:
+                    unseen, members = unseen or held[1], sorted({*held[2], *members})
+                elif len(held[2]) > 1:
+                    done.append(held[1:])
+                held = (int(key[lo]), unseen, members)
+                if len(members) > BUCKET:  # goes out in parts, which a member of both ties together
+                    done.append((True, members))
+                    held = (int(key[lo]), True, members[:1])
+            yield out(done)
+        yield out([held[1:]] if len(held[2]) > 1 else [])
 
     small_batches(texts)
-    rows = texts.mapInArrow(run, "key long, node long, other long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").where("a <> b")
+    rows = texts.mapInArrow(run, "key long, kind byte, node long, other long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "unseen boolean, members array<long>")
+
+
+def ties(found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs by which all links within buckets hang together.  classes: (node, n, map)."""
+    chained = found.where("unseen").select(F.posexplode("members").alias("i", "b"), "members").where("i > 0").select(F.expr("members[i - 1]").alias("a"), "b")
+    seen = found.where("not unseen").select("members").distinct().select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("node"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def pairs(t: pa.Table) -> pa.RecordBatch:
+            key, node, size = (t.column(i).to_numpy() for i in range(3))
+            maps = [np.frombuffer(m, np.uint64) for m in t.column(3).to_pylist()]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            a, b = [], []
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+                i, j = candidates(tree(folded(maps[lo:hi]), size[lo:hi], np.ones(hi - lo, bool)), percent)
+                label = list(range(hi - lo))
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    if label[x] != label[y]:
+                        old = label[y]
+                        label = [label[x] if v == old else v for v in label]
+                        a.append(node[lo + x])
+                        b.append(node[lo + y])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if t.num_rows:
+                key = t.column(0).to_numpy()
+                cut = int(np.argmax(key == key[-1]))
+                yield pairs(t.slice(0, cut))
+                rest = t.slice(cut)
+        if rest is not None:
+            yield pairs(rest)
+
+    small_batches(found)
+    rows = seen.join(classes.select("node", "n", "map"), "node").select("bucket", "node", "n", "map")
+    likely = rows.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(search, "a long, b long")
+    return chained.unionByName(likely)
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,14 +287,16 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         for batch in batches:
             sets = shingle_sets(batch.column(2).to_pylist(), words)
             digests = [_digest(s) for s in sets]
-            arrays = [*batch.columns[:2], pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(map(_node, digests), pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "n", "set", "node"])
+            maps = [bitmap(s, width(len(s))).tobytes() if len(s) else None for s in sets]
+            arrays = [*batch.columns[:2], pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(map(_node, digests), pa.int64()), pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "n", "set", "node", "map"])
 
     small_batches(rows)
-    sketched = settle(rows.mapInArrow(sketch, "doc_id long, key long, n long, set binary, node long"))
+    sketched = settle(rows.mapInArrow(sketch, "doc_id long, key long, n long, set binary, node long, map binary"))
     linkable = sketched.where("n > 0 and doc_id is not null")
-    classes = settle(linkable.groupBy("node", "set").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("n").alias("n")))
-    coarse = settle(components(ties(rows.where("doc_id is not null").select("text"), words, percent)))
+    classes = settle(linkable.groupBy("node", "set").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("n").alias("n"), F.first("map").alias("map")))
+    found = settle(buckets(rows.where("doc_id is not null").select("text"), words, percent))
+    coarse = settle(components(ties(found, classes, percent)))
     joined = confirmed(rows, classes, coarse, words, percent, forest)
     reached = classes.select("set", "node", "first").join(joined, "node", "left").select("set", F.coalesce("root", "node").alias("root"), F.col("first.doc_id").alias("id"))
     heads = reached.groupBy("root").agg(F.min("id").alias("component_id"))
