@@ -91,34 +91,9 @@ def mesh_size(tris: DataFrame) -> DataFrame:
     return tris.groupBy("label").agg(F.count("*").alias("triangles"), F.sum(area).alias("mm2"), F.sum(volume).alias("mm3"))
 
 
-def smooth(tris: DataFrame, level: int = 5, weight: float = 0.5) -> DataFrame:
-    """Laplacian smoothing: 10 + 5 * level rounds, each moving vertices half way to the mean of their neighbours.  One label's mesh at a time."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.round(pdf.iloc[:, 1:].to_numpy().reshape(-1, 3), 9)
-        points, face = np.unique(p, axis=0, return_inverse=True)
-        face = face.reshape(-1, 3)
-        pairs = np.concatenate([face[:, [0, 1]], face[:, [1, 2]], face[:, [2, 0]]])
-        pairs = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        degree = np.maximum(np.bincount(pairs[:, 0], minlength=len(points)), 1)
-        for _ in range(10 + 5 * level):
-            mean = np.stack([np.bincount(pairs[:, 0], weights=points[pairs[:, 1], k], minlength=len(points)) for k in range(3)], axis=1) / degree[:, None]
-            points = points + weight * (mean - points)
-        out = pdf.copy()
-        out.iloc[:, 1:] = points[face].reshape(-1, 9)
-        return out
-
-    return tris.groupBy("label").applyInPandas(run, TRIANGLES)
-
-
-def interpolate_slices(mask: np.ndarray, level: int) -> tuple[np.ndarray, float]:
-    """A mask with 1 + 0.4 * level times the slices by cubic splines along z, and the factor.  Interpolating splines through every slice,
-    mirrored at the ends; values above a half are inside."""
-    factor, n = 1 + 0.4 * level, mask.shape[0]
-    m = int(round(n * factor))
-    if n < 2 or m == n:
-        return mask > 0.5, factor
+def spline_weights(n: int, m: int) -> np.ndarray:
+    """(m, n) weights of n slices in m that are spread from the first to the last: cubic splines through every slice, mirrored at the ends.
+    Solved as a whole; ``zspline`` does the same by a recursive filter."""
     at = np.arange(m) * (n - 1) / (m - 1) if m > 1 else np.zeros(1)
     mirror = lambda i: np.abs((i + n - 1) % (2 * (n - 1)) - (n - 1)) if n > 1 else i * 0
     system = np.zeros((n, n))
@@ -130,5 +105,14 @@ def interpolate_slices(mask: np.ndarray, level: int) -> tuple[np.ndarray, float]
         d = np.abs(at - (base + k))
         w = np.where(d < 1, 2 / 3 - d**2 + d**3 / 2, np.where(d < 2, (2 - d) ** 3 / 6, 0))
         np.add.at(weights, (np.arange(m), mirror(base + k)), w)
-    values = (weights @ np.linalg.inv(system)) @ mask.reshape(n, -1).astype(float)
+    return weights @ np.linalg.inv(system)
+
+
+def interpolate_slices(mask: np.ndarray, level: int) -> tuple[np.ndarray, float]:
+    """A small mask with 1 + 0.4 * level times the slices, and the factor; ``zspline.interpolated`` does it over tables."""
+    factor, n = 1 + 0.4 * level, mask.shape[0]
+    m = int(round(n * factor))
+    if n < 2 or m == n:
+        return mask > 0.5, factor
+    values = spline_weights(n, m) @ mask.reshape(n, -1).astype(float)
     return values.reshape(m, *mask.shape[1:]) > 0.5, factor

@@ -25,10 +25,15 @@ def counts(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.count_distinct("task").alias("tasks"), F.count("*").alias("rows"), F.count_distinct("roi").alias("rois"))
 
 
+def requests(typed: DataFrame) -> DataFrame:
+    """(id, place, roi) of lists typed with commas, blanks or line ends (id, typed): empties left out, the first of repeats in a list kept."""
+    words = typed.select("id", F.posexplode(F.split("typed", r"[,\n\s]+")).alias("place", "roi")).where("roi <> ''")
+    return words.groupBy("id", "roi").agg(F.min("place").alias("place")).select("id", "place", "roi")
+
+
 def requested(spark: SparkSession, text: str) -> DataFrame:
-    """(place, roi) of a list typed with commas, blanks or line ends: trimmed, empties left out, the first of repeats kept."""
-    typed = spark.createDataFrame([(text,)], "t string").select(F.posexplode(F.split("t", r"[,\n\s]+")).alias("place", "roi")).where(F.trim("roi") != "")
-    return typed.groupBy("roi").agg(F.min("place").alias("place")).select("place", "roi")
+    """(place, roi) of one typed list."""
+    return requests(spark.createDataFrame([(0, text)], "id int, typed string")).select("place", "roi")
 
 
 def invalid(wanted: DataFrame, catalog: DataFrame) -> DataFrame:

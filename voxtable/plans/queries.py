@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..operators import edits, geometry, history, mesh, raster, report, roi, stack, tracking
+from ..operators import cubes, edits, geometry, history, mesh, raster, report, roi, stack, tracking, zspline
 from ..schema import COLORS, GRAYS, OVERLAY_ALPHA, PRESETS, palette
 from ..sources import readers
 from ..streaming import editlog
@@ -121,24 +121,27 @@ def _counted(df: DataFrame) -> DataFrame:
     return df.groupBy("z", "label").agg(F.count("*").alias("n"))
 
 
-@query(f"{P} select z, count(*) n from v where gray between 100 and 140 group by z")
+S = f"with {fx.SCATTER_SQL}"
+
+
+@query(f"{S} select z, count(*) n from s where gray between 100 and 140 group by z")
 def extract_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.phantom(spark, sf_dir).where(edits.in_threshold(100, 140)).groupBy("z").agg(F.count("*").alias("n"))
+    return fx.scatter(spark, sf_dir).where(edits.in_threshold(100, 140)).groupBy("z").agg(F.count("*").alias("n"))
 
 
-@query(f"{P} select z, count(*) n from v where gray between {PRESETS['CT Bone'][0]} and {PRESETS['CT Bone'][1]} group by z")
+@query(f"{S} select z, count(*) n from s where gray between {PRESETS['CT Bone'][0]} and {PRESETS['CT Bone'][1]} group by z")
 def extract_preset_ct_bone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.phantom(spark, sf_dir).where(edits.in_preset("CT Bone")).groupBy("z").agg(F.count("*").alias("n"))
+    return fx.scatter(spark, sf_dir).where(edits.in_preset("CT Bone")).groupBy("z").agg(F.count("*").alias("n"))
 
 
-@query(f"{P} " + " union all ".join(f"select '{n}' preset, count(*) n from v where gray between {lo} and {hi}" for n, (lo, hi) in PRESETS.items()))
+@query(f"{S} " + " union all ".join(f"select '{n}' preset, count(*) n from s where gray between {lo} and {hi}" for n, (lo, hi) in PRESETS.items()))
 def preset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits.preset_counts(fx.phantom(spark, sf_dir))
+    return edits.preset_counts(fx.scatter(spark, sf_dir))
 
 
-@query(f"{P} select z, count(*) n from (select z, gray r, (gray * 3) % 256 g, 255 - gray b from v) where r between 70 and 130 and g between 20 and 80 and b between 125 and 185 group by z")
+@query(f"{S} select z, count(*) n from (select z, gray r, (gray * 3) % 256 g, 255 - gray b from s) where r between 70 and 130 and g between 20 and 80 and b between 125 and 185 group by z")
 def extract_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    colored = fx.phantom(spark, sf_dir).selectExpr("z", "gray as r", "(gray * 3) % 256 as g", "255 - gray as b")
+    colored = fx.scatter(spark, sf_dir).selectExpr("z", "gray as r", "(gray * 3) % 256 as g", "255 - gray as b")
     return colored.where(edits.near_color(100, 50, 155, 30)).groupBy("z").agg(F.count("*").alias("n"))
 
 
@@ -346,9 +349,9 @@ def web_starting_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.web_index(fx.table(spark, sf_dir, "nation").select(F.concat(F.lit("img"), number, F.lit(".jpg")).alias("name")))
 
 
-@query(f"{P} select z, cast(row_number() over (order by z desc) as int) export_index from (select distinct z from v)")
+@query(f"{S} select z, cast(row_number() over (order by z desc) as int) export_index from (select distinct z from s)")
 def export_index_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stack.renumbered(report.slice_table(fx.phantom(spark, sf_dir)), descending=True).select("z", "export_index")
+    return stack.renumbered(report.slice_table(fx.scatter(spark, sf_dir)), descending=True).select("z", "export_index")
 
 
 @query(f"{P}, w as (select z, case when x >= 8 and x < 30 and y >= 6 and y < 20 then 7 else label end label from v) select z, label, count(*) n from w group by z, label")
@@ -375,9 +378,9 @@ def z_spacing_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.z_spacing(s)
 
 
-@query(f"{P} select a.z, a.y, a.x, case when b.gray is null then a.gray else cast(floor(a.gray * 0.5 + b.gray * 0.5) as int) end mixed from v a left join v b on b.z = a.z - 1 and b.y = a.y and b.x = a.x")
+@query(f"{S} select a.z, a.y, a.x, cast(case when b.gray is null then a.gray else floor(a.gray * 0.5 + b.gray * 0.5) end as int) mixed from s a left join s b on b.z = a.z - 1 and b.y = a.y and b.x = a.x")
 def neighbor_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stack.neighbor_overlay(fx.phantom(spark, sf_dir))
+    return stack.neighbor_overlay(fx.scatter(spark, sf_dir))
 
 
 @query(f"with {fx.SCATTER_SQL} select z, y, x, cast(floor((gray - min(gray) over (partition by z)) / ((max(gray) over (partition by z) - min(gray) over (partition by z)) + cast(1e-8 as double)) * 255) as int) norm from s")
@@ -430,9 +433,9 @@ def dilate_square(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.dilate(fx.phantom(spark, sf_dir), 2, H, W)
 
 
-@query(f"{P} select {H} - min(z) height, {W} - 2 * min(z) width from v")
+@query("select cast(max(40 + p_size * 3) as int) height, cast(max(60 + p_partkey % 97 - p_size) as int) width from part")
 def max_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.max_canvas(report.slice_table(fx.phantom(spark, sf_dir)).selectExpr(f"{H} - z as height", f"{W} - 2 * z as width"))
+    return raster.max_canvas(fx.table(spark, sf_dir, "part").selectExpr("p_partkey as z", "40 + p_size * 3 as height", "cast(60 + p_partkey % 97 - p_size as int) as width"))
 
 
 @query(f"{P}, s as (select z, {H} - z h, {W} - 2 * z w from (select distinct z from v)) select v.z, v.y + z // 2 y, v.x + (2 * z) // 2 x, label from v where label > 0 and y < {H} - z and x < {W} - 2 * z")
@@ -489,8 +492,12 @@ def snap_nearest_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Regions, history, tracking, stream and meshes.
 
-_CATALOG = {"total": ["liver", "spleen", "aorta"], "total_mr": ["liver", "spleen"], "body": ["skin", "trunk"]}
-_CATALOG_SQL = "cat(task, roi) as (values " + ", ".join(f"('{t}', '{r}')" for t, rs in _CATALOG.items() for r in rs) + ")"
+_CATALOG_SQL = "cat as (select p_brand as task, p_name as roi from part)"
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions by task: a part's name by its brand; each pair many times."""
+    return fx.table(spark, sf_dir, "part").selectExpr("p_brand as task", "p_name as roi")
 
 
 @query(f"{P}, k as (select label, row_number() over (order by label desc) place from (select distinct label from m)) select z, y, x, cast(max(place) as int) label from m join k using (label) where place <= 15 group by z, y, x")
@@ -503,17 +510,24 @@ def merge_roi_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_CATALOG_SQL} select distinct roi, task from cat")
 def roi_task_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roi.task_index(roi.catalog_table(spark, _CATALOG))
+    return roi.task_index(_catalog(spark, sf_dir))
 
 
 @query(f"with {_CATALOG_SQL} select count(distinct task) tasks, count(*) as rows, count(distinct roi) rois from cat")
 def roi_catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roi.counts(roi.catalog_table(spark, _CATALOG))
+    return roi.counts(_catalog(spark, sf_dir))
+
 
+_TYPED = "concat(' ', p_name, ', ', p_type, chr(10), p_name, ',,', p_brand)"
 
-@query(f"with {_CATALOG_SQL}, w(place, roi) as (values (0, 'liver'), (1, 'heart'), (3, 'skin'), (4, 'tail')) select place, roi from w where roi not in (select roi from cat)")
+
+@query(f"""with {_CATALOG_SQL}, t as (select p_partkey as id, string_split_regex({_TYPED}, '[,\\s]+') as w from part),
+w as (select id, unnest(w) as roi, generate_subscripts(w, 1) - 1 as place from t), f as (select id, roi, cast(min(place) as int) place from w where roi <> '' group by id, roi),
+words as (select distinct unnest(string_split(roi, ' ')) as roi from cat) select id, place, roi from f where roi not in (select roi from words)""")
 def roi_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roi.invalid(roi.requested(spark, "liver, heart\nliver skin,tail"), roi.catalog_table(spark, _CATALOG))
+    words = _catalog(spark, sf_dir).select(F.explode(F.split("roi", " ")).alias("roi")).distinct()
+    typed = fx.table(spark, sf_dir, "part").selectExpr("p_partkey as id", _TYPED + " as typed")
+    return roi.invalid(roi.requests(typed), words).select("id", "place", "roi")
 
 
 _LOG = "l as (select user_id as session, event_id seq, case when event_id % 5 = 3 then 'undo' when event_id % 7 = 4 then 'redo' else 'edit' end as action, event_id % 12 z, cast(event_id % 20 + 1 as int) as label from events)"
@@ -564,9 +578,17 @@ def track_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(tracking.write_labels(fx.phantom(spark, sf_dir), masks, order))
 
 
-@query(f"{P}, w as (select z, case when z = 2 then case label when 4 then 6 when 5 then 6 when 9 then 0 else label end else case label when 9 then 0 when 5 then 4 else label end end label from v) select z, label, count(*) n from w group by z, label")
+_EDITS = "select event_id seq, case when event_id % 3 > 0 then cast(event_id % 12 as int) end z, case when event_id % 4 = 3 then 'delete' else 'convert' end kind, cast(event_id * 7 % 20 + 1 as int) src, cast(event_id * 11 % 20 + 1 as int) dst from events"
+
+
+@query(f"""{P}, e as ({_EDITS}), zs as (select distinct z from v), own as (select zs.z, list(struct_pack(s := src, d := case when kind = 'delete' then 0 else dst end) order by seq) es from zs join e on e.z is null or e.z = zs.z group by zs.z),
+mm as (select z, l as label, list_reduce(list_prepend(struct_pack(s := -1, d := cast(l as int)), es), lambda a, e: case when a.d = e.s then struct_pack(s := -1, d := e.d) else a end).d as dst from own, range(0, 21) t(l)),
+w as (select v.z, coalesce(mm.dst, v.label) label from v left join mm on mm.z = v.z and mm.label = v.label) select z, label, count(*) n from w group by z, label""")
 def edit_log_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = spark.createDataFrame([(1, None, "convert", 5, 4), (2, 2, "convert", 4, 6), (3, None, "delete", 9, None)], editlog.EDITS)
+    log = fx.table(spark, sf_dir, "events").selectExpr(
+        "event_id as seq", "case when event_id % 3 > 0 then cast(event_id % 12 as int) end as z", "case when event_id % 4 = 3 then 'delete' else 'convert' end as kind",
+        "cast(event_id * 7 % 20 + 1 as int) as src", "cast(event_id * 11 % 20 + 1 as int) as dst",
+    )
     return _counted(editlog.apply_batch(fx.phantom(spark, sf_dir), log))
 
 
@@ -586,6 +608,80 @@ def mesh_triangle_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.mesh_size(mesh.triangles(fx.phantom(spark, sf_dir), SZ, 0.5, 0.5, slab=6))
 
 
-@query()
+_VID = "cast((((({0} + 1) * 1048576 + {1} + 1) * 1048576) + {2} + 1) * 4 + {3} as bigint)"
+_EDGE_SQL = "[" + ", ".join(f"[{c[0]}, {c[1]}, {c[2]}, {axis}]" for axis, c in cubes.EDGES) + "]"
+_NAMED = ", ".join("cast((((cz + e.{0}[1] + 1) * 1048576 + cy + e.{0}[2] + 1) * 1048576 + cx + e.{0}[3] + 1) * 4 + e.{0}[4] as bigint) {0}".format(p) for p in "abc")
+
+
+def _mesh_sql(source: str) -> str:
+    """``face`` (label, a, b, c), ``side`` (label, a, b) and ``point`` (label, v, z, y, x) of the labelled voxels of a table."""
+    return f"""corner as (select label, cast(z - dz as bigint) cz, cast(y - dy as bigint) cy, cast(x - dx as bigint) cx, 1 << cast(4 * dz + 2 * dy + dx as int) as bit from {source}, range(0, 2) a(dz), range(0, 2) b(dy), range(0, 2) c(dx) where label > 0),
+cube as (select label, cz, cy, cx, cast(sum(bit) as int) as code from corner group by all),
+cas(code, a, b, c) as (values {", ".join(f"({code}, {a}, {b}, {c})" for code, _, a, b, c in cubes.cases())}),
+face as materialized (select label, row_number() over () as i, {_NAMED} from (select label, cz, cy, cx, struct_pack(a := el[a + 1], b := el[b + 1], c := el[c + 1]) e from cube join cas using (code), (select {_EDGE_SQL} as el) l)),
+side as (select distinct label, unnest([a, a, b, b, c, c]) a, unnest([b, c, a, c, a, b]) b from face),
+cut as (select label, unnest([{{'t': 0, 'z': z, 'y': y, 'x': x}}, {{'t': 0, 'z': z - 1, 'y': y, 'x': x}}, {{'t': 1, 'z': z, 'y': y, 'x': x}}, {{'t': 1, 'z': z, 'y': y - 1, 'x': x}}, {{'t': 2, 'z': z, 'y': y, 'x': x}}, {{'t': 2, 'z': z, 'y': y, 'x': x - 1}}]) e from {source} where label > 0),
+point as materialized (select label, {_VID.format("cast(e.z as bigint)", "e.y", "e.x", "e.t")} v, cast(e.z as bigint) * 1048576 + case when e.t = 0 then 524288 else 0 end z, cast(e.y as bigint) * 1048576 + case when e.t = 1 then 524288 else 0 end y, cast(e.x as bigint) * 1048576 + case when e.t = 2 then 524288 else 0 end x
+  from (select label, e from cut group by label, e having count(*) = 1))"""
+
+
+_M = f"{P}, {_mesh_sql('v')}"
+
+
+@query(f"{_M} select label, v, z, y, x from point")
+def mesh_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cubes.vertices(cubes.faces(fx.phantom(spark, sf_dir)))
+
+
+@query(f"{_M} select label, a, b, c from face")
+def mesh_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cubes.faces(fx.phantom(spark, sf_dir)).select("label", "a", "b", "c")
+
+
+@query(f"""{_M}, n as (select label, count(*) faces from face group by label), s as (select label, count(*) // 2 sides from side group by label), p as (select label, count(*) vertices from point group by label)
+select label, vertices, cast(sides as bigint) sides, faces, cast(vertices - sides + faces as bigint) euler from n join s using (label) join p using (label)""")
+def mesh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cubes.counts(cubes.faces(fx.phantom(spark, sf_dir)))
+
+
+def _size_sql(sz: float, sy: float, sx: float, points: str) -> str:
+    """Areas and volumes of ``face`` over a table of points, rounded to whole cubic micrometres, so that the order of addition doesn't show."""
+    placed = ", ".join(f"max({c} / cast(1048576 as double) * {s}) filter (k = {i}) {p}_{c}" for i, p in enumerate("abc") for c, s in (("x", sx), ("y", sy), ("z", sz)))
+    u, w = [[f"({p}_{c} - a_{c})" for c in "xyz"] for p in "bc"]
+    n = [f"({u[1]} * {w[2]} - {u[2]} * {w[1]})", f"({u[2]} * {w[0]} - {u[0]} * {w[2]})", f"({u[0]} * {w[1]} - {u[1]} * {w[0]})"]
+    return f"""select label, count(*) triangles, round(sum(sqrt({" + ".join(f"{x} * {x}" for x in n)}) / 2), 3) mm2, round(sum((a_x * {n[0]} + a_y * {n[1]} + a_z * {n[2]}) / 6), 3) mm3
+from (select f.label, f.i, {placed} from (select label, i, unnest([a, b, c]) v, unnest([0, 1, 2]) k from face) f join {points} p on p.label = f.label and p.v = f.v group by f.label, f.i) group by label"""
+
+
+def _rounded(size: DataFrame) -> DataFrame:
+    return size.select("label", "triangles", F.round("mm2", 3).alias("mm2"), F.round("mm3", 3).alias("mm3"))
+
+
+@query(f"{P}, shown as (select * from v where label in (3, 9, 15)), {_mesh_sql('shown')} {_size_sql(SZ, 0.5, 0.5, 'point')}")
+def visible_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(mesh.mesh_size(cubes.surface(fx.phantom(spark, sf_dir), SZ, 0.5, 0.5, labels=[3, 9, 15])))
+
+
+_HIGH = 4 * 1048576
+_MOVED = ", ".join(f"cast(((max({c}) filter (own) + {_HIGH}) * count(*) filter (not own) * 50 + sum({c} + {_HIGH}) filter (not own) * 50) // (count(*) filter (not own) * 100) - {_HIGH} as bigint)" for c in "zyx")
+
+
+@query(f"""with recursive {fx.PHANTOM_SQL}, {_mesh_sql('v')}, near as (select label, a, b, false own from side union all select label, v, v, true from point),
+r(i, label, v, z, y, x) as (select 0, label, v, z, y, x from point union all select r.i + 1, n.label, n.a, {_MOVED} from r join near n on n.label = r.label and n.b = r.v where r.i < 15 group by r.i, n.label, n.a),
+done as (select label, v, z, y, x from r where i = 15) {_size_sql(SZ, 0.5, 0.5, 'done')}""")
 def smooth_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mesh.mesh_size(mesh.smooth(mesh.triangles(fx.phantom(spark, sf_dir), SZ, 0.5, 0.5, slab=6), level=1))
+    return _rounded(mesh.mesh_size(cubes.surface(fx.phantom(spark, sf_dir), SZ, 0.5, 0.5, level=1)))
+
+
+_BETWEEN = zspline.slices_after(D, 1)
+
+
+def _spline_sql() -> str:
+    """Weights (m, z, w) of the slices between, from the spline's linear system solved as a whole."""
+    w = mesh.spline_weights(D, _BETWEEN)
+    return ", ".join(f"({m}, {z}, cast('{float(w[m, z])!r}' as double))" for m in range(_BETWEEN) for z in range(D))
+
+
+@query(f"""{P}, w(m, z, w) as (values {_spline_sql()}) select label, cast(m as int) z, y, x from v join w using (z) where label > 0 group by label, m, y, x having sum(w) > {zspline.LEVEL}""")
+def interpolated_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zspline.interpolated(fx.phantom(spark, sf_dir), 1, D, slab=5, tile=16)

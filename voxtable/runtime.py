@@ -1,15 +1,19 @@
-"""Getting this package to where Python workers run."""
+"""Getting this package to where Python workers run, and tables to where all executors can read them."""
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_folders: list[str] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -28,3 +32,27 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(path))
         _shipped.add(app)
     return spark
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` as a table of the shared folder that ``spark.checkpoint.dir`` names (in local mode of a temporary one), read back: what took long is
+    computed once and survives lost executors.  The table goes when the driver ends."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _folders:
+            _folders.append(tempfile.mkdtemp(prefix="voxtable-"))
+            atexit.register(shutil.rmtree, _folders[0], ignore_errors=True)
+        folder = "file://" + _folders[0]
+    path = f"{folder.rstrip('/')}/voxtable-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has ended
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
