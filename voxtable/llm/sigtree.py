@@ -23,6 +23,7 @@ Tokens are 64-bit hashes.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -250,7 +251,7 @@ def ties(found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             maps = [np.frombuffer(m, np.uint64) for m in t.column(3).to_pylist()]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
             a, b = [], []
-            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+            for lo, hi in itertools.pairwise([*first.tolist(), len(key)]):
                 i, j = candidates(tree(folded(maps[lo:hi]), size[lo:hi], np.ones(hi - lo, bool)), percent)
                 label = list(range(hi - lo))
                 for x, y in zip(i.tolist(), j.tolist(), strict=True):
