@@ -116,6 +116,12 @@ def test_groups_of_odd_rows(spark, odd, none):
     assert neardup.groups(none).count() == 0
 
 
+def test_repeated_rows_are_kept_or_not_together(spark):
+    rows = [(1, "some text here"), (1, "some text here"), (2, "some text here"), (3, "another one"), (3, None)]
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True)]
+
+
 def test_groups_of_one_id_on_different_texts(spark):
     word = lambda k, i: f"w{k}x{i}"
     text = lambda k: [word(k, i) for i in range(80)]
@@ -125,7 +131,7 @@ def test_groups_of_one_id_on_different_texts(spark):
     assert len(got) == 24 and all(r["component_id"] == 1 for r in got)
     assert {r["doc_id"] for r in got if r["kept"]} == {1} and sum(r["kept"] for r in got) == 12
     again = neardup.groups(spark.createDataFrame([*rows, (1, rows[0][1])], "doc_id long, text string"), words=3, percent=85).collect()
-    assert len(again) == 25 and sum(r["kept"] for r in again) == 12  # a repeated row is no second one of its group
+    assert len(again) == 25 and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in again) and sum(r["kept"] for r in again) == 13
 
 
 def test_banding_misses_little():
@@ -328,6 +334,15 @@ def test_search_moves_fewer_entries_than_there_are(spark):
     assert counts["gathered"] <= 0.1 * everything and counts["collected"] < 0.2 * everything
 
 
+# Licences in one long text.
+
+
+def test_many_notices_in_one_text():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    found = scanner.scan("\n".join(f"{licenses.TEMPLATES[0][1]} part{i} of it" for i in range(4000)))
+    assert len(found) == 4000 and [f[2] for f in found] == list(range(0, 44_000, 11))
+
+
 # Pipeline.
 
 

@@ -79,6 +79,16 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("string").alias("text"))
 
 
+def named(name: str) -> Column:
+    """The column of that very name, dots and blanks in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs can clash."""
+    return F.struct(*map(named, df.columns))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

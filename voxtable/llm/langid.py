@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches, stretch, within_share
+from .common import small_batches, stretch, whole_row, within_share
 from .words import Spelling, tokens
 
 BUCKETS = 1 << 17
@@ -210,5 +211,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score), pa.array(sizes, pa.int64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", "n_words", *["row"] * keep])
 
     small_batches(docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), *[F.struct(*docs.columns).alias("row")] * keep)
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long" + f", row {docs.schema.simpleString()}" * keep)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), *[whole_row(docs).alias("row")] * keep)
+    out = T.StructType().add("doc_id", "long").add("held_out", "boolean").add("lang_pred", "string").add("score", "double").add("n_words", "long")
+    return rows.mapInArrow(run, out.add("row", docs.schema) if keep else out)

@@ -15,6 +15,7 @@ own results.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -119,10 +120,12 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple]:
         """The windows that stay, in order of place."""
-        words, kept = words_of(text), []
+        words, kept, starts = words_of(text), [], []
         for w in sorted(self.windows(words)):
-            if not any(w[4] <= k[5] + 1 and k[4] <= w[5] + 1 for k in kept):  # a bigram reaches one word further
-                kept.append(w)
+            at = bisect.bisect(starts, w[4])  # windows that stay lie apart, so only the neighbours can be met; a bigram reaches one word further
+            if (at == 0 or kept[at - 1][5] + 1 < w[4]) and (at == len(kept) or w[5] + 1 < kept[at][4]):
+                kept.insert(at, w)
+                starts.insert(at, w[4])
         return sorted(((w[2], w[3], w[4], w[5] - w[4] + 2, w[6], w[7], self.sizes[w[3]], -w[0], b" ".join(words[w[4] : w[5] + 2]).decode()) for w in kept), key=lambda r: r[2])
 
 

@@ -32,8 +32,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import settle, small_batches
+from .common import settle, small_batches, whole_row
 from .graph import components
 from .words import mix
 
@@ -110,8 +111,10 @@ def sketches(rows: DataFrame, words: int, bands: int, perms: int) -> DataFrame:
             )
 
     small_batches(rows)
-    carried = "".join(f", row {f.dataType.simpleString()}" for f in rows.schema.fields[3:])
-    return rows.mapInArrow(run, "doc_id long, key long, n long, set binary, bands array<long>" + carried)
+    out = T.StructType().add("doc_id", "long").add("key", "long").add("n", "long").add("set", "binary").add("bands", T.ArrayType(T.LongType()))
+    for f in rows.schema.fields[3:]:
+        out = out.add("row", f.dataType)
+    return rows.mapInArrow(run, out)
 
 
 def forest(sets: list[np.ndarray], percent: int, compared: int | None = None) -> list[tuple[int, int]]:
@@ -218,7 +221,7 @@ def _decide(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
         raise ValueError("percent must be from 50 to 100")
     bands, perms = banding(percent)
     rows = keyed(docs, id_col, text_col)
-    carried = keyed(docs, id_col, text_col, F.struct(*docs.columns).alias("row")) if keep else rows
+    carried = keyed(docs, id_col, text_col, whole_row(docs).alias("row")) if keep else rows
     sketched = settle(sketches(carried, words, bands, perms).withColumn("at", F.monotonically_increasing_id()))
     linkable = sketched.where("n > 0 and doc_id is not null")
     classes = linkable.groupBy("set").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -238,11 +241,13 @@ def _decide(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each input row."""
-    return _decide(docs, words, percent, id_col, text_col)[1].drop("at")
+    """(doc_id, n_shingles, component_id, kept), one row for each input row.  Kept is the smallest id of a component, in all rows that have it, and
+    rows without an id."""
+    decided = _decide(docs, words, percent, id_col, text_col)[1].drop("at")
+    return decided.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def first_rows(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``groups`` keeps.  The decision is each row's own, by its number, so ids may repeat."""
+    """One row of each component of ``docs``.  The decision is each row's own, by its number, so ids may repeat."""
     sketched, decided = _decide(docs, words, percent, id_col, text_col, keep=True)
     return sketched.select("at", "row").join(decided.where(~F.col("kept")).select("at"), "at", "left_anti").select("row.*")

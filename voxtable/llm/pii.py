@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, settle
+from .common import id_text, named, settle
 
 #: Kinds in their order.  The patterns are those of the contract, made safe for long runs: a class that cannot hold the next sign
 #: is matched possessively, and a match begins only where the run does or the last match ended.
@@ -197,7 +197,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rou
     good = patterns(seen, base_contexts(rows), rounds, confidence, support)
     hits = seen.select("doc_id", "_key", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
     hits = hits.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(KINDS.index("identifier")).alias("kind"), "end"))).alias("hits"))
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *([F.struct(*map(named, keep)).alias("row")] if keep else []))
     based = base(kept).withColumn("_key", F.xxhash64("text"))
     # The same plan at every size: hits grow with the corpus, so they are never sent to all executors.
     joined = based.join(hits.hint("merge"), based["doc_id"].eqNullSafe(hits["doc_id"]) & (based["_key"] == hits["_key"]), "left").drop(hits["doc_id"], hits["_key"])

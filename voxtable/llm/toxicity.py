@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_text, small_batches, stretch, within_share
+from .common import id_text, small_batches, stretch, whole_row, within_share
 from .words import Spelling, tokens
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -221,5 +222,8 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 
     names = [f"p_{link.name}" for link in chain.links]
     small_batches(docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *[F.struct(*docs.columns).alias("row")] * keep)
-    return rows.mapInArrow(run, ", ".join(["doc_id long", *[f"{n} double" for n in names], *[f"row {docs.schema.simpleString()}"] * keep]))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), *[whole_row(docs).alias("row")] * keep)
+    out = T.StructType().add("doc_id", "long")
+    for n in names:
+        out = out.add(n, "double")
+    return rows.mapInArrow(run, out.add("row", docs.schema) if keep else out)
