@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxtable.llm import langid, neardup, packing, pii, toxicity
-from voxtable.llm.common import settle, table
+from voxtable.llm.common import settle, table, whole_row
 from voxtable.llm.registry import ADDED, CATEGORIES, RANKS
 from voxtable.runtime import ship
 
@@ -48,10 +48,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data become their kind in brackets; no document goes."""
     ship(spark)
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    done = pii.redact(pii.find(docs.withColumn("_no_text", F.col("text").isNull()), keep=[*others, "_no_text"]))
-    fields = {"text": F.when(~F.col("row._no_text"), F.col("text")), "n_chars": F.length("text").cast("long")}
-    return done.select(*[fields.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    done = pii.redact(pii.find(docs.select("doc_id", "text", whole_row(docs).alias("whole")), keep=["whole"]))
+    whole = F.col("row.whole")
+    fields = {"text": F.when(whole.getField("text").isNotNull(), F.col("text")), "n_chars": F.length("text").cast("long")}
+    return done.select(*[fields.get(c, whole.getField(c)).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
