@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..operators import cubes, edits, geometry, history, mesh, raster, report, roi, stack, tracking, zspline
+from ..operators import cubes, edges, edits, geometry, history, mesh, raster, report, resample, roi, stack, tracking, zspline
 from ..schema import COLORS, GRAYS, OVERLAY_ALPHA, PRESETS, palette
 from ..sources import readers
 from ..streaming import editlog
@@ -490,6 +490,84 @@ def snap_nearest_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.snap(points, raster.gradient_edges(fx.phantom(spark, sf_dir), 100))
 
 
+# Edges and turned slices.
+
+
+def _image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phantom with its labels for grey levels, so that objects have borders to find."""
+    return fx.phantom(spark, sf_dir).withColumn("gray", F.col("label") * 12)
+
+
+_AROUND = {"l": (0, -1), "r": (0, 1), "u": (-1, 0), "d": (1, 0), "ul": (-1, -1), "ur": (-1, 1), "dl": (1, -1), "dr": (1, 1)}
+_CANNY = f"""with recursive {fx.PHANTOM_SQL}, i as (select z, y, x, label * 12 g from v),
+h as (select z, y, x, coalesce(lead(g) over a, g) - coalesce(lag(g) over a, g) st, coalesce(lag(g) over a, g) + 2 * g + coalesce(lead(g) over a, g) me from i window a as (partition by z, y order by x)),
+gr as (select z, y, x, coalesce(lag(st) over b, st) + 2 * st + coalesce(lead(st) over b, st) gx, coalesce(lead(me) over b, me) - coalesce(lag(me) over b, me) gy from h window b as (partition by z, x order by y)),
+mg as (select *, abs(gx) + abs(gy) m, abs(gx) ax, cast(abs(gy) as bigint) * 32768 ay from gr),
+nb as (select c.*, {", ".join(f"coalesce({k}.m, 0) m_{k}" for k in _AROUND)} from mg c {" ".join(f"left join mg {k} on {k}.z = c.z and {k}.y = c.y + {dy} and {k}.x = c.x + {dx}" for k, (dy, dx) in _AROUND.items())}),
+pix as (select z, y, x, m from nb where m > 50 and case when ay < ax * 13573 then m > m_l and m >= m_r when ay > ax * 13573 + ax * 65536 then m > m_u and m >= m_d
+  when (gx < 0) <> (gy < 0) then m > m_ur and m > m_dl else m > m_ul and m > m_dr end),
+comp(z, y, x, comp) using key (z, y, x) as (
+  select z, y, x, cast(y * 1048576 + x as bigint) from pix
+  union
+  select q.z, q.y, q.x, min(c.comp) from comp c join pix q on q.z = c.z and abs(q.y - c.y) <= 1 and abs(q.x - c.x) <= 1
+  join recurring.comp o on o.z = q.z and o.y = q.y and o.x = q.x where c.comp < o.comp group by q.z, q.y, q.x),
+e as (select z, y, x from comp where (z, comp) in (select (c.z, c.comp) from comp c join pix p on p.z = c.z and p.y = c.y and p.x = c.x where p.m > 150))"""
+
+
+@query(f"{_CANNY} select z, y, x from e")
+def canny_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.canny(_image(spark, sf_dir))
+
+
+@query(f"""{_CANNY}, p as (select c_custkey id, cast(c_custkey % 12 as int) z, cast(c_custkey * 7 % 48 as int) y, cast(c_custkey * 5 % 48 as int) x from customer),
+near as (select p.id, e.y ey, e.x ex, row_number() over (partition by p.id order by (e.y - p.y) * (e.y - p.y) + (e.x - p.x) * (e.x - p.x), e.y, e.x) n from p join e on e.z = p.z and e.y >= p.y - 7 and e.y < p.y + 7 and e.x >= p.x - 7 and e.x < p.x + 7)
+select p.id, p.z, p.y, p.x, coalesce(ey, p.y) sy, coalesce(ex, p.x) sx from p left join near on near.id = p.id and n = 1""")
+def snap_canny_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = fx.table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "cast(c_custkey % 12 as int) as z", "cast(c_custkey * 7 % 48 as int) as y", "cast(c_custkey * 5 % 48 as int) as x")
+    return raster.snap(points, edges.canny(_image(spark, sf_dir)))
+
+
+_TURNS = "select n_nationkey as seq, cast(n_nationkey % 9 as int) as z_start, cast(n_nationkey % 9 as int) + 1 as z_end, cast(n_nationkey % 5 as int) - 2 as dx, cast(n_nationkey % 7 as int) - 3 as dy, cast(n_nationkey * 18 - 90 as double) as angle_deg from nation"
+_UP = "cast(({v} + 65535) // 65536 + ((({v} + 65535) // 65536) - {n}) % 2 as int)"
+_WEIGHTS = "case {k} when 0 then -{f} * 65536 + 512 * {f} * {f} - {f} * {f} * {f} when 1 then 16777216 - 512 * {f} * {f} + {f} * {f} * {f} when 2 then {f} * 65536 + 256 * {f} * {f} - {f} * {f} * {f} else -256 * {f} * {f} + {f} * {f} * {f} end"
+
+
+def _turned_sql(grown: bool) -> str:
+    """``turned`` (z, y, x, gray, label), on the canvas of the largest turned box or on the image's own."""
+    rows, cols = (_UP.format(v=f"max(abs(t.{a}) * {H} + abs(t.{b}) * {W})", n=n) for a, b, n in (("c", "s", H), ("s", "c", W)))
+    canvas = f"select greatest({H}, {rows}) r, greatest({W}, {cols}) c from t" if grown else f"select {H} r, {W} c"
+    return f"""moves as ({_TURNS}), t as (select z, unnest(arg_max(struct_pack(dx := dx, dy := dy, c := cast(round(cos(radians(angle_deg)) * 65536) as bigint), s := cast(round(sin(radians(angle_deg)) * 65536) as bigint)), seq)) from moves, range(0, {D}) r(z) where r.z between z_start and z_end group by z),
+canvas as ({canvas}),
+aim as (select z.z, cast(gy as int) y, cast(gx as int) x, 2 * (gx - coalesce(dx, 0)) + 1 - canvas.c u, 2 * (gy - coalesce(dy, 0)) + 1 - canvas.r v, coalesce(t.c, 65536) c, coalesce(t.s, 0) s from (select distinct z from v) z left join t on t.z = z.z, canvas, range(0, 200) a(gy), range(0, 200) b(gx) where gy < canvas.r and gx < canvas.c),
+src as (select z, y, x, c * u + s * v + {W * 65536} sx, c * v - s * u + {H * 65536} sy from aim),
+fit as (select z, y, x, sx, sy, (sx - 65536 + 131072) // 131072 - 1 bx, (sy - 65536 + 131072) // 131072 - 1 by_ from src where sx >= 0 and sx < {W * 131072} and sy >= 0 and sy < {H * 131072}),
+part as (select z, y, x, bx, by_, (sx - 65536 - bx * 131072) // 512 fx, (sy - 65536 - by_ * 131072) // 512 fy from fit),
+mix as (select p.z, p.y, p.x, sum(cast(v.gray as hugeint) * ({_WEIGHTS.format(k="i", f="fy")}) * ({_WEIGHTS.format(k="j", f="fx")})) total from part p, range(0, 4) a(i), range(0, 4) b(j), v where v.z = p.z and v.y = least(greatest(by_ + i - 1, 0), {H - 1}) and v.x = least(greatest(bx + j - 1, 0), {W - 1}) group by p.z, p.y, p.x),
+turned as (select src.z, src.y, src.x, cast(case when m.total is null then 255 when m.total <= 0 then 0 else least(m.total // 281474976710656, 255) end as int) gray, coalesce(v.label, 0) label
+  from src left join mix m on m.z = src.z and m.y = src.y and m.x = src.x left join fit f on f.z = src.z and f.y = src.y and f.x = src.x left join v on v.z = f.z and v.y = f.sy // 131072 and v.x = f.sx // 131072)"""
+
+
+@query(f"{P}, {_turned_sql(True)} select z, y, x, gray, label from turned")
+def rotate_bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.rotate(fx.phantom(spark, sf_dir), _turns(spark, sf_dir), H, W)
+
+
+@query(f"""{P}, {_turned_sql(False)}, s as (select 0 as version, z, gray, label from v union all select 1, z, gray, label from turned where z in (select z from t) union all select 1, z, gray, label from v where z not in (select z from t))
+select version, z, sum(gray) gray, sum(label) label from s group by version, z""".replace("sum(gray) gray, sum(label) label", "cast(sum(gray) as bigint) gray, cast(sum(label) as bigint) label"))
+def rotate_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = fx.phantom(spark, sf_dir).withColumn("version", F.lit(0)).select("version", "z", "y", "x", "gray", "label")
+    versions = resample.applied(first, _turns(spark, sf_dir), H, W, 1)
+    states = [resample.current(versions, n).groupBy("z").agg(F.sum("gray").alias("gray"), F.sum("label").alias("label")).select(F.lit(n).alias("version"), "z", "gray", "label") for n in (0, 1)]
+    return states[0].unionByName(states[1])
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A move for each nation, at angles from -90 to 342 degrees; of several on a slice the last holds."""
+    k = F.col("n_nationkey")
+    cols = [k.alias("seq"), (k % 9).cast("int").alias("z_start"), ((k % 9) + 1).cast("int").alias("z_end"), ((k % 5) - 2).cast("int").alias("dx"), ((k % 7) - 3).cast("int").alias("dy"), (k * 18 - 90).cast("double").alias("angle_deg")]
+    return fx.table(spark, sf_dir, "nation").select(*cols)
+
+
 # Regions, history, tracking, stream and meshes.
 
 _CATALOG_SQL = "cat as (select p_brand as task, p_name as roi from part)"
