@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import settle
+from .raster import _label_components
+
 #: (image or None, box x0 y0 x1 y1, frame) -> the object's (y, x) pixels, as two arrays; None ends the track.
 Predictor = Callable[[object, tuple[int, int, int, int], int], tuple[np.ndarray, np.ndarray] | None]
 MASKS = "obj_id long, direction string, z int, y int, x int"
@@ -50,6 +53,85 @@ def track(prompts: DataFrame, predictor: Predictor = box_predictor, frames: Data
     return asked.groupBy("obj_id").applyInPandas(run, MASKS)
 
 
+#: (image, the mask of the frame before or the filled box, frame) -> the mask of this frame; None or an empty one ends the track.
+Follower = Callable[[np.ndarray, np.ndarray, int], np.ndarray | None]
+_FOLLOWED = "obj_id long, direction string, z int, z_end int, go boolean, at array<int>"
+
+
+def frames_of(voxels: DataFrame, height: int, width: int) -> DataFrame:
+    """Frames (z, height, width, data) of the grey levels of voxels; a pixel without a row is 0."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((height, width), np.uint8)
+        image[pdf["y"], pdf["x"]] = pdf["gray"]
+        return pd.DataFrame({"z": [np.int32(pdf["z"].iloc[0])], "height": [height], "width": [width], "data": [image.tobytes()]})
+
+    return voxels.select("z", "y", "x", "gray").groupBy("z").applyInPandas(run, "z int, height int, width int, data binary")
+
+
+def gray_flood(low: int, high: int) -> Follower:
+    """Parts of the frame with grey from ``low`` to ``high`` (joined by sides or corners) that the mask before touches."""
+
+    def follow(image: np.ndarray, before: np.ndarray, frame: int) -> np.ndarray:
+        y, x = np.nonzero((image >= low) & (image <= high))
+        part = _label_components(y, x)
+        out = np.zeros(image.shape, bool)
+        mine = np.isin(part, part[before[y, x]])
+        out[y[mine], x[mine]] = True
+        return out
+
+    return follow
+
+
+def propagate(prompts: DataFrame, frames: DataFrame, follower: Follower, span: int = 16, lanes: int = 1) -> DataFrame:
+    """MASKS of prompts (obj_id, x0, y0, x1, y1, z_start, z_end, z_box) whose mask is carried from frame to frame: the box, filled, is what the first
+    frame gets, every further frame gets the mask before it, and a track ends where its mask vanishes or a frame is missing.
+
+    Frames come in ranges of ``span``; a task holds one range and the objects that enter it, dealt to ``lanes``, so a frame is never copied to each
+    object.  Masks leave a range in one direction and enter the next in the round after, so there are as many rounds as a track crosses ranges; each
+    round's masks are written as a table."""
+    way = F.explode(F.array(F.struct(F.lit("forward").alias("direction"), F.col("z_end").alias("to")), F.struct(F.lit("backward").alias("direction"), F.col("z_start").alias("to")))).alias("w")
+    ways = prompts.select("obj_id", "x0", "y0", "x1", "y1", F.col("z_box").cast("int").alias("z"), way)
+    live = ways.select("obj_id", "w.direction", "z", F.col("w.to").cast("int").alias("z_end"), F.lit(True).alias("go"), F.array(*[F.col(c).cast("int") for c in ("y0", "x0", "y1", "x1")]).alias("at"), F.lit(True).alias("box"))
+    lane = F.pmod(F.xxhash64("obj_id"), F.lit(lanes)).cast("int")
+    dealt = frames.select(F.floor(F.col("z") / span).cast("int").alias("_r"), "z", "height", "width", "data", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_lane"))
+
+    def run(objects: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        images = {r.z: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width) for r in have.itertuples()} if len(objects) else {}
+        out = []
+        for o in objects.itertuples():
+            step, z, before, at = 1 if o.direction == "forward" else -1, o.z, None, np.asarray(o.at)
+            while (o.z_end - z) * step >= 0 and z // span == o.range:
+                if (image := images.get(z)) is None:
+                    break
+                if before is None:
+                    before = np.zeros(image.shape, bool)
+                    if o.box:
+                        before[max(at[0], 0) : max(at[2], 0), max(at[1], 0) : max(at[3], 0)] = True
+                    else:
+                        before.ravel()[at] = True
+                before = follower(image, before, z)
+                if before is None or not before.any():
+                    break
+                out.append((o.obj_id, o.direction, z, o.z_end, False, np.flatnonzero(before).astype(np.int32)))
+                z += step
+            else:
+                if (o.z_end - z) * step >= 0 and before is not None:
+                    out.append((o.obj_id, o.direction, z, o.z_end, True, np.flatnonzero(before).astype(np.int32)))
+        return pd.DataFrame(out, columns=["obj_id", "direction", "z", "z_end", "go", "at"])
+
+    done = None
+    while True:
+        entering = live.where("go").withColumn("_r", F.floor(F.col("z") / span).cast("int")).withColumn("_lane", lane).withColumn("range", F.col("_r"))
+        step = settle(entering.groupBy("_r", "_lane").cogroup(dealt.groupBy("_r", "_lane")).applyInPandas(run, _FOLLOWED))
+        done = step if done is None else done.unionByName(step)
+        if step.where("go").isEmpty():
+            break
+        live = step.withColumn("box", F.lit(False))
+    widths = frames.select("z", "width")
+    return done.where("not go").join(widths, "z").select("obj_id", "direction", "z", "width", F.explode("at").alias("at")).select("obj_id", "direction", "z", F.expr("cast(at div width as int)").alias("y"), (F.col("at") % F.col("width")).alias("x"))
+
+
 def merge_directions(masks: DataFrame, winner: str = "forward") -> DataFrame:
     """(obj_id, z, y, x): where both directions give a frame, the winner's mask alone (forward on the desktop, backward on the web)."""
     first = F.max(F.col("direction") == winner).over(Window.partitionBy("obj_id", "z"))

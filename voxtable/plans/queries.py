@@ -647,15 +647,39 @@ _PROMPTS = "select s_suppkey obj_id, cast(s_suppkey * 3 % 40 as int) x0, cast(s_
 @query(f"""{P}, q as ({_PROMPTS}), t as (select z, y, x, max(obj_id) o from v join q on v.z between z_start and z_end and v.y >= y0 and v.y < y1 and v.x >= x0 and v.x < x1 group by z, y, x),
 w as (select v.z, cast(coalesce((o - 1) % 20 + 1, label) as int) label from v left join t using (z, y, x)) select z, label, count(*) n from w group by z, label""")
 def track_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = fx.table(spark, sf_dir, "supplier").selectExpr(
-        "s_suppkey as obj_id", "cast(s_suppkey * 3 % 40 as int) as x0", "cast(s_suppkey * 5 % 40 as int) as y0", "cast(s_suppkey * 3 % 40 as int) + 6 as x1", "cast(s_suppkey * 5 % 40 as int) + 5 as y1",
-        "cast(s_suppkey % 3 as int) as z_start", "cast(s_suppkey % 3 as int) + 6 as z_end", "cast(s_suppkey % 3 as int) + 2 as z_box",
-    )
+    prompts = _prompts(spark, sf_dir)
     masks = tracking.merge_directions(tracking.track(prompts))
     order = prompts.selectExpr("obj_id", "obj_id as seq", "cast((obj_id - 1) % 20 + 1 as int) as label")
     return _counted(tracking.write_labels(fx.phantom(spark, sf_dir), masks, order))
 
 
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey as obj_id", "cast(s_suppkey * 3 % 40 as int) as x0", "cast(s_suppkey * 5 % 40 as int) as y0", "cast(s_suppkey * 3 % 40 as int) + 6 as x1", "cast(s_suppkey * 5 % 40 as int) + 5 as y1",
+        "cast(s_suppkey % 3 as int) as z_start", "cast(s_suppkey % 3 as int) + 6 as z_end", "cast(s_suppkey % 3 as int) + 2 as z_box",
+    )
+
+
+_FLOOD = f"""with recursive {fx.PHANTOM_SQL}, q as ({_PROMPTS}), pix as (select z, y, x from v where label between 1 and 10),
+comp(z, y, x, comp) using key (z, y, x) as (
+  select z, y, x, cast(y * 1048576 + x as bigint) from pix
+  union
+  select p.z, p.y, p.x, min(c.comp) from comp c join pix p on p.z = c.z and abs(p.y - c.y) <= 1 and abs(p.x - c.x) <= 1
+  join recurring.comp o on o.z = p.z and o.y = p.y and o.x = p.x where c.comp < o.comp group by p.z, p.y, p.x),
+touch as (select distinct a.z, a.comp, b.z z2, b.comp comp2 from comp a join comp b on b.y = a.y and b.x = a.x and abs(b.z - a.z) = 1),
+ways as (select obj_id, unnest([1, -1]) dir, unnest([z_end, z_start]) z_to, z_box, x0, y0, x1, y1 from q),
+track(obj_id, dir, z_to, z, comp) as (
+  select distinct obj_id, dir, z_to, c.z, c.comp from ways join comp c on c.z = z_box and c.y >= y0 and c.y < y1 and c.x >= x0 and c.x < x1
+  union
+  select t.obj_id, t.dir, t.z_to, n.z2, n.comp2 from track t join touch n on n.z = t.z and n.comp = t.comp and n.z2 = t.z + t.dir where (t.z_to - n.z2) * t.dir >= 0)"""
+
+
+@query(f"{_FLOOD} select obj_id, case dir when 1 then 'forward' else 'backward' end direction, c.z, c.y, c.x from track t join comp c on c.z = t.z and c.comp = t.comp")
+def track_flood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = tracking.frames_of(_image(spark, sf_dir), H, W)
+    return tracking.propagate(_prompts(spark, sf_dir), frames, tracking.gray_flood(12, 120), span=4)
+
+
 _EDITS = "select event_id seq, case when event_id % 3 > 0 then cast(event_id % 12 as int) end z, case when event_id % 4 = 3 then 'delete' else 'convert' end kind, cast(event_id * 7 % 20 + 1 as int) src, cast(event_id * 11 % 20 + 1 as int) dst from events"
 
 
