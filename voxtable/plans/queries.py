@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..operators import cubes, edges, edits, geometry, history, mesh, raster, report, resample, roi, stack, tracking, zspline
+from ..operators import cubes, edges, edits, geometry, history, layers, mesh, raster, report, resample, roi, stack, tracking, zspline
 from ..schema import COLORS, GRAYS, OVERLAY_ALPHA, PRESETS, palette
 from ..sources import readers
 from ..streaming import editlog
@@ -635,6 +635,17 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").selectExpr("user_id as session", "event_id as seq", "case when event_id % 5 = 3 then 'undo' when event_id % 7 = 4 then 'redo' else 'edit' end as action", "event_id % 12 as z", "cast(event_id % 20 + 1 as int) as label")
 
 
+_ACTS = """case event_type when 'signup' then case when event_id % 3 = 0 then 'clear_all' else 'edit_all' end when 'error' then case when event_id % 4 = 0 then 'redo' else 'undo' end
+  when 'view' then case when event_id % 2 = 0 then 'draw' else 'undo' end when 'purchase' then case when event_id % 5 = 0 then 'clear' else 'redo_line' end else 'edit' end"""
+
+
+@query()
+def layered_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user's events leave on twelve slices, read as edits of one slice or of all, lines, undo and redo."""
+    log = fx.table(spark, sf_dir, "events").selectExpr("user_id as session", "event_id as seq", f"{_ACTS} as action", "cast(event_id * 7 % 12 as int) as z")
+    return layers.left(log)
+
+
 @query("select event_id version, event_id % 12 as key, value from events where event_id <= 500 qualify row_number() over (partition by event_id % 12 order by event_id desc) = 1")
 def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots = fx.table(spark, sf_dir, "events").selectExpr("event_id as version", "event_id % 12 as key", "value")
