@@ -56,12 +56,12 @@ def scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("z", "y", "x").agg(F.max("label").alias("label"), F.max("gray").alias("gray"))
 
 
-def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(z, path_id, seq, label, pts): one quadrilateral for each part; they overlap."""
+def polygons(spark: SparkSession, sf_dir: str, z: str = "p_partkey % 12") -> DataFrame:
+    """(z, path_id, seq, label, pts): one quadrilateral for each part; they overlap.  ``z``: the slice of each, as an expression."""
     corner = "array(struct(cast({0} as double) as x, cast({1} as double) as y), struct(cast({2} as double) as x, cast({1} + 3 as double) as y), struct(cast({2} - 2 as double) as x, cast({3} as double) as y), struct(cast({0} + 1 as double) as x, cast({3} - 4 as double) as y))"
     x0, y0 = "(p_partkey * 7 % 24)", "(p_partkey * 11 % 24)"
     return table(spark, sf_dir, "part").selectExpr(
-        "cast(p_partkey % 12 as int) as z", "p_partkey as path_id", "cast(p_partkey as int) as seq", "cast(p_partkey % 20 as int) + 1 as label",
+        f"cast({z} as int) as z", "p_partkey as path_id", "cast(p_partkey as int) as seq", "cast(p_partkey % 20 as int) + 1 as label",
         corner.format(x0, y0, f"({x0} + 12 + p_partkey % 9)", f"({y0} + 14 + p_partkey % 7)") + " as pts",
     )
 

@@ -11,12 +11,11 @@ POINTS = "array<struct<x:double,y:double>>"
 _NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 
 
-def rasterise(paths: DataFrame, height: int, width: int) -> DataFrame:
-    """(path_id, z, y, x, label) of pixel centres inside each closed path, by the even-odd rule.
+def spans(paths: DataFrame, height: int, width: int) -> DataFrame:
+    """(path_id, z, y, x0, x1, label): runs of pixel centres inside each closed path, ends included, by the even-odd rule.
 
-    Edges are laid out over the rows they cross, crossings of a row are paired, and the spans between pairs are laid out: work in
-    proportion to edges and covered pixels, no join of pixels with paths.  ``paths``: (path_id, z, label, pts); several
-    rows of one path_id are its subpaths.
+    Edges are laid out over the rows they cross, and crossings of a row are paired: work in proportion to edges and rows, no join of pixels with
+    paths.  ``paths``: (path_id, z, label, pts); several rows of one path_id are its subpaths.
     """
     pts = F.col("pts")
     edges = paths.where(F.size("pts") > 2).select("path_id", "z", "label", F.posexplode("pts").alias("i", "a"), pts).select("path_id", "z", "label", "a", F.expr("pts[(i + 1) % size(pts)]").alias("b")).where("a.y <> b.y")
@@ -27,7 +26,12 @@ def rasterise(paths: DataFrame, height: int, width: int) -> DataFrame:
     row = Window.partitionBy("path_id", "z", "y").orderBy("cx")
     paired = cross.withColumn("n", F.row_number().over(row)).withColumn("to", F.lead("cx").over(row)).where("n % 2 = 1 and to is not null")
     x0, x1 = F.greatest(F.ceil(F.col("cx") - 0.5), F.lit(0)).cast("int"), F.least(F.ceil(F.col("to") - 0.5) - 1, F.lit(width - 1)).cast("int")
-    return paired.where(x0 <= x1).select("path_id", "z", "y", F.explode(F.sequence(x0, x1)).alias("x"), "label")
+    return paired.where(x0 <= x1).select("path_id", "z", "y", x0.alias("x0"), x1.alias("x1"), "label")
+
+
+def rasterise(paths: DataFrame, height: int, width: int) -> DataFrame:
+    """(path_id, z, y, x, label) of pixel centres inside each closed path: its ``spans`` laid out."""
+    return spans(paths, height, width).select("path_id", "z", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")
 
 
 def parse_points(text: Column) -> Column:
@@ -130,11 +134,13 @@ def keep_large(paths: DataFrame, threshold: float) -> DataFrame:
     return paths.where(shoelace(F.col("pts")) >= threshold)
 
 
-def intersections(cover: DataFrame) -> DataFrame:
-    """(z, a, b, pixels) of paths that share pixels.  A pixel's paths are paired where they meet, so no slice is joined with itself."""
-    sets = cover.groupBy("z", "y", "x").agg(F.array_sort(F.collect_set("path_id")).alias("ids")).where(F.size("ids") > 1)
-    pairs = sets.select("z", F.posexplode("ids").alias("i", "a"), "ids").select("z", "a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
-    return pairs.groupBy("z", "a", "b").agg(F.count("*").alias("pixels"))
+def intersections(runs: DataFrame) -> DataFrame:
+    """(z, a, b, pixels) of paths that share pixels, from their ``spans``: two runs that overlap on a line meet once and add their common
+    length, so pixels are neither laid out nor gathered."""
+    one = runs.select("z", "y", F.col("path_id").alias("a"), "x0", "x1")
+    two = runs.select("z", "y", F.col("path_id").alias("b"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"))
+    met = one.join(two, ["z", "y"]).where("a < b and x0 <= _x1 and _x0 <= x1")
+    return met.groupBy("z", "a", "b").agg(F.sum(F.least("x1", "_x1") - F.greatest("x0", "_x0") + 1).cast("long").alias("pixels"))
 
 
 def recolored(first: DataFrame, second: DataFrame, labels: int = 20) -> DataFrame:
