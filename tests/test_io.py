@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxtable import fixtures as fx
-from voxtable.operators import edits, mesh, report, stack, tracking
+from voxtable.operators import edits, geometry, mesh, report, stack, tracking
 from voxtable.plans.queries import AREA, SZ
 from voxtable.schema import palette
 from voxtable.sinks import writers
@@ -130,6 +130,11 @@ def test_masks_and_svg(spark, tmp_path):
     assert row["key"] == "0007" and bytes(row["data"]) == m.tobytes()
     shapes = readers.svg_paths(spark, str(tmp_path)).orderBy("seq").collect()
     assert [(r["label"], r["kind"], r["z"], r["width"]) for r in shapes] == [(1, "polygon", 1, 10.0), (2, "path", 1, 10.0)]
+    # A view of 10 by 10 on an image of 20 rows and 40 columns.
+    paths = readers.mask_paths(readers.svg_paths(spark, str(tmp_path)), spark.createDataFrame([(1, 20, 40), (2, 5, 5)], "z int, height int, width int"))
+    assert {r["label"]: (r["pts"][1]["x"], r["pts"][2]["y"]) for r in paths.collect()} == {1: (16.0, 6.0), 2: (16.0, 8.0)}
+    laid = {(r["y"], r["x"]) for r in geometry.rasterise(paths, 20, 40).where("label = 1").collect()}
+    assert laid == {(y, x) for y in range(2, 6) for x in range(4, 16)}
 
 
 def test_pictures_and_meshes(spark, tmp_path):

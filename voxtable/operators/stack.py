@@ -100,7 +100,9 @@ def normalise(voxels: DataFrame, value: str = "gray") -> DataFrame:
     """(z, y, x, norm): each slice stretched to 0..255 and cut to whole numbers.  The ends come from an aggregation (one row a slice) joined
     back, which combines before the shuffle where a window would sort whole slices."""
     ends = voxels.groupBy("z").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    stretched = F.floor((F.col(value) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) + F.lit(1e-8)) * 255).cast("int")
+    # Single precision throughout, as the readers have it: a quotient of doubles, rounded once, is that of singles.
+    share = ((F.col(value) - F.col("_lo")).cast("float") / ((F.col("_hi") - F.col("_lo")).cast("float") + F.lit(1e-8).cast("float"))).cast("float")
+    stretched = F.floor(share * F.lit(255).cast("float")).cast("int")
     return voxels.join(ends, "z").select("z", "y", "x", stretched.alias("norm"))
 
 

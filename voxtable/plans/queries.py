@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import cubes, edges, edits, geometry, history, layers, mesh, raster, report, resample, roi, stack, tracking, zspline
 from ..schema import COLORS, GRAYS, OVERLAY_ALPHA, PRESETS, palette
+from ..runtime import fresh_folder
+from ..sinks import writers
 from ..sources import readers
 from ..streaming import editlog
 
@@ -112,6 +114,29 @@ def _rois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.memberships(spark, sf_dir).select("z", "y", "x", F.concat(F.lit("roi"), F.col("label").cast("string")).alias("roi"))
 
 
+# Files: slices written from a table and read back.
+
+
+@query(f"{P} select z, " + ", ".join(f"count(*) filter (label = {i}) * {AREA} as obj_{i}" for i in range(1, 21)) + " from v group by z")
+def measured_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas by slice of label masks that were saved as PNG files in a shared folder."""
+    folder = fresh_folder(spark)
+    writers.save(writers.pictures(fx.phantom(spark, sf_dir), H, W, ["label"]), folder)
+    masks, _ = readers.label_masks(spark, folder)
+    return report.slice_areas_wide(readers.voxels(masks.withColumn("z", F.col("key").cast("int") - 1), "label"), AREA)
+
+
+@query(f"{P} select z, sum(label * 12) total, max(label * 12) most, count(*) n from v group by z".replace("sum(label * 12) total", "cast(sum(label * 12) as bigint) total"))
+def stacked_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grey levels by slice of pictures saved in descending order and read back as a stack, which runs the other way."""
+    folder = fresh_folder(spark)
+    image = _image(spark, sf_dir)
+    writers.save(writers.pictures(image, H, W, ["gray"], "slice{}.png", descending=True), folder)
+    slices, _ = readers.slices(spark, folder)
+    gray = readers.voxels(slices).groupBy("z").agg(F.sum("gray").alias("total"), F.max("gray").alias("most"), F.count("*").alias("n"))
+    return gray.withColumn("z", (F.lit(D - 1) - F.col("z")).cast("int"))
+
+
 # Predicates and edits.
 
 _COUNTED = "select z, label, count(*) as n from v group by z, label"
@@ -387,7 +412,7 @@ def neighbor_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.neighbor_overlay(fx.scatter(spark, sf_dir))
 
 
-@query(f"with {fx.SCATTER_SQL} select z, y, x, cast(floor((gray - min(gray) over (partition by z)) / ((max(gray) over (partition by z) - min(gray) over (partition by z)) + cast(1e-8 as double)) * 255) as int) norm from s")
+@query(f"with {fx.SCATTER_SQL} select z, y, x, cast(floor(cast(cast(cast(gray - min(gray) over (partition by z) as float) as double) / cast(cast(max(gray) over (partition by z) - min(gray) over (partition by z) as float) + cast(1e-8 as float) as double) as float) * cast(255 as float)) as int) norm from s")
 def normalize_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.normalise(fx.scatter(spark, sf_dir))
 

@@ -34,10 +34,9 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` as a table of the shared folder that ``spark.checkpoint.dir`` names (in local mode of a temporary one), read back: what took long is
-    computed once and survives lost executors.  The table goes when the driver ends."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder in the one that ``spark.checkpoint.dir`` names, which driver and executors share (in local mode in a temporary one).  It goes when the
+    driver ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -47,9 +46,15 @@ def settle(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, _folders[0], ignore_errors=True)
         folder = "file://" + _folders[0]
     path = f"{folder.rstrip('/')}/voxtable-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` as a table in a fresh folder, read back: what took long is computed once and survives lost executors."""
+    path = fresh_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import nearest_label, parse_color
+from ..operators.geometry import parse_points, parse_subpaths, scale_points
 from ..operators.stack import mask_keys, natural_key, slice_key, slice_position, z_spacing
+from ..runtime import settle
 from ..schema import IMAGE_SUFFIXES
 from . import codecs
 
@@ -80,6 +82,7 @@ def slices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         alike = F.regexp_replace("path", "^([a-z]+):/+", "$1:/").alias("_path")  # the two sources write local paths differently
         lost = pictures.select("path", alike).join(images.select(alike), "_path", "left_anti")
         read = read.unionByName(images).unionByName(lost.selectExpr("path", "0 as part", "cast(null as int) as height", "cast(null as int) as width", "cast(null as binary) as data", "cast(null as string) as tags", "'not a picture that can be read' as error"))
+    read = settle(read)  # decoded once, for places, pixels and rejects
     name = F.element_at(F.split("path", "/"), -1)
     z = F.row_number().over(Window.orderBy(natural_key(name), name, "part")) - 1
     places = read.where("error is null").select("path", "part").withColumn("z", z.cast("int")).withColumn("key", slice_key(F.col("z") + 1))
@@ -157,7 +160,17 @@ def svg_paths(spark: SparkSession, path: str) -> DataFrame:
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.svg").load(path).withColumn("name", F.element_at(F.split("path", "/"), -1))
     shapes = mask_keys(found).select("key", "content").mapInPandas(run, "key string, seq int, label int, kind string, d string, width double, height double")
-    return shapes.withColumn("z", F.col("key").cast("int") - 1).withColumn("path_id", F.col("z").cast("long") * 1_000_000 + F.col("seq"))
+    return shapes.withColumn("z", F.col("key").cast("int") - 1).withColumn("path_id", F.shiftleft(F.col("z").cast("long"), 32) + F.col("seq"))
+
+
+def mask_paths(shapes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Paths (path_id, z, seq, label, pts), one row a subpath, of SVG shapes in pixels of their images (z, height, width): a view of another size than
+    its image is scaled to it, in each direction for itself; without a view's size, units are pixels.  What ``geometry.rasterise`` takes."""
+    image = sizes.select("z", F.col("height").alias("_h"), F.col("width").alias("_w"))
+    parts = F.when(F.col("kind") == "path", parse_subpaths(F.col("d"))).otherwise(F.array(parse_points(F.col("d"))))
+    laid = shapes.join(image, "z").withColumn("pts", F.explode(parts))
+    fx, fy = (F.when(F.col(view) > 0, F.col(size) / F.col(view)).otherwise(1.0) for view, size in (("width", "_w"), ("height", "_h")))
+    return laid.select("path_id", "z", "seq", "label", scale_points(F.col("pts"), fx, fy).alias("pts"))
 
 
 def parse_svg(content: bytes) -> list[tuple[int, int, str, str, float | None, float | None]]:
