@@ -1,7 +1,9 @@
 """Files in and out, and the edit stream."""
 
 import gzip
+import io
 import struct
+import zipfile
 
 import numpy as np
 import pytest
@@ -106,6 +108,27 @@ def test_nrrd_and_nifti():
     assert down[2, 2] == -2 and down[2, 3] == 3 + 2 * 2 and down[1, 3] == 2 + 3 * 0.5
 
 
+def test_archives_and_detached_headers(spark, tmp_path):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for i in (2, 10, 1):
+            z.writestr(f"series/s{i}.dcm", dicom(np.arange(24).reshape(4, 6) * i, i))
+        z.writestr("series/s5.dcm", b"\0" * 128 + b"DICM broken")
+        z.writestr("readme.txt", "no picture")
+    (tmp_path / "scan.zip").write_bytes(data.getvalue())
+    (tmp_path / "torn.zip").write_bytes(data.getvalue()[:200])
+    values = RNG.integers(0, 2000, (3, 4, 5)).astype("<i2")
+    (tmp_path / "body.raw").write_bytes(values.tobytes())
+    for name, body in (("volume", "body.raw"), ("lost", "nothing.raw")):
+        (tmp_path / f"{name}.nhdr").write_text(f"NRRD0004\ntype: short\ndimension: 3\nsizes: 5 4 3\nencoding: raw\ndata file: {body}\nendian: little\n")
+    slices, rejects = readers.slices(spark, str(tmp_path))
+    rows = slices.orderBy("z").collect()
+    assert [r["path"].rpartition("/")[2] for r in rows] == ["s1.dcm", "s2.dcm", "s10.dcm", *["volume.nhdr"] * 3] and "scan.zip!/series/s1.dcm" in rows[0]["path"]
+    for r, want in zip(rows[3:], values, strict=True):
+        assert bytes(r["data"]) == codecs.stretch(want).tobytes()
+    assert {r["path"].rpartition("/")[2] for r in rejects.collect()} == {"s5.dcm", "torn.zip", "lost.nhdr"}
+
+
 def test_volume_header(spark, tmp_path):
     text = writers.volinfo_csv(10, 20, 30, 0.5, 0.25, 2.0)
     (tmp_path / "v.csv").write_text(text)

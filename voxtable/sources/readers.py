@@ -10,6 +10,8 @@ import csv
 import io
 import json
 import xml.etree.ElementTree as ET
+import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +29,49 @@ from . import codecs
 _DECODED = "path string, part int, height int, width int, data binary, tags string, error string"
 
 
+_FILES = "path string, content binary"
+_DATA_FILE = r"(?im)^data ?file:[ \t]*([^\r\n]+?)[ \t]*\r?$"
+
+
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files in ZIP archives, one at a time; an archive that cannot be opened, and a member that cannot be unpacked, stay as they are."""
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            try:
+                archive = zipfile.ZipFile(io.BytesIO(content))
+            except zipfile.BadZipFile:
+                yield pd.DataFrame({"path": [path], "content": [content]})
+                continue
+            for info in archive.infolist():
+                if not info.is_dir():
+                    try:
+                        data = archive.read(info)
+                    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError):
+                        data = b""
+                    yield pd.DataFrame({"path": [f"{path}!/{info.filename}"], "content": [data]})
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """binaryFile rows of a folder with ``name``, those of a known suffix or with DICOM content."""
-    found = spark.read.format("binaryFile").load(path)
+    """(path, name, content) of a folder's files of a known suffix or with DICOM content.
+
+    Of ZIP archives the members are files, named ``archive!/member``; each archive is unpacked where it is read.  An NRRD header that names a data
+    file gets that file's bytes, by a join on the place that it names; where the file is missing it stays without data, which no decoder takes."""
+    read = spark.read.format("binaryFile").load(path).select("path", "content")
+    zipped = F.lower("path").endswith(".zip")
+    found = read.where(~zipped).unionByName(read.where(zipped).mapInPandas(_members, _FILES))
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     head = F.substring("content", 1, 132)
     sniffed = (F.substring(head, 129, 4) == F.lit(b"DICM")) | F.substring(head, 1, 2).isin(b"\x02\x00", b"\x08\x00", b"\x10\x00")
-    return found.withColumn("name", name).where(suffix.isin(*IMAGE_SUFFIXES) | sniffed)
+    known = found.withColumn("name", name).where(suffix.isin(*IMAGE_SUFFIXES, ".zip") | sniffed)
+    detached = known.where(F.lower("name").endswith(".nhdr"))
+    text = F.decode("content", "ISO-8859-1")
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    asked = detached.select("path", "name", "content", F.concat(folder, F.regexp_extract(text, _DATA_FILE, 1)).alias("_data"), text.alias("_text"))
+    bodies = found.select(F.col("path").alias("_data"), F.col("content").alias("_body"))
+    whole = F.concat(F.encode(F.concat(F.regexp_replace(F.regexp_replace("_text", r"(?im)^data ?file:[^\n]*\n?", ""), r"\s+$", ""), F.lit("\n\n")), "ISO-8859-1"), F.col("_body"))
+    filled = asked.join(bodies, "_data", "left").select("path", "name", F.when(F.col("_body").isNotNull() & (F.col("_data") != folder), whole).otherwise(F.col("content")).alias("content"))
+    return known.where(~F.lower("name").endswith(".nhdr")).select("path", "name", "content").unionByName(filled)
 
 
 def _decode(name: str, content: bytes) -> list[tuple[np.ndarray, dict]]:
