@@ -230,6 +230,19 @@ def test_curve_meets_its_points(spark):
     assert df.select(geometry.to_svg(F.col("pts")).alias("s")).first()["s"] == "M 0.0 0.0 L 4.0 2.0 L 8.0 0.0 Z"
 
 
+def test_simplified_lines_stay_near(spark):
+    rng = random.Random(11)
+    lines = [[(float(i), rng.randint(0, 9) * 1.0) for i in range(n)] for n in (0, 1, 2, 3, 40)] + [[(0.0, 0.0), (5.0, 5.0), (0.0, 0.0)], [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)], None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(lines)], "id int, pts array<struct<x:double,y:double>>")
+    got = {r["id"]: r["s"] and [tuple(q) for q in r["s"]] for r in df.select("id", geometry.simplify(F.col("pts"), 3).alias("s")).collect()}
+    assert got[7] is None and got[5] == lines[5] and got[6] == [lines[6][0], lines[6][2]] and all(got[i] == (lines[i] or got[i]) for i in (1, 2))
+    kept, where = got[4], [lines[4].index(p) for p in got[4]]
+    assert 2 < len(kept) < 40 and where == sorted(where) and where[0] == 0 and where[-1] == 39
+    for (i, j), (p, q) in zip(itertools.pairwise(where), itertools.pairwise(kept), strict=True):
+        far = [abs((q[0] - p[0]) * (m[1] - p[1]) - (q[1] - p[1]) * (m[0] - p[0])) / math.hypot(q[0] - p[0], q[1] - p[1]) for m in lines[4][i:j]]
+        assert max(far) <= 3 + 1e-9
+
+
 def test_measure_without_calibration(spark):
     lines = spark.createDataFrame([(1, 0, 0, 3, 4)], "id int, x1 int, y1 int, x2 int, y2 int")
     assert geometry.measure(lines, None).first()["mm"] is None and geometry.measure(lines, 0.5).first()["mm"] == 2.5

@@ -100,6 +100,43 @@ def smooth_curve(pts: Column, steps: int = 8) -> Column:
     return F.when(F.size(pts) < 2, pts).otherwise(F.concat(F.slice(pts, 1, 1), curve))
 
 
+def kept_points(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Whether each point of an open line stays: the ends, and between two that stay the first of those farthest from the straight line through them,
+    if it is farther than the tolerance (from the point itself, where both are the same)."""
+    keep = np.zeros(len(x), bool)
+    keep[[0, -1]] = True
+    todo = [(0, len(x) - 1)]
+    while todo:
+        i, j = todo.pop()
+        if j - i < 2:
+            continue
+        dx, dy, px, py = x[j] - x[i], y[j] - y[i], x[i + 1 : j] - x[i], y[i + 1 : j] - y[i]
+        size = dx * dx + dy * dy
+        far = (dx * py - dy * px) ** 2 if size else px * px + py * py
+        k = int(np.argmax(far))
+        if far[k] > tolerance * tolerance * (size or 1):
+            keep[i + 1 + k] = True
+            todo += [(i, i + 1 + k), (i + 1 + k, j)]
+    return keep
+
+
+def _simplified(pts: pd.Series, tolerance: pd.Series) -> pd.Series:
+    out = []
+    for line, t in zip(pts, tolerance, strict=True):
+        if line is None or len(line) < 3:
+            out.append(line)
+            continue
+        x, y = (np.array([p[c] for p in line], float) for c in "xy")
+        out.append([line[i] for i in np.flatnonzero(kept_points(x, y, t))])
+    return pd.Series(out, dtype=object)
+
+
+def simplify(pts: Column, tolerance: float) -> Column:
+    """The line with fewer points, none of those left out farther than the tolerance from the straight lines that stand for them (Douglas and Peucker).  Null
+    stays null; lines of two points and fewer stay."""
+    return F.pandas_udf(_simplified, POINTS)(pts, F.lit(float(tolerance)))
+
+
 def length(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
 

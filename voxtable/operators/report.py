@@ -16,6 +16,19 @@ def labels_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.range(1, LABELS + 1).select(F.col("id").cast("int").alias("label"))
 
 
+def spacing(volumes: DataFrame) -> DataFrame:
+    """Volumes with ``sx, sy, sz, ox, oy, oz`` filled: each spacing from the header, else from the calibration (mm_per_px, z_spacing), else 1; a missing y
+    spacing without calibration is x's; origins are 0."""
+    sx = F.coalesce("sx", "mm_per_px", F.lit(1.0))
+    filled = {"sx": sx, "sy": F.coalesce("sy", "mm_per_px", sx), "sz": F.coalesce("sz", "z_spacing", F.lit(1.0))}
+    return volumes.withColumns(filled | {c: F.coalesce(c, F.lit(0.0)) for c in ("ox", "oy", "oz")})
+
+
+def picked(voxels: DataFrame, points: DataFrame) -> DataFrame:
+    """(id, z, y, x, gray, label) under points (id, z, y, x); outside the volume both are null."""
+    return points.join(voxels.select("z", "y", "x", "gray", "label"), ["z", "y", "x"], "left").select("id", "z", "y", "x", "gray", "label")
+
+
 def label_volumes(voxels: DataFrame, area: float, sz: float) -> DataFrame:
     """(label, voxels, mm3, cm3): 20 rows, also for unused labels.  area: square millimetres of a pixel; sz: slice distance."""
     counted = voxels.where(F.col("label").between(1, LABELS)).groupBy("label").agg(F.count("*").alias("n"))

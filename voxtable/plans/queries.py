@@ -339,6 +339,39 @@ def calibrate_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), geometry.calibrate(F.lit(10.0), F.col("n_nationkey") % 5).alias("mm_per_px"))
 
 
+@query("""with c as (select s_suppkey id, case when s_suppkey % 2 = 0 then cast(s_suppkey % 7 + 1 as double) / 4 end sx, case when s_suppkey % 6 = 0 then cast(0.25 as double) end sy, case when s_suppkey % 4 = 0 then cast(2 as double) end sz,
+case when s_suppkey % 3 = 0 then cast(s_suppkey % 5 + 1 as double) / 8 end m, case when s_suppkey % 5 = 0 then cast(3 as double) end zs from supplier)
+select id, coalesce(sx, m, 1) sx, coalesce(sy, m, sx, 1) sy, coalesce(sz, zs, 1) sz, cast(0 as double) ox from c""")
+def spacing_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = fx.table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey as id", "case when s_suppkey % 2 = 0 then (s_suppkey % 7 + 1) / 4D end as sx", "case when s_suppkey % 6 = 0 then 0.25D end as sy", "case when s_suppkey % 4 = 0 then 2D end as sz",
+        "case when s_suppkey % 3 = 0 then (s_suppkey % 5 + 1) / 8D end as mm_per_px", "case when s_suppkey % 5 = 0 then 3D end as z_spacing", "cast(null as double) as ox", "cast(null as double) as oy", "cast(null as double) as oz",
+    )
+    return report.spacing(known).select("id", "sx", "sy", "sz", "ox")
+
+
+@query(f"""{P}, p as (select c_custkey id, cast(c_custkey % 13 as int) z, cast(c_custkey * 7 % 49 as int) y, cast(c_custkey * 5 % 48 as int) x from customer)
+select id, p.z, p.y, p.x, gray, label from p left join v using (z, y, x)""")
+def pixel_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = fx.table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "cast(c_custkey % 13 as int) as z", "cast(c_custkey * 7 % 49 as int) as y", "cast(c_custkey * 5 % 48 as int) as x")
+    return report.picked(fx.phantom(spark, sf_dir), points)
+
+
+@query("""with recursive p as (select user_id id, cast(row_number() over (partition by user_id order by event_id) as int) i, cast(event_id * 7919 % 97 as bigint) y, count(*) over (partition by user_id) n from events),
+seg(id, a, b) as (select id, 1, cast(n as int) from p where i = n
+  union all select id, unnest([a, k]), unnest([k, b]) from (
+    select s.id, s.a, s.b, arg_min(m.i, struct_pack(f := -((b.i - a.i) * (m.y - a.y) - (b.y - a.y) * (m.i - a.i)) * ((b.i - a.i) * (m.y - a.y) - (b.y - a.y) * (m.i - a.i)), i := m.i)) k,
+      max(((b.i - a.i) * (m.y - a.y) - (b.y - a.y) * (m.i - a.i)) * ((b.i - a.i) * (m.y - a.y) - (b.y - a.y) * (m.i - a.i))) far, max((b.i - a.i) * (b.i - a.i) + (b.y - a.y) * (b.y - a.y)) size
+    from seg s join p a on a.id = s.id and a.i = s.a join p b on b.id = s.id and b.i = s.b join p m on m.id = s.id and m.i > s.a and m.i < s.b group by s.id, s.a, s.b) where far > 900 * size)
+select id, cast(i as double) x, cast(y as double) y from p where (id, i) in (select (id, a) from seg) or (id, i) in (select (id, b) from seg)""")
+def simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line through each user's events, with the points that a tolerance of 30 leaves."""
+    point = F.struct(F.col("event_id").alias("i"), F.expr("cast(event_id * 7919 % 97 as double)").alias("y"))
+    lines = fx.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(point)).alias("pts"))
+    pts = F.transform("pts", lambda p, i: F.struct((i + 1).cast("double").alias("x"), p["y"].alias("y")))
+    return lines.select("id", F.explode(geometry.simplify(pts, 30)).alias("p")).select("id", "p.x", "p.y")
+
+
 # Slices in order.
 
 _NAMES = "select n_nationkey id, concat('Image', cast(n_nationkey * 37 % 101 as {}), '.jpg') name from nation"
