@@ -125,7 +125,14 @@ def test_upper_median_and_precedence(spark):
 def test_normalise_cuts(spark):
     v = volume(spark, [[[10, 20, 15]], [[7, 7, 7]]])
     got = {(r["z"], r["x"]): r["norm"] for r in stack.normalise(v).collect()}
-    assert [got[0, i] for i in range(3)] == [0, 254, 127] and got[1, 0] == 0
+    assert [got[0, i] for i in range(3)] == [0, 255, 127] and got[1, 0] == 0
+    rng = np.random.default_rng(6)
+    images = [rng.integers(0, top, (3, 7)) for top in (2, 40, 256)]
+    many = {(r["z"], r["y"], r["x"]): r["norm"] for r in stack.normalise(volume(spark, [i.tolist() for i in images])).collect()}
+    for z, image in enumerate(images):  # in single precision, as images are read
+        low, high = np.float32(image.min()), np.float32(image.max())
+        want = ((image.astype(np.float32) - low) / (high - low + np.float32(1e-8)) * np.float32(255)).astype(np.uint8)
+        assert [[many[z, y, x] for x in range(7)] for y in range(3)] == want.tolist()
 
 
 def test_edit_rules(spark):
