@@ -202,3 +202,27 @@ def test_edit_stream(spark, tmp_path):
     counts.processAllAvailable()
     counts.stop()
     assert {tuple(r) for r in spark.table("edit_counts").collect()} == {(3, 1, 2), (1, 1, 3)}
+
+
+def test_label_maps_survive_a_restart(spark, tmp_path):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    log = [(1, None, "convert", 10, 4), (2, 3, "delete", 4, None), (3, 1, "convert", 4, 6), (4, 3, "convert", 0, 7), (5, None, "convert", 6, 10), (6, 1, "delete", 10, None), (7, 3, "convert", 7, 2)]
+    v = fx.phantom(spark, SF)
+
+    def run(rows):
+        spark.createDataFrame(rows, editlog.EDITS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        maps = editlog.label_maps(spark.readStream.schema(editlog.EDITS).parquet(f"{tmp_path}/in"), fx.DEPTH)
+        q = maps.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        assert q.exception() is None
+
+    try:
+        run(log[:4])
+        run([log[3], *log[4:]])  # from the checkpoint, with an edit that comes again
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    counted = lambda df: {(r["z"], r["label"]): r["count"] for r in df.groupBy("z", "label").count().collect()}
+    got = counted(editlog.apply_maps(v, spark.read.parquet(f"{tmp_path}/out")))
+    assert got == counted(editlog.apply_batch(v, spark.createDataFrame(log, editlog.EDITS))) != counted(v)
