@@ -55,7 +55,21 @@ def track(prompts: DataFrame, predictor: Predictor = box_predictor, frames: Data
 
 #: (image, the mask of the frame before or the filled box, frame) -> the mask of this frame; None or an empty one ends the track.
 Follower = Callable[[np.ndarray, np.ndarray, int], np.ndarray | None]
-_FOLLOWED = "obj_id long, direction string, z int, z_end int, go boolean, at array<int>"
+_FOLLOWED = "track long, direction string, z int, z_end int, go boolean, runs array<int>"
+_LAID = "flatten(transform(sequence(0, size(runs) - 2, 2), i -> sequence(runs[i], runs[i + 1] - 1)))"
+_ASKED = ["x0", "y0", "x1", "y1", "z_start", "z_end", "z_box"]
+
+
+def _runs(mask: np.ndarray) -> np.ndarray:
+    """Where runs of a mask's pixels start and where they stop, in turns, as places in reading order."""
+    steps = np.diff(mask.ravel().astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(steps).astype(np.int32)
+
+
+def _mask(runs: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    steps = np.zeros(shape[0] * shape[1] + 1, np.int8)
+    steps[runs[::2]], steps[runs[1::2]] = 1, -1
+    return np.cumsum(steps, dtype=np.int8)[:-1].astype(bool).reshape(shape)
 
 
 def frames_of(voxels: DataFrame, height: int, width: int) -> DataFrame:
@@ -70,66 +84,90 @@ def frames_of(voxels: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def gray_flood(low: int, high: int) -> Follower:
-    """Parts of the frame with grey from ``low`` to ``high`` (joined by sides or corners) that the mask before touches."""
+    """Parts of the frame with grey from ``low`` to ``high`` (joined by sides or corners) that the mask before touches.  The parts of the last frame are
+    kept, since objects come frame by frame."""
+    last: list = [None, None]
 
     def follow(image: np.ndarray, before: np.ndarray, frame: int) -> np.ndarray:
-        y, x = np.nonzero((image >= low) & (image <= high))
-        part = _label_components(y, x)
-        out = np.zeros(image.shape, bool)
-        mine = np.isin(part, part[before[y, x]])
-        out[y[mine], x[mine]] = True
-        return out
+        if last[0] is not image:
+            y, x = np.nonzero((image >= low) & (image <= high))
+            number = np.zeros(image.shape, np.int64)
+            number[y, x] = _label_components(y, x) + 1
+            last[:] = image, number
+        number = last[1]
+        touched = np.zeros(number.size + 1, bool)
+        touched[number[before]] = True
+        touched[0] = False
+        return touched[number]
 
     return follow
 
 
-def propagate(prompts: DataFrame, frames: DataFrame, follower: Follower, span: int = 16, lanes: int = 1) -> DataFrame:
+def propagate(prompts: DataFrame, frames: DataFrame, follower: Follower, span: int = 16, lanes: int | None = None) -> DataFrame:
     """MASKS of prompts (obj_id, x0, y0, x1, y1, z_start, z_end, z_box) whose mask is carried from frame to frame: the box, filled, is what the first
     frame gets, every further frame gets the mask before it, and a track ends where its mask vanishes or a frame is missing.
 
-    Frames come in ranges of ``span``; a task holds one range and the objects that enter it, dealt to ``lanes``, so a frame is never copied to each
-    object.  Masks leave a range in one direction and enter the next in the round after, so there are as many rounds as a track crosses ranges; each
-    round's masks are written as a table."""
+    Objects with the same box and frames are followed once and get the same masks.  Frames come in ranges of ``span``; a task holds one range and the
+    tracks that enter it, dealt to ``lanes`` (by themselves: some 128 tracks each), so a frame is never copied to each object and a group's size doesn't
+    depend on their number.  Masks leave a range in one direction and enter the next in the round after, so there are as many rounds as a track crosses
+    ranges; each round's masks are written as a table, as runs of pixels, which are laid out for every object at the end."""
+    asked = settle(prompts.groupBy(*_ASKED).agg(F.count("*").alias("n")).withColumn("track", F.monotonically_increasing_id()))
+    frames = settle(frames.select("z", "height", "width", "data"))
+    tracks, objects = asked.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    lanes = lanes or 1 + tracks // 128
     way = F.explode(F.array(F.struct(F.lit("forward").alias("direction"), F.col("z_end").alias("to")), F.struct(F.lit("backward").alias("direction"), F.col("z_start").alias("to")))).alias("w")
-    ways = prompts.select("obj_id", "x0", "y0", "x1", "y1", F.col("z_box").cast("int").alias("z"), way)
-    live = ways.select("obj_id", "w.direction", "z", F.col("w.to").cast("int").alias("z_end"), F.lit(True).alias("go"), F.array(*[F.col(c).cast("int") for c in ("y0", "x0", "y1", "x1")]).alias("at"), F.lit(True).alias("box"))
-    lane = F.pmod(F.xxhash64("obj_id"), F.lit(lanes)).cast("int")
+    ways = asked.select("track", "x0", "y0", "x1", "y1", F.col("z_box").cast("int").alias("z"), way)
+    live = ways.select("track", "w.direction", "z", F.col("w.to").cast("int").alias("z_end"), F.lit(True).alias("go"), F.array(*[F.col(c).cast("int") for c in ("y0", "x0", "y1", "x1")]).alias("runs"), F.lit(True).alias("box"))
+    lane = F.pmod(F.xxhash64("track"), F.lit(lanes)).cast("int")
     dealt = frames.select(F.floor(F.col("z") / span).cast("int").alias("_r"), "z", "height", "width", "data", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_lane"))
 
+    def entered(o, shape: tuple[int, int]) -> np.ndarray:
+        at = np.asarray(o.runs)
+        if not o.box:
+            return _mask(at, shape)
+        before = np.zeros(shape, bool)
+        before[max(at[0], 0) : max(at[2], 0), max(at[1], 0) : max(at[3], 0)] = True
+        return before
+
     def run(objects: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         images = {r.z: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width) for r in have.itertuples()} if len(objects) else {}
         out = []
-        for o in objects.itertuples():
-            step, z, before, at = 1 if o.direction == "forward" else -1, o.z, None, np.asarray(o.at)
-            while (o.z_end - z) * step >= 0 and z // span == o.range:
-                if (image := images.get(z)) is None:
-                    break
-                if before is None:
-                    before = np.zeros(image.shape, bool)
-                    if o.box:
-                        before[max(at[0], 0) : max(at[2], 0), max(at[1], 0) : max(at[3], 0)] = True
-                    else:
-                        before.ravel()[at] = True
-                before = follower(image, before, z)
-                if before is None or not before.any():
-                    break
-                out.append((o.obj_id, o.direction, z, o.z_end, False, np.flatnonzero(before).astype(np.int32)))
-                z += step
-            else:
-                if (o.z_end - z) * step >= 0 and before is not None:
-                    out.append((o.obj_id, o.direction, z, o.z_end, True, np.flatnonzero(before).astype(np.int32)))
-        return pd.DataFrame(out, columns=["obj_id", "direction", "z", "z_end", "go", "at"])
+        for direction, step in (("forward", 1), ("backward", -1)):
+            coming = {z: list(g.itertuples()) for z, g in objects[objects["direction"] == direction].groupby("z")}
+            active: list = []
+            for z in sorted(images, reverse=step < 0):
+                image = images[z]
+                active = [(o, before) for o, before, at in active if at == z] + [(o, entered(o, image.shape)) for o in coming.get(z, ()) if (o.z_end - z) * step >= 0]
+                kept = []
+                for o, before in active:
+                    mask = follower(image, before, z)
+                    if mask is None or not mask.any():
+                        continue
+                    runs = _runs(mask)
+                    out.append((o.track, direction, z, o.z_end, False, runs))
+                    if (o.z_end - z - step) * step >= 0:
+                        if (z + step) // span == z // span:
+                            kept.append((o, mask, z + step))
+                        else:
+                            out.append((o.track, direction, z + step, o.z_end, True, runs))
+                active = kept
+        return pd.DataFrame(out, columns=["track", "direction", "z", "z_end", "go", "runs"])
 
     done = None
     while True:
-        entering = live.where("go").withColumn("_r", F.floor(F.col("z") / span).cast("int")).withColumn("_lane", lane).withColumn("range", F.col("_r"))
+        entering = live.where("go").withColumn("_r", F.floor(F.col("z") / span).cast("int")).withColumn("_lane", lane)
         step = settle(entering.groupBy("_r", "_lane").cogroup(dealt.groupBy("_r", "_lane")).applyInPandas(run, _FOLLOWED))
         done = step if done is None else done.unionByName(step)
         if step.where("go").isEmpty():
             break
         live = step.withColumn("box", F.lit(False))
-    widths = frames.select("z", "width")
-    return done.where("not go").join(widths, "z").select("obj_id", "direction", "z", "width", F.explode("at").alias("at")).select("obj_id", "direction", "z", F.expr("cast(at div width as int)").alias("y"), (F.col("at") % F.col("width")).alias("x"))
+    masks = done.where("not go").join(frames.select("z", "width"), "z").select("track", "direction", "z", "width", "runs")
+    # A row of ids with a row of runs stands for all their pixels, so these rows are dealt by number.  Sizes are misjudged here: no join may broadcast.
+    part = F.pmod(F.xxhash64("obj_id"), F.ceil(F.col("n") / 256)).alias("part")
+    ids = prompts.select("obj_id", *_ASKED).join(asked.hint("merge"), _ASKED).select("track", "obj_id", part).groupBy("track", "part").agg(F.collect_list(F.struct("obj_id")).alias("ids"))
+    met = ids.join(masks.hint("merge"), "track").repartition(1 + objects // 1000, "track", "part", "direction", "z")
+    laid = met.select(F.explode("ids").alias("o"), "direction", "z", "width", "runs").select("o.obj_id", "direction", "z", "width", F.explode(F.expr(_LAID)).alias("at"))
+    return laid.select("obj_id", "direction", "z", F.expr("cast(at div width as int)").alias("y"), (F.col("at") % F.col("width")).alias("x"))
 
 
 def merge_directions(masks: DataFrame, winner: str = "forward") -> DataFrame:
