@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from voxtable.operators import tracking
+from voxtable.operators import geometry, tracking
 
 PROMPT = "obj_id long, x0 int, y0 int, x1 int, y1 int, z_start int, z_end int, z_box int"
 
@@ -25,3 +25,16 @@ def test_equal_prompts_are_followed_once_and_groups_stay_small(spark, tmp_path):
     rng = np.random.default_rng(3)
     for mask in (*(rng.random((5, 7)) < 0.5 for _ in range(20)), np.ones((3, 2), bool), np.zeros((3, 2), bool)):
         assert np.array_equal(tracking._mask(tracking._runs(mask), mask.shape), mask)
+
+
+def test_intersections_of_every_pair_of_a_slice(spark):
+    """Equal paths, paths of two subpaths, and lists shorter than a class."""
+    box = lambda x, y, w, h: [(float(a), float(b)) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+    shapes = [[box(0, 0, 4, 4)], [box(2, 2, 4, 4)], [box(9, 9, 1, 1)], [box(0, 0, 2, 2), box(5, 5, 2, 2)]]
+    pixels = [{(x, y) for b in s for x in range(int(b[0][0]), int(b[2][0])) for y in range(int(b[0][1]), int(b[2][1]))} for s in shapes]
+    paths = [(i, i % 2, 1, b) for i in range(60) for b in shapes[i // 2 % 4]]
+    found = geometry.intersections(spark.createDataFrame(paths, f"path_id long, z int, label int, pts {geometry.POINTS}"), 12, 12, chunk=3)
+    want = {(i % 2, i, j, n) for i in range(60) for j in range(i + 1, 60) if i % 2 == j % 2 and (n := len(pixels[i // 2 % 4] & pixels[j // 2 % 4]))}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
