@@ -3,6 +3,7 @@
 import numpy as np
 
 from voxtable.operators import geometry, tracking
+from voxtable.plans import queries as plans
 
 PROMPT = "obj_id long, x0 int, y0 int, x1 int, y1 int, z_start int, z_end int, z_box int"
 
@@ -38,3 +39,10 @@ def test_intersections_of_every_pair_of_a_slice(spark):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_intersections_keep_twelve_slices(spark):
+    """Slices are the parts' keys modulo twelve, so that what lies on them grows with the table."""
+    found = plans.QUERIES["path_intersections"](spark, "/root/testdata/sf0.001")
+    assert all(r["a"] % 12 == r["z"] == r["b"] % 12 for r in found.select("z", "a", "b").distinct().collect()) and found.select("z").distinct().count() == 12
+    assert "p_partkey % 12" in plans.SQL["path_intersections"] and "// 40" not in plans.SQL["path_intersections"]
