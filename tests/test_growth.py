@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from voxtable.operators import geometry, tracking
+from voxtable import fixtures as fx
+from voxtable.operators import edits, geometry, layers, raster, tracking
 from voxtable.plans import queries as plans
 
 PROMPT = "obj_id long, x0 int, y0 int, x1 int, y1 int, z_start int, z_end int, z_box int"
@@ -46,3 +47,25 @@ def test_intersections_keep_twelve_slices(spark):
     found = plans.QUERIES["path_intersections"](spark, "/root/testdata/sf0.001")
     assert all(r["a"] % 12 == r["z"] == r["b"] % 12 for r in found.select("z", "a", "b").distinct().collect()) and found.select("z").distinct().count() == 12
     assert "p_partkey % 12" in plans.SQL["path_intersections"] and "// 40" not in plans.SQL["path_intersections"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_prompts_are_predicted_once_and_without_groups(spark, tmp_path):
+    prompts = spark.createDataFrame([(i, i % 3, 1, i % 3 + 2, 3, 0, 3, 1) for i in range(90)], PROMPT)
+
+    def predict(image, box, z):
+        with open(tmp_path / "calls", "a") as f:
+            f.write("x")
+        return tracking.box_predictor(image, box, z) if z else (np.zeros(0, int), np.zeros(0, int))
+
+    masks = tracking.track(prompts, predict)
+    got = [tuple(r) for r in masks.collect()]
+    assert sorted(got) == sorted((i, d, z, y, x) for i in range(90) for d, zs in (("forward", (1, 2, 3)), ("backward", (1,))) for z in zs for y in (1, 2) for x in (i % 3, i % 3 + 1))
+    assert (tmp_path / "calls").stat().st_size == 3 * 5  # before: 90 * 5
+    order = prompts.selectExpr("obj_id", "obj_id as seq", "cast(obj_id % 20 + 1 as int) as label")
+    volume = spark.range(64).selectExpr("cast(id div 16 as int) as z", "cast(id div 4 % 4 as int) as y", "cast(id % 4 as int) as x", "0 as label")
+    one, two = (sorted(tuple(r) for r in tracking.write_labels(volume, tracking.merge_directions(tracking.track(prompts, predict, packed=p)), order).collect()) for p in (False, True))
+    assert one == two and any(r[3] for r in one)

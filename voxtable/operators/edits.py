@@ -162,5 +162,7 @@ def latest(paths: DataFrame, z: int) -> DataFrame:
 
 
 def last_writer(memberships: DataFrame, order: str, label: str = "label") -> DataFrame:
-    """(z, y, x, label): of several writes to a voxel, the last in ``order``."""
-    return memberships.groupBy("z", "y", "x").agg(F.max(F.struct(order, label)).alias("_w")).select("z", "y", "x", F.col(f"_w.{label}").alias("label"))
+    """(z, y, x, label): of several writes to a voxel, the last in ``order``; of equal ones, the one of the greatest label.  The last write of each label
+    comes first, a maximum of one value in a hash table of voxels and labels, so that no task sorts all writes."""
+    last = memberships.groupBy("z", "y", "x", F.col(label).alias("_l")).agg(F.max(order).alias("_o"))
+    return last.groupBy("z", "y", "x").agg(F.max(F.struct("_o", "_l")).alias("_w")).select("z", "y", "x", F.col("_w._l").alias("label"))

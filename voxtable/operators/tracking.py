@@ -1,11 +1,11 @@
 """Model-driven segmentation: a predictor is a parameter, and this module runs it and merges what it gives.
 
-Objects are independent: each is one group, its frames in order within it.  ``box_predictor`` is the stand-in that fills the box.
+Objects are independent, and those that are asked for alike get the same masks.  ``box_predictor`` is the stand-in that fills the box.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import settle
+from .edits import last_writer
 from .raster import _label_components
 
 #: (image or None, box x0 y0 x1 y1, frame) -> the object's (y, x) pixels, as two arrays; None ends the track.
@@ -26,31 +27,54 @@ def box_predictor(image: object, box: tuple[int, int, int, int], frame: int) ->
     return y.ravel(), x.ravel()
 
 
-def track(prompts: DataFrame, predictor: Predictor = box_predictor, frames: DataFrame | None = None) -> DataFrame:
+def track(prompts: DataFrame, predictor: Predictor = box_predictor, frames: DataFrame | None = None, packed: bool = False) -> DataFrame:
     """MASKS of each prompt (obj_id, x0, y0, x1, y1, z_start, z_end, z_box): forward from the box's frame to the end, backward
-    from it to the start.  Empty masks give no rows.  ``frames`` (z, height, width, data): the predictor gets each frame's pixels; an object's
-    frames, from its start to its end, meet in its task."""
-    asked = prompts.select("obj_id", "x0", "y0", "x1", "y1", "z_start", "z_end", "z_box")
-    seen = frames is not None
-    if seen:
+    from it to the start.  Empty masks give no rows.  ``packed``: a row a frame, with its pixels as arrays y and x (``laid`` lays them out).
+
+    Prompts with the same box and frames are predicted once; they are no groups, but go through the predictor in batches.  ``frames`` (z, height, width,
+    data): the predictor gets each frame's pixels; an object's frames, from its start to its end, meet in its task."""
+    asked = prompts.select(*_ASKED).distinct()
+    kinds = dict(prompts.dtypes)
+    out_type = ", ".join(f"{c} {kinds[c]}" for c in _ASKED) + ", direction string, z int, y array<int>, x array<int>"
+
+    def followed(p, images: dict) -> list[tuple]:
+        box, out = (p.x0, p.y0, p.x1, p.y1), []
+        for direction, order in (("forward", range(p.z_box, p.z_end + 1)), ("backward", range(p.z_box, p.z_start - 1, -1))):
+            for z in order:
+                found = predictor(images.get(z), box, z)
+                if found is None:
+                    break
+                y, x = found
+                if len(y):
+                    out.append((*(getattr(p, c) for c in _ASKED), direction, z, y.astype(np.int32), x.astype(np.int32)))
+        return out
+
+    columns = [*_ASKED, "direction", "z", "y", "x"]
+
+    def blind(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 256):
+                yield pd.DataFrame([r for p in pdf[i : i + 256].itertuples() for r in followed(p, {})], columns=columns)
+
+    def seeing(pdf: pd.DataFrame) -> pd.DataFrame:
+        images = {r.frame: np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width)) for r in pdf.itertuples() if r.data is not None}
+        return pd.DataFrame([r for p in pdf.drop_duplicates(_ASKED).itertuples() for r in followed(p, images)], columns=columns)
+
+    if frames is None:
+        masks = asked.mapInPandas(blind, out_type)
+    else:
         spread = asked.withColumn("frame", F.explode(F.sequence("z_start", "z_end")))
-        asked = spread.join(frames.select(F.col("z").alias("frame"), "height", "width", "data"), "frame", "left")
+        masks = spread.join(frames.select(F.col("z").alias("frame"), "height", "width", "data"), "frame", "left").groupBy(*_ASKED).applyInPandas(seeing, out_type)
+    # The masks' size is misjudged by that of the prompts, so they may not be broadcast.
+    out = prompts.select("obj_id", *_ASKED).join(masks.hint("merge"), _ASKED).select("obj_id", "direction", "z", "y", "x")
+    return out if packed else laid(out)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        images = {r.frame: np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width)) for r in pdf.itertuples() if r.data is not None} if seen else {}
-        for p in pdf.drop_duplicates([c for c in pdf.columns if c not in ("frame", "height", "width", "data")]).itertuples():
-            box = (p.x0, p.y0, p.x1, p.y1)
-            for direction, order in (("forward", range(p.z_box, p.z_end + 1)), ("backward", range(p.z_box, p.z_start - 1, -1))):
-                for z in order:
-                    found = predictor(images.get(z), box, z)
-                    if found is None:
-                        break
-                    y, x = found
-                    out.append(pd.DataFrame({"obj_id": p.obj_id, "direction": direction, "z": np.int32(z), "y": y.astype(np.int32), "x": x.astype(np.int32)}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["obj_id", "direction", "z", "y", "x"])
 
-    return asked.groupBy("obj_id").applyInPandas(run, MASKS)
+def laid(masks: DataFrame) -> DataFrame:
+    """A row a pixel, from masks whose pixels are arrays y and x."""
+    if not dict(masks.dtypes)["y"].startswith("array"):
+        return masks
+    return masks.withColumn("_p", F.explode(F.arrays_zip("y", "x"))).withColumns({"y": F.col("_p.y"), "x": F.col("_p.x")}).drop("_p")
 
 
 #: (image, the mask of the frame before or the filled box, frame) -> the mask of this frame; None or an empty one ends the track.
@@ -177,7 +201,7 @@ def merge_directions(masks: DataFrame, winner: str = "forward") -> DataFrame:
 
 
 def write_labels(voxels: DataFrame, masks: DataFrame, order: DataFrame) -> DataFrame:
-    """The volume with each object's mask in its label; of several the later in ``seq`` wins.  order: (obj_id, seq, label)."""
-    last = masks.join(order, "obj_id").groupBy("z", "y", "x").agg(F.max(F.struct("seq", "label")).alias("w"))
+    """The volume with each object's mask in its label; of several the later in ``seq`` wins.  order: (obj_id, seq, label).  Masks may be packed."""
+    last = last_writer(laid(masks.join(order.hint("merge"), "obj_id")), "seq").withColumnRenamed("label", "_w")
     kind = dict(voxels.dtypes)["label"]
-    return voxels.join(last, ["z", "y", "x"], "left").withColumn("label", F.coalesce("w.label", "label").cast(kind)).drop("w")
+    return voxels.join(last, ["z", "y", "x"], "left").withColumn("label", F.coalesce("_w", "label").cast(kind)).drop("_w")
