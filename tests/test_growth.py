@@ -53,6 +53,19 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_snapping_looks_up_a_place_once(spark):
+    rng = np.random.default_rng(5)
+    edges = sorted({(int(z), int(y), int(x)) for z, y, x in zip(rng.integers(0, 3, 90), rng.integers(0, 40, 90), rng.integers(0, 40, 90), strict=True)})
+    points = [(i, i % 2, int(y), int(x)) for i, (y, x) in enumerate(zip(rng.integers(0, 40, 120), rng.integers(0, 40, 120), strict=True))]
+    points += [(1000 + i, z, y, x) for i, z, y, x in points] + [(5000, None, 3, 3), (5001, 9, 3, 3)]
+    found = raster.snap(spark.createDataFrame(points, "id long, z int, y int, x int"), spark.createDataFrame(edges, "z int, y int, x int"))
+    assert "SortAggregate" not in plan_of(found)
+    for i, z, y, x, sy, sx in found.collect():
+        near = [((b - y) ** 2 + (c - x) ** 2, b, c) for a, b, c in edges if a == z and -7 <= b - y < 7 and -7 <= c - x < 7]
+        assert (sy, sx) == (min(near)[1:] if near else (y, x)), i
+    assert found.count() == len(points)
+
+
 def test_equal_prompts_are_predicted_once_and_without_groups(spark, tmp_path):
     prompts = spark.createDataFrame([(i, i % 3, 1, i % 3 + 2, 3, 0, 3, 1) for i in range(90)], PROMPT)
 

@@ -164,14 +164,15 @@ def gradient_edges(voxels: DataFrame, threshold: int) -> DataFrame:
 
 def snap(points: DataFrame, edges: DataFrame, half: int = 7) -> DataFrame:
     """Points (id, z, y, x) with the nearest edge pixel (sy, sx) within half a window before and just under it after, or themselves.
-    A range join by cells of the window's size: a point looks into the four cells that its window can touch."""
+    A range join by cells of the window's size: a place looks into the four cells that its window can touch.  Points at one place are looked up once, and
+    distance and place of an edge pixel are one whole number, so the nearest is a minimum in a hash table and nothing is sorted."""
     side = 2 * half
     cell = lambda c: F.floor(c / side)
-    near = points.withColumn("cy", F.explode(F.array_distinct(F.array(cell(F.col("y") - half), cell(F.col("y") + half - 1))))).withColumn("cx", F.explode(F.array_distinct(F.array(cell(F.col("x") - half), cell(F.col("x") + half - 1)))))
+    near = points.select("z", "y", "x").distinct().withColumn("cy", F.explode(F.array_distinct(F.array(cell(F.col("y") - half), cell(F.col("y") + half - 1))))).withColumn("cx", F.explode(F.array_distinct(F.array(cell(F.col("x") - half), cell(F.col("x") + half - 1)))))
     e = edges.select("z", F.col("y").alias("ey"), F.col("x").alias("ex"), cell(F.col("y")).alias("cy"), cell(F.col("x")).alias("cx"))
     hit = near.join(e, ["z", "cy", "cx"]).where((F.col("ey") >= F.col("y") - half) & (F.col("ey") < F.col("y") + half) & (F.col("ex") >= F.col("x") - half) & (F.col("ex") < F.col("x") + half))
-    d2 = (F.col("ey") - F.col("y")) * (F.col("ey") - F.col("y")) + (F.col("ex") - F.col("x")) * (F.col("ex") - F.col("x"))
-    best = hit.groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "ey", "ex")).alias("b"))
-    return points.join(best, "id", "left").select("id", "z", "y", "x", F.coalesce("b.ey", "y").alias("sy"), F.coalesce("b.ex", "x").alias("sx"))
-
-
+    dy, dx = (F.col("ey") - F.col("y")).cast("long"), (F.col("ex") - F.col("x")).cast("long")
+    code = ((dy * dy + dx * dx) * side + dy + half) * side + dx + half  # by distance, then by row, then by column
+    best = hit.groupBy("z", "y", "x").agg(F.min(code).alias("_b"))
+    dy, dx = (F.expr(f"cast(_b div {side} % {side} - {half} as int)"), F.expr(f"cast(_b % {side} - {half} as int)"))
+    return points.join(best, ["z", "y", "x"], "left").select("id", "z", "y", "x", F.coalesce(F.col("y") + dy, "y").alias("sy"), F.coalesce(F.col("x") + dx, "x").alias("sx"))
