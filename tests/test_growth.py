@@ -66,6 +66,15 @@ def test_snapping_looks_up_a_place_once(spark):
     assert found.count() == len(points)
 
 
+def test_writers_are_not_sorted_and_ties_go_to_the_greatest_label(spark):
+    writes = [(0, 0, i % 5, i % 7, i % 20 + 1) for i in range(300)]
+    found = edits.last_writer(spark.createDataFrame(writes, "z int, y int, x int, seq long, label int"), "seq")
+    want = {x: max((q, n) for *_, c, q, n in writes if c == x)[1] for x in range(5)}
+    assert {r["x"]: r["label"] for r in found.collect()} == want
+    assert all("HashAggregate" in line for line in plan_of(found).splitlines() if "max(seq" in line)
+    assert any("max(seq" in line for line in plan_of(found).splitlines())
+
+
 def test_equal_prompts_are_predicted_once_and_without_groups(spark, tmp_path):
     prompts = spark.createDataFrame([(i, i % 3, 1, i % 3 + 2, 3, 0, 3, 1) for i in range(90)], PROMPT)
 
