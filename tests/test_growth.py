@@ -91,3 +91,20 @@ def test_equal_prompts_are_predicted_once_and_without_groups(spark, tmp_path):
     volume = spark.range(64).selectExpr("cast(id div 16 as int) as z", "cast(id div 4 % 4 as int) as y", "cast(id % 4 as int) as x", "0 as label")
     one, two = (sorted(tuple(r) for r in tracking.write_labels(volume, tracking.merge_directions(tracking.track(prompts, predict, packed=p)), order).collect()) for p in (False, True))
     assert one == two and any(r[3] for r in one)
+
+
+def test_sessions_are_no_groups(spark):
+    """Streams of many sessions, null ones and odd rows included, with and without chunks."""
+    log = [(None if s == 3 else s, i, ["edit", "undo", "redo", "draw", "edit_all", None][(i * 7 + s) % 6], None if i % 11 == 5 else i % 3) for s in range(40) for i in range(s % 9 + 1)]
+    df = spark.createDataFrame(log, "session long, seq long, action string, z int").repartition(3)
+    one, two = layers.left(df), layers.left(df, chunk=2)
+    assert "Groups" not in plan_of(one) and "mapInArrow" in plan_of(one).replace("MapInArrow", "mapInArrow")
+    rows = sorted(map(tuple, one.collect()), key=str)
+    assert rows == sorted(map(tuple, two.collect()), key=str) and len({r[0] for r in rows}) == 40
+    want = []
+    for s in {r[0] for r in log}:
+        state = layers.Layers()
+        for r in sorted((r for r in log if r[0] == s), key=lambda r: r[1]):
+            state.act(*r[1:])
+        want += [(s, *r) for r in state.rows()]
+    assert rows == sorted(want, key=str)

@@ -6,16 +6,17 @@ on the screen, its last line; if it has none, its last edit; if it has none, the
 takes all its lines, and ``clear_all`` those of every slice.  A new edit forgets what could be redone on its own level, a new line what
 lines of its slice could be.  Actions that find nothing to do are nothing; other ones are unknown and change nothing.
 
-Sessions are folded in parallel.  A session is cut into chunks, and its state goes from chunk to chunk as a row of a table: a task holds a chunk of
-a session and its stacks.  Rows of equal ``seq`` are taken in the order of action and slice, nulls first.
+Sessions are folded in parallel, as streams of rows sorted by session, many in a task.  A long session is cut into chunks, and its state goes from chunk to
+chunk as a row of a table: a task holds the stacks of one session and a batch of rows.  Rows of equal ``seq`` are taken in the order of action and slice, nulls first.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,29 +93,57 @@ class Layers:
 def left(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(session, kind, z, seq) of what a log has left: ``label`` rows name the edit that made a slice's content (seq null: none; z null: the slices
     without a row of their own), ``line`` rows the lines that are drawn."""
-    place = F.row_number().over(Window.partitionBy("session").orderBy("seq", "action", "z")) - 1
-    rows = settle(log.select("session", F.col("seq").cast("long").alias("seq"), "action", F.col("z").cast("int").alias("z")).withColumn("part", F.floor(place / chunk).cast("int")))
-    last = rows.agg(F.max("part")).first()[0]
+    rows = log.select("session", F.col("seq").cast("long").alias("seq"), "action", F.col("z").cast("int").alias("z"))
+    longest = rows.groupBy("session").count().agg(F.max("count")).first()[0] or 0
+    rounds = max(1, -(-longest // chunk))  # one round, unless a session is longer than a chunk
+    if rounds > 1:
+        place = F.row_number().over(Window.partitionBy("session").orderBy("seq", "action", "z")) - 1
+        rows = settle(rows.withColumn("part", F.floor(place / chunk).cast("int")))
     session = rows.schema["session"]
     state_type = T.StructType([session, T.StructField("state", T.BinaryType())])
     out_type = T.StructType([session, T.StructField("kind", T.StringType()), T.StructField("z", T.IntegerType()), T.StructField("seq", T.LongType())])
 
-    def fold(key: tuple, before: pd.DataFrame, acts: pd.DataFrame) -> pd.DataFrame:
-        layers = pickle.loads(before["state"].iloc[0]) if len(before) else Layers()
-        for r in acts.sort_values(["seq", "action", "z"], kind="stable", na_position="first").itertuples():
-            layers.act(int(r.seq), r.action, None if pd.isna(r.z) else int(r.z))
-        return pd.DataFrame({"session": [key[0]], "state": [pickle.dumps(layers)]})
-
-    def tell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(pickle.loads(pdf["state"].iloc[0]).rows(), columns=["kind", "z", "seq"]).astype({"z": "Int32", "seq": "Int64"})
-        out.insert(0, "session", key[0])
-        return out
-
-    state = rows.sparkSession.createDataFrame([], state_type)
-    for part in range((-1 if last is None else last) + 1):  # one round, unless a session is longer than a chunk
-        acts = rows.where(F.col("part") == part)
-        state = settle(state.groupBy("session").cogroup(acts.groupBy("session")).applyInPandas(fold, state_type))
-    return state.groupBy("session").applyInPandas(tell, out_type)
+    def told(key: object, layers: Layers) -> list[tuple]:
+        return [(key, *r) for r in layers.rows()]
+
+    def kept(key: object, layers: Layers) -> list[tuple]:
+        return [(key, pickle.dumps(layers))]
+
+    def folded(batches: Iterator[pa.RecordBatch], tell: Callable, names: list[str], kinds: list) -> Iterator[pa.RecordBatch]:
+        """Rows (session, state, seq, action, z) by session, a session's state before its actions; one session is held at a time."""
+        key, layers, out = None, None, []
+
+        def packed() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k or kind) for c, k in zip(columns, kinds, strict=True)], names)
+
+        for batch in batches:
+            kind = batch.schema.field("session").type
+            for who, state, seq, action, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if layers is None or who != key and (who == who or key == key):
+                    if layers is not None:
+                        out += tell(key, layers)
+                    key, layers = who, Layers()
+                if state is not None:
+                    layers = pickle.loads(state)
+                else:
+                    layers.act(seq, action, z)
+            if len(out) > 10_000:
+                yield packed()
+                out = []
+        if layers is not None:
+            out += tell(key, layers)
+            yield packed()
+
+    state = None
+    for part in range(rounds):
+        acts = (rows if rounds == 1 else rows.where(F.col("part") == part)).select("session", F.lit(None).cast("binary").alias("state"), "seq", "action", "z")
+        if state is not None:
+            acts = acts.unionByName(state, allowMissingColumns=True)
+        dealt = acts.repartition("session").sortWithinPartitions("session", F.col("state").isNull(), "seq", "action", "z")
+        if part == rounds - 1:
+            return dealt.mapInArrow(lambda b: folded(b, told, ["session", "kind", "z", "seq"], [None, pa.string(), pa.int32(), pa.int64()]), out_type)
+        state = settle(dealt.mapInArrow(lambda b: folded(b, kept, ["session", "state"], [None, pa.binary()]), state_type))
 
 
 def contents(found: DataFrame, slices: DataFrame) -> DataFrame:
