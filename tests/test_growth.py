@@ -75,6 +75,11 @@ def test_writers_are_not_sorted_and_ties_go_to_the_greatest_label(spark):
     assert any("max(seq" in line for line in plan_of(found).splitlines())
 
 
+def test_phantoms_are_not_sorted(spark):
+    plan = plan_of(fx.phantom(spark, "/root/testdata/sf0.001"))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_equal_prompts_are_predicted_once_and_without_groups(spark, tmp_path):
     prompts = spark.createDataFrame([(i, i % 3, 1, i % 3 + 2, 3, 0, 3, 1) for i in range(90)], PROMPT)
 
