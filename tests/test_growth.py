@@ -1,6 +1,7 @@
 """Work that must not grow with repeated rows, and steps that must not hold them."""
 
 import numpy as np
+import pytest
 
 from voxtable import fixtures as fx
 from voxtable.operators import edits, geometry, layers, raster, tracking
@@ -80,6 +81,24 @@ def test_phantoms_are_not_sorted(spark):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
+#: Queries on the phantom alone whose largest task held what every supplier covers.
+ON_PHANTOM = ["slice_areas_long"]
+
+
+@pytest.mark.parametrize("name", ON_PHANTOM)
+def test_equal_ellipsoids_are_laid_out_once(spark, tmp_path, monkeypatch, name):
+    """Thirty copies of the suppliers whose keys are shifted by 240, a multiple of every period of the ellipsoids, so that the volume stays the same."""
+    one, inside, laid = "/root/testdata/sf0.001", fx.inside, []
+    copies = fx.table(spark, one, "supplier").selectExpr("explode(sequence(0, 29)) as i", "*").selectExpr("s_suppkey + i * 240 as s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    copies.write.parquet(f"{tmp_path}/supplier.parquet")
+    assert (copies.count(), fx.table(spark, str(tmp_path), "supplier").count()) == (300, 300)
+    monkeypatch.setattr(fx, "inside", lambda prims, *shape: laid.append(prims.count()) or inside(prims, *shape))
+    want, got = (plans.QUERIES[name](spark, folder) for folder in (one, str(tmp_path)))
+    assert laid == [10, 10]  # before: 10, 300
+    assert "SortAggregate" not in plan_of(got)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_equal_prompts_are_predicted_once_and_without_groups(spark, tmp_path):
     prompts = spark.createDataFrame([(i, i % 3, 1, i % 3 + 2, 3, 0, 3, 1) for i in range(90)], PROMPT)
 
