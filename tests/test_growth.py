@@ -82,7 +82,7 @@ def test_phantoms_are_not_sorted(spark):
 
 
 #: Queries on the phantom alone whose largest task held what every supplier covers.
-ON_PHANTOM = ["slice_areas_long", "slice_areas_pivot", "threshold_fraction_volume"]
+ON_PHANTOM = ["slice_areas_long", "slice_areas_pivot", "threshold_fraction_volume", "threshold_fraction_slice"]
 
 
 @pytest.mark.parametrize("name", ON_PHANTOM)
