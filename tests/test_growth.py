@@ -83,7 +83,7 @@ def test_phantoms_are_not_sorted(spark):
 
 #: Queries on the phantom alone whose largest task held what every supplier covers.
 ON_PHANTOM = [
-    "slice_areas_long", "slice_areas_pivot", "threshold_fraction_volume", "threshold_fraction_slice", "threshold_fraction_display",
+    "slice_areas_long", "slice_areas_pivot", "threshold_fraction_volume", "threshold_fraction_slice", "threshold_fraction_display", "used_labels",
 ]
 
 
