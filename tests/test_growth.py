@@ -84,7 +84,7 @@ def test_phantoms_are_not_sorted(spark):
 #: Queries on the phantom alone whose largest task held what every supplier covers.
 ON_PHANTOM = [
     "slice_areas_long", "slice_areas_pivot", "threshold_fraction_volume", "threshold_fraction_slice", "threshold_fraction_display", "used_labels",
-    "label_bbox", "extract_inside_object", "convert_label", "convert_label_changes", "delete_label", "edit_chain", "visible_labels",
+    "label_bbox", "extract_inside_object", "convert_label", "convert_label_changes", "delete_label", "edit_chain", "visible_labels", "contour_lengths",
 ]
 
 
