@@ -43,6 +43,28 @@ def test_intersections_of_every_pair_of_a_slice(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_files_of_intersections_take_bits_a_pair(spark, tmp_path):
+    """Four classes of two thousand on one slice, one of which meets none of the others: runs and repeated stretches, whatever the order of the input."""
+    box = lambda x, y: [(float(a), float(b)) for a, b in ((x, y), (x + 3, y), (x + 3, y + 3), (x, y + 3))]
+    shapes = [box(0, 0), box(1, 0), box(1, 1), box(8, 8)]
+    paths = [(i * 1_000_003 - 7, 0, 1, shapes[i * 7 % 4]) for i in np.random.default_rng(4).permutation(8000).tolist()]
+    geometry.intersections(spark.createDataFrame(paths, f"path_id long, z int, label int, pts {geometry.POINTS}"), 12, 12).write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs").groupBy("pixels").agg({"*": "count"}).collect()
+    same, n = 2000 * 1999 // 2, 2000 * 2000
+    assert {tuple(r) for r in got} == {(9, 4 * same), (6, 2 * n), (4, n)}
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.3 * (4 * same + 3 * n)  # before: 0.52 a pair
+
+
+def test_intersections_of_many_lists(spark):
+    """Classes of several lists whose ids interleave, negative and far ids, a repeated row, null ids and slices."""
+    box = lambda x: [(float(a), float(b)) for a, b in ((x, 0), (x + 4, 0), (x + 4, 2), (x, 2))]
+    ids = [i * 3 - 100 for i in range(90)] + [-(2**62), 2**62]
+    paths = [(k, 0, 1, box(i % 2 * 3)) for i, k in enumerate(ids)] + [(5000, 1, 1, box(0)), (None, 0, 1, box(0)), (77_777, None, 1, box(0)), (6000, 0, 1, box(0)), (6000, 0, 1, box(0))]
+    got = [tuple(r) for r in geometry.intersections(spark.createDataFrame(paths, f"path_id long, z int, label int, pts {geometry.POINTS}"), 12, 12, chunk=1).collect()]
+    want = {(0, *sorted((j, k)), 8 if (m - n) % 2 == 0 else 2) for m, j in enumerate(ids) for n, k in enumerate(ids) if j < k}  # the repeated row covers nothing by the even-odd rule
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_intersections_keep_twelve_slices(spark):
     """Slices are the parts' keys modulo twelve, so that what lies on them grows with the table."""
     found = plans.QUERIES["path_intersections"](spark, "/root/testdata/sf0.001")
